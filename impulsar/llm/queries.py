@@ -3,8 +3,12 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from impulsar.llm.mixing import mix
 from impulsar.llm.ngram_jaccard import ngram_jaccard_components
+from impulsar.llm.secret_scan import BASE_KINDS, joined, scan_secrets
+from impulsar.llm.toxicity import fold, score_toxicity, train
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -15,8 +19,32 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def _of_kinds(*kinds: str):
+    return F.filter("spans", lambda x: x["kind"].isin(*kinds))
+
+
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(_table(spark, sf_dir, "documents"), keep=["doc_id"])
+    counted = [F.size(_of_kinds(kind)).cast("long").alias(f"n_{kind}") for kind in BASE_KINDS]
+    base = joined(_of_kinds(*BASE_KINDS))
+    return found.select("doc_id", *counted, F.sha2(base, 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
+
+
+def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    scored = score_toxicity(docs, train(docs, _table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mix(_table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_toxicity": op6_toxicity,
+    "op10_mixing": op10_mixing,
 }
 
 ORACLE_SQL: dict[str, str] = {}
