@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 from impulsar.llm.mixing import mix
 from impulsar.llm.ngram_jaccard import ngram_jaccard_components
 from impulsar.llm.secret_scan import BASE_KINDS, joined, scan_secrets
+from impulsar.llm.sentencepiece_codec import decode, encode
+from impulsar.llm.substring_dedup import remove_repeated_passages
+from impulsar.llm.token_counts import count_tokens
 from impulsar.llm.toxicity import fold, score_toxicity, train
 
 
@@ -19,6 +22,11 @@ def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_jaccard_components(_table(spark, sf_dir, "documents"))
 
 
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept = remove_repeated_passages(_table(spark, sf_dir, "documents"))
+    return kept.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def _of_kinds(*kinds: str):
     return F.filter("spans", lambda x: x["kind"].isin(*kinds))
 
@@ -36,14 +44,27 @@ def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", (fold(F.col("doc_id")) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").select("doc_id", "text")
+    decoded = decode(encode(docs))
+    return decoded.select("doc_id", F.size("ids").cast("long").alias("n_ids"), "ids", F.sha2("text", 256).alias("decoded_sha256"))
+
+
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(_table(spark, sf_dir, "documents").select("doc_id", "text")).select("doc_id", "n_tokens")
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mix(_table(spark, sf_dir, "documents"))
 
 
 QUERIES = {
     "op1_ngram_jaccard": op1_ngram_jaccard,
+    "op3_substring_dedup": op3_substring_dedup,
     "op5_secret_scan": op5_secret_scan,
     "op6_toxicity": op6_toxicity,
+    "op8_sentencepiece": op8_sentencepiece,
+    "op9_token_counts": op9_token_counts,
     "op10_mixing": op10_mixing,
 }
 
