@@ -79,10 +79,14 @@ def sainte_lague(votes: list[float], seats: int, caps: list[int]) -> list[int]:
     return given
 
 
-def mix(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED, blocks: int = BLOCKS, max_shards: int = MAX_SHARDS, shard_words: int = SHARD_WORDS) -> DataFrame:
-    """One row per document: doc_id, source, size, source_size, target, taken."""
+def mix(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED, blocks: int = BLOCKS, max_shards: int = MAX_SHARDS, shard_words: int = SHARD_WORDS, carry: bool = False) -> DataFrame:
+    """One row per document: doc_id, size, source_size, target, taken, source.
+
+    With ``carry`` the whole input row follows as the struct ``doc``.
+    """
     spark = docs.sparkSession
-    sizes = cut(docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).cast("string").alias("source"), word_count(F.col(text_column)).alias("size")))
+    measured = docs.select(F.col(id_column).alias("doc_id"), F.col(source_column).cast("string").alias("source"), word_count(F.col(text_column)).alias("size"), *([F.struct(*docs.columns).alias("doc")] if carry else []))
+    sizes = cut(measured.select("doc_id", "source", "size"))
     by_source = sorted(sizes.groupBy("source").agg(F.sum("size").alias("n")).collect(), key=lambda r: (r["source"] is None, r["source"] or ""))
     held = [int(r["n"]) for r in by_source]
     total = sum(held)
@@ -92,10 +96,12 @@ def mix(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text"
     source_rows = [(r["source"], n, t, max(1, -(-n // per_shard))) for r, n, t in zip(by_source, held, wanted, strict=True)]
     of_source = spark.createDataFrame(source_rows, "s string, source_size long, target double, shards long")
     small = F.broadcast if len(source_rows) <= max_shards else lambda df: df
-    placed = sizes.join(small(of_source), sizes["source"].eqNullSafe(of_source["s"])).drop("s").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")))
+
+    def placed(rows: DataFrame) -> DataFrame:
+        return rows.join(small(of_source), rows["source"].eqNullSafe(of_source["s"])).drop("s").withColumn("shard", F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.col("shards")))
 
     shard_rows: dict = {}
-    for r in placed.groupBy("source", "shard").agg(F.sum("size").alias("n")).orderBy("shard").collect():
+    for r in placed(sizes).groupBy("source", "shard").agg(F.sum("size").alias("n")).orderBy("shard").collect():
         shard_rows.setdefault(r["source"], []).append((int(r["shard"]), int(r["n"])))
     caps = [sum(max_repeats * n // block for _, n in shard_rows.get(s, [])) for s, *_ in source_rows]
     quotas = sainte_lague(wanted, round(total / block), caps)
@@ -105,11 +111,27 @@ def mix(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text"
         given = sainte_lague([float(n) for _, n in shards], quota, [max_repeats * n // block for _, n in shards])
         dealt += [(source, k, n, g * block) for (k, n), g in zip(shards, given, strict=True)]
     of_shard = spark.createDataFrame(dealt, "s string, k long, shard_size long, quota long")
-    small = F.broadcast if len(dealt) <= 2 * max_shards else lambda df: df
-    joined = placed.join(small(of_shard), placed["source"].eqNullSafe(of_shard["s"]) & (placed["shard"] == of_shard["k"])).drop("s", "k")
+    every = placed(measured if carry else sizes)
+    few = F.broadcast if len(dealt) <= 2 * max_shards else lambda df: df
+    joined = every.join(few(of_shard), every["source"].eqNullSafe(of_shard["s"]) & (every["shard"] == of_shard["k"])).drop("s", "k")
 
     order = W.partitionBy("source", "shard").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "size").rowsBetween(W.unboundedPreceding, W.currentRow)
     passes = F.coalesce(F.expr("quota div nullif(shard_size, 0)"), F.lit(0))
     begun = joined.withColumn("before", F.sum("size").over(order) - F.col("size")).withColumn("passes", passes)
     part = F.least(F.greatest(F.col("quota") - F.col("passes") * F.col("shard_size") - F.col("before"), F.lit(0)), F.col("size"))
-    return begun.withColumn("taken", (F.col("passes") * F.col("size") + part).cast("long")).select("doc_id", "size", "source_size", "target", "taken", "source")
+    return begun.withColumn("taken", (F.col("passes") * F.col("size") + part).cast("long")).select("doc_id", "size", "source_size", "target", "taken", "source", *(["doc"] if carry else []))
+
+
+def taken_rows(mixed: DataFrame, *, text_column: str = "text") -> DataFrame:
+    """The mix itself, from ``mix(..., carry=True)``: each document as often as it is taken.
+
+    Whole passes give whole copies; a last part gives a copy of its first words, joined by one space.
+    """
+    passes = F.expr("taken div nullif(size, 0)")
+    rest = F.col("taken") - F.col("passes") * F.col("size")
+    rows = mixed.where("taken > 0").withColumn("passes", passes).withColumn("rest", rest)
+    rows = rows.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("passes") + (F.col("rest") > 0).cast("long"))))
+    words = F.slice(F.filter(F.split(F.col(f"doc.{text_column}"), r"[\x20\x09-\x0D]+"), lambda x: x != ""), F.lit(1), F.col("rest").cast("int"))
+    text = F.when(F.col("copy") <= F.col("passes"), F.col(f"doc.{text_column}")).otherwise(F.array_join(words, " "))
+    names = mixed.schema["doc"].dataType.names
+    return rows.select(*[text.alias(c) if c == text_column else F.col(f"doc.`{c}`").alias(c) for c in names])

@@ -263,9 +263,9 @@ def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text
     return fit([(text, label) for _, text, label in rows])
 
 
-def score_toxicity(docs: DataFrame, model: Model, *, text_column: str = "text", score_column: str = "score") -> DataFrame:
-    """The other columns of ``docs`` and a double ``score_column`` from 0 to 1 (joins to the text by id)."""
-    kept = [c for c in docs.columns if c not in (score_column, text_column)]
+def score_toxicity(docs: DataFrame, model: Model, *, text_column: str = "text", score_column: str = "score", keep_text: bool = False) -> DataFrame:
+    """The columns of ``docs`` (its text with ``keep_text``) and a double ``score_column`` from 0 to 1."""
+    kept = [c for c in docs.columns if c != score_column and (keep_text or c != text_column)]
     given = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], F.col(f"`{text_column}`").cast("string").alias("__text"))
 
     def run(batches):
@@ -277,5 +277,5 @@ def score_toxicity(docs: DataFrame, model: Model, *, text_column: str = "text",
                 scores = pa.array(model.score(part.column("__text")))
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], scores], names=[*part.schema.names[:-1], "__score"])
 
-    schema = ", ".join([f"`{n}` {t}" for n, t in given.dtypes if n != "__text"] + ["__score double"])
+    schema = ", ".join([f"{n} {t}" for n, t in given.dtypes if n != "__text"] + ["__score double"])
     return given.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], F.col("__score").alias(score_column))
