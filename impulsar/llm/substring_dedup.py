@@ -34,7 +34,7 @@ from impulsar.llm.ngram_jaccard import _planes, _unplanes
 from impulsar.llm.words import Words, mix64, powers
 
 WINDOW, PHRASE = 50, 5
-CHUNK_WORDS, BATCH_BYTES = 4_000_000, 1 << 23
+CHUNK_WORDS, BATCH_BYTES = 4_000_000, 1 << 21
 _RADIX = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -78,7 +78,7 @@ def _documents(batches, names: tuple[str, ...]):
                 yield *(v[row] for v in values), words.row_hashes(row)
 
 
-_POSTED = pa.schema([("block", pa.int64()), ("size", pa.int64()), ("words", pa.binary()), ("docs", pa.binary())])
+_POSTED = pa.schema([("block", pa.int64()), ("words", pa.binary()), ("docs", pa.binary()), ("shards", pa.binary())])
 
 
 def _post_phrases(window: int, phrase: int, bits: int, chunk_words: int):
@@ -93,12 +93,12 @@ def _post_phrases(window: int, phrase: int, bits: int, chunk_words: int):
         key, words, docs, of = key[order], words[order], docs[order], of[order]
         new = np.concatenate(([True], (key[1:] != key[:-1]) | (of[1:] != of[:-1])))
         keep = new | np.append(new[1:], True)  # first and last document of each phrase and shard
-        key, words, docs = key[keep], words[keep], docs[keep]
+        key, words, docs, of = key[keep], words[keep], docs[keep], of[keep]
         edges = np.searchsorted(key >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
         out, size = [], 0
         for b in np.flatnonzero(np.diff(edges)):
             part = slice(edges[b], edges[b + 1])
-            out.append({"block": int(b), "size": int(edges[b + 1] - edges[b]), "words": words[part].astype("<u4").tobytes(), "docs": _planes(docs[part].astype(np.int64), 8)})
+            out.append({"block": int(b), "words": words[part].astype("<u4").tobytes(), "docs": _planes(docs[part].astype(np.int64), 8), "shards": _planes(of[part], 4)})
             size += len(out[-1]["words"])
             if size > 1 << 22:
                 yield pa.RecordBatch.from_pylist(out, _POSTED)
@@ -132,22 +132,19 @@ def _post_phrases(window: int, phrase: int, bits: int, chunk_words: int):
 _PHRASES = pa.schema([("shard", pa.int64()), ("words", pa.binary())])
 
 
-def shard_of(doc: np.ndarray, shards: int) -> np.ndarray:
-    return (mix64(doc.astype(np.int64).view(np.uint64)) % np.uint64(shards)).astype(np.int64)
-
-
-def _confirm(phrase: int, shards: int):
+def _confirm(phrase: int):
     """Phrases of at least two documents, for each document block that has them."""
 
     def run(key, table):
         words = np.concatenate([np.frombuffer(w, dtype="<u4").reshape(-1, phrase) for w in table["words"].to_pylist()])
         docs = np.concatenate([_unplanes(d, 8).view(np.int64) for d in table["docs"].to_pylist()])
+        of = np.concatenate([_unplanes(d, 4).astype(np.int64) for d in table["shards"].to_pylist()])
         order = np.lexsort((*words.T,))
-        words, docs = words[order], docs[order]
+        words, docs, of = words[order], docs[order], of[order]
         first = np.flatnonzero(np.concatenate(([True], (words[1:] != words[:-1]).any(axis=1))))
         runs = np.diff(np.append(first, len(words)))
         recurs = np.repeat(np.minimum.reduceat(docs, first) < np.maximum.reduceat(docs, first), runs)
-        words, of, phrase_no = words[recurs], shard_of(docs[recurs], shards), np.repeat(np.arange(len(first)), runs)[recurs]
+        words, of, phrase_no = words[recurs], of[recurs], np.repeat(np.arange(len(first)), runs)[recurs]
         order = np.lexsort((phrase_no, of))
         words, of, phrase_no = words[order], of[order], phrase_no[order]
         if len(of):
@@ -304,14 +301,9 @@ def remove_repeated_passages(docs: DataFrame, *, id_column: str = "doc_id", text
     bits = max(4, (shards - 1).bit_length())
     given = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
 
-    def sharded(batches):
-        for batch in batches:
-            ids = batch.column("doc_id").fill_null(0).to_numpy()
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(shard_of(ids, shards))], names=[*batch.schema.names, "shard"])
-
-    tagged = given.withColumn("tag", F.xxhash64("text")).mapInArrow(sharded, "doc_id long, text string, tag long, shard long")
-    posted = tagged.select("doc_id", "shard", "text").mapInArrow(_post_phrases(window, phrase, bits, chunk_words), "block long, size long, words binary, docs binary")
-    phrases = posted.groupBy("block").applyInArrow(_confirm(phrase, shards), "shard long, words binary")
+    tagged = given.select("*", F.xxhash64("text").alias("tag"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"))
+    posted = tagged.select("doc_id", "shard", "text").mapInArrow(_post_phrases(window, phrase, bits, chunk_words), "block long, words binary, docs binary, shards binary")
+    phrases = posted.groupBy("block").applyInArrow(_confirm(phrase), "shard long, words binary")
     windows = tagged.where("doc_id IS NOT NULL").groupBy("shard").cogroup(phrases.groupBy("shard")).applyInArrow(_locate(window, phrase, bits), _WINDOWS_SQL)
     told = windows.groupBy("block").applyInArrow(_earliest, _WINDOWS_SQL)
     spans = cut(told.groupBy("shard").applyInArrow(_covered(window), "doc_id long, tag long, spans array<long>"))
