@@ -1,70 +1,22 @@
-"""Shared pieces of the corpus operators: cutting lineage, connected components."""
+"""Shared pieces of the corpus operators."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of a text: maximal runs of anything but space and 0x09-0x0D.
-WORD = r"[^\x20\x09-\x0D]+"
-
-
-def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; one of our own only where it is unset."""
-    conf = spark.sparkContext.getConf()
-    path = conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
-    if not path:
-        path = "file://" + tempfile.mkdtemp(prefix="impulsar-")
-        spark.conf.set("spark.checkpoint.dir", path)
-    return path.rstrip("/")
+from impulsar.operators.components import components, cut, shared_folder
 
+__all__ = ["WORD", "components", "cut", "partitions", "shared_folder", "word_count"]
 
-def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` as a table in the shared folder and read it back, which ends its lineage."""
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/impulsar/{uuid.uuid4().hex}"
-    schema = df.schema
-    df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+#: Words of a text: maximal runs of anything but space and 0x09-0x0D.
+WORD = r"[^\x20\x09-\x0D]+"
 
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def _signature(edges: DataFrame) -> tuple:
-    row = edges.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
-    return row["n"], row["s"]
-
-
-def components(edges: DataFrame) -> DataFrame:
-    """Connected components of undirected ``edges`` (u long, v long).
-
-    Alternating large-star and small-star rounds; returns (node, component)
-    for every node of an edge, the component being its smallest node.  Each
-    round is joins and partially aggregated minima, cut to the shared folder;
-    nothing is collected but a count and a checksum of the edges.
-    """
-    edges = cut(edges.where("u IS NOT NULL AND v IS NOT NULL AND u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-    before = _signature(edges)
-    while before[0]:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
-        after = _signature(edges)
-        if after == before:
-            break
-        before = after
-    pairs = edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return pairs.unionByName(pairs.select(F.col("component").alias("node"), "component").distinct())
-
-
 def word_count(text: Column) -> Column:
     """Number of words of a text, 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)), F.lit(0)).cast("long")

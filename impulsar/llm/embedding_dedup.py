@@ -14,7 +14,7 @@ number of its links there, and a spanning forest of them: never all pairs.
 
 Defined cases: vectors that are null, empty, zero, or hold null or non-finite
 components, and vectors without a label, are rows of their own with no links;
-rows with one id are one node (their links are added); null ids link with
+rows with one id are one node (the links of their different vectors are added); null ids link with
 nothing; other columns are ignored; an empty table gives an empty result.
 """
 
