@@ -18,7 +18,7 @@ from impulsar.operators import covariance as cov
 from impulsar.operators.absorb import factor, make_plan
 from impulsar.operators.align import lead, outcomes, row_marks, unit_window, with_masks
 from impulsar.operators.ranks import Rank, effect_rank, nested
-from impulsar.operators.sample import mask_groups, prune_singletons
+from impulsar.operators.sample import group_sizes, mask_groups, prune_singletons
 from impulsar.plans.options import Options, cluster_terms, lag_grid, lag_numbers
 from impulsar.plans.terms import MAX_LEVELS, as_effects, as_terms, plan_terms, sources
 from impulsar.progress import ProgressEvent, Reporter
@@ -178,9 +178,13 @@ class LocalProjection:
             reporter.update("factorize fixed effects", number_, len(samples), f"horizons {horizons[0]}..{horizons[-1]}")
             rows = rows.drop(*[f"__m{h}" for h in range(n_h)], "__first", "__again", "__gap")
             gone = turns = 0
-            if effects and o.singleton_policy == "drop":
-                rows, gone, turns = prune_singletons(rows, effect_keys)
-                if gone and "__f" and any(e == (unit,) for e in effects):
+            order = {e: ("__u" if effects[i] == (unit,) else e) for i, e in enumerate(effect_keys)}
+            cluster_keys = [("__u" if c == (unit,) else f"__g{i}") for i, c in enumerate(clusters)]
+            sizes_of = group_sizes(rows, [*order.values(), *cluster_keys, "__t"])
+            if o.singleton_policy == "drop" and any(sizes_of[e][1] == 1 for e in order.values()):
+                rows, gone, turns = prune_singletons(rows, list(order.values()))
+                sizes_of = group_sizes(rows, [*order.values(), *cluster_keys, "__t"])
+                if any(e == (unit,) for e in effects):
                     rows = rows.repartition("__u").sortWithinPartitions("__u", "__t")
             for h in horizons:
                 dropped[h], rounds[h], group_of[h] = gone, turns, number_
@@ -189,8 +193,7 @@ class LocalProjection:
                 held.append(rows)
             zs = [*xs, *[ys[h] for h in horizons]]
             stats = rows.agg(
-                F.count(F.lit(1)).alias("n"), F.count_distinct("__t").alias("periods"), F.count_distinct("__u").alias("units"),
-                *[F.count_distinct(f).alias(f"d{f}") for f in effect_keys], *[F.count_distinct(f"__g{i}").alias(f"d__g{i}") for i in range(len(clusters))],
+                F.count(F.lit(1)).alias("n"),
                 *[f(c).alias(f"{label}{c}") for c in zs for label, f in (("a", F.avg), ("l", F.min), ("h", F.max))],
                 *[x for family in plan.families if family.kind == "categorical" for i, v in enumerate(family.levels) for x in (
                     F.sum((F.col(f"__m_{family.moderator}") == F.lit(v)).cast("long")).alias(f"s{family.name}:{i}"),
@@ -209,17 +212,14 @@ class LocalProjection:
             if not effects:
                 scale = np.array([max(abs(stats[f"h{c}"]), abs(stats[f"l{c}"])) for c in zs])
             scale = np.where((scale > 0) & np.isfinite(scale), scale, 1.0)
-            counts = [stats[f"d{f}"] for f in effect_keys]
+            counts = [sizes_of[e][0] for e in order.values()]
 
             reporter.update("absorb regressors", message=f"{k_all} columns")
-            order = {e: ("__u" if effects[i] == (unit,) else e) for i, e in enumerate(effect_keys)}
             laid, how, schur = make_plan(rows, zs, list(order.values()), counts, unit="__u", center=mean, scale=scale, tol=o.demean_tol, max_iter=o.max_iter)
             rank = self._rank(rows, list(order.values()), counts, schur)
             size, groups_found, r = factor(laid, how)
             norms = np.sqrt((r[:, :k_all] ** 2).sum(axis=0))
-            largest = n
-            if len(effects) == 1:
-                largest = rows.groupBy(list(order.values())[0]).count().agg(F.max("count")).first()[0]
+            largest = max((sizes_of[e][2] for e in order.values()), default=n)
             floor = signal_floor(n, len(effects), largest, how.method == "map", o.demean_tol)
             weak = ~np.isfinite(norms) | (norms == 0) | (norms <= floor)
             if bad := [features[i] for i in np.flatnonzero(weak) if features[i] not in plan.nuisance]:
@@ -236,12 +236,11 @@ class LocalProjection:
                 raise ValueError(f"residual degrees of freedom must be positive{note} at horizon {horizons[0]} (n={n}, model rank={model_rank})")
 
             correction, correction_rank, nested_effects, labels = model_rank, rank, (), ["#".join(c) for c in clusters]
-            cluster_keys = [("__u" if c == (unit,) else f"__g{i}") for i, c in enumerate(clusters)]
             if o.covariance == "cluster":
                 correction, nested_effects, correction_rank = self._parameters(rows, list(order.values()), counts, effects, clusters, cluster_keys, k, rank)
                 if o.cluster_correction == "cr1" and n <= correction:
                     raise ValueError("cluster correction requires positive degrees of freedom under the selected parameter-count policy")
-                sizes = [stats[f"d__g{i}"] for i in range(len(clusters))]
+                sizes = [sizes_of[g][0] for g in cluster_keys]
                 for label, g in zip(labels, sizes, strict=True):
                     if g < 2:
                         raise ValueError(f"cluster term {label!r} requires at least two clusters")
@@ -267,7 +266,7 @@ class LocalProjection:
 
             reporter.update("estimate horizon batch", 0, len(horizons), f"horizons {horizons[0]}..{horizons[-1]}")
             reporter.update("calculate covariance", message=f"horizons {horizons[0]}..{horizons[-1]}")
-            meats, note, spread = self._meats(laid, how, fit, horizons, squares, n, model_rank, correction, cluster_keys, labels, stats, k)
+            meats, note, spread = self._meats(laid, how, fit, horizons, squares, n, model_rank, correction, cluster_keys, labels, sizes_of["__t"][0], k)
             reporter.update("estimate horizon batch", len(horizons), len(horizons))
             inverse = np.linalg.inv(rxx)
             v = inverse @ meats @ inverse.T
@@ -363,7 +362,7 @@ class LocalProjection:
         label = lambda e: e[0] if len(e) == 1 else e
         return k + rank.rank, tuple(label(effects[i]) for i in inside), rank
 
-    def _meats(self, df, plan, fit, horizons, squares, n, model_rank, correction, cluster_keys, labels, stats, k):
+    def _meats(self, df, plan, fit, horizons, squares, n, model_rank, correction, cluster_keys, labels, periods, k):
         """(meats in the orthonormal basis, diagnostics by position, absolute component sum or None)."""
         o, m = self.options, len(horizons)
         if o.covariance == "homoskedastic":
@@ -386,7 +385,7 @@ class LocalProjection:
                 notes.append({"terms": tuple(labels[i] for i in subset), "n_clusters": size, "sign": sign, "adjustment_clusters": used if o.cluster_correction == "cr1" else None})
             note = {"kind": "cluster", "correction": o.cluster_correction, "correction_rank": correction, "parameter_count": o.cluster_df, "group_adjustment": o.cluster_group_adjustment, "components": tuple(notes)}
             return total, lambda j: dict(note), spread
-        widths = [o.hac_lags if o.hac_lags is not None else default_bandwidth(stats["periods"], h) for h in horizons]
+        widths = [o.hac_lags if o.hac_lags is not None else default_bandwidth(periods, h) for h in horizons]
         if o.covariance == "hac":
             meat = cov.hac(df, plan, fit, "__u", o.hac_kernel, widths)
         else:

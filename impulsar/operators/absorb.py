@@ -19,6 +19,7 @@ from __future__ import annotations
 
 import pickle
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -31,6 +32,7 @@ from impulsar.operators.components import cut
 
 MAX_LEVELS = 1000
 BLOCK_VALUES = 1 << 21
+DIRECT = 64
 _PACK = pa.schema([("payload", pa.binary())])
 
 
@@ -116,8 +118,12 @@ def _pack(value) -> pa.RecordBatch:
 
 
 def _total(df: DataFrame, add):
-    """Sum of the partitions' payloads; in two steps where they are many."""
-    slots = df.sparkSession.sparkContext.defaultParallelism
+    """Sum of the partitions' payloads; in two steps where they may be many."""
+    spark = df.sparkSession
+    if int(spark.conf.get("spark.sql.shuffle.partitions")) <= DIRECT and spark.sparkContext.defaultParallelism <= DIRECT:
+        values = [pickle.loads(row["payload"]) for row in df.collect()]
+        return reduce(add, values)
+    slots = spark.sparkContext.defaultParallelism
 
     def fold(key, table):
         whole = None

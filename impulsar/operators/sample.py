@@ -2,12 +2,24 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from impulsar.operators.components import cut
 
 
+def group_sizes(df: DataFrame, keys: list[str]) -> dict[str, tuple[int, int, int]]:
+    """(levels, smallest group, largest group) of each key, by one job of small aggregates."""
+    found: dict[str, tuple[int, int, int]] = {}
+    parts = [df.groupBy(k).count().agg(F.lit(k).alias("key"), F.count(F.lit(1)).alias("levels"), F.min("count").alias("low"), F.max("count").alias("high")) for k in dict.fromkeys(keys)]
+    if parts:
+        for row in reduce(DataFrame.unionByName, parts).collect():
+            found[row["key"]] = (row["levels"], row["low"] or 0, row["high"] or 0)
+    return found
+
+
 def prune_singletons(df: DataFrame, effects: list[str]) -> tuple[DataFrame, int, int]:
     """Drop rows alone in a group of any effect, until none is left: (rows, dropped, rounds).
 
@@ -16,17 +28,13 @@ def prune_singletons(df: DataFrame, effects: list[str]) -> tuple[DataFrame, int,
     for it unless that set is large.
     """
     dropped = rounds = 0
-    while effects:
-        alone = [df.groupBy(e).count().where("count = 1").select(e) for e in effects]
+    while effects and any(low == 1 for _, low, _ in group_sizes(df, effects).values()):
         left = df
-        for e, few in zip(effects, alone, strict=True):
-            left = left.join(few, e, "left_anti")
-        before, after = df.count(), None
-        if all(few.isEmpty() for few in alone):
-            break
+        for e in dict.fromkeys(effects):
+            left = left.join(df.groupBy(e).count().where("count = 1").select(e), e, "left_anti")
+        before = df.count()
         left = cut(left.select(*df.columns))
-        after = left.count()
-        dropped, rounds, df = dropped + before - after, rounds + 1, left
+        dropped, rounds, df = dropped + before - left.count(), rounds + 1, left
     return df, dropped, rounds
 
 
