@@ -215,7 +215,7 @@ class LocalProjection:
             counts = [sizes_of[e][0] for e in order.values()]
 
             reporter.update("absorb regressors", message=f"{k_all} columns")
-            laid, how, schur = make_plan(rows, zs, list(order.values()), counts, unit="__u", center=mean, scale=scale, tol=o.demean_tol, max_iter=o.max_iter)
+            laid, how, schur = make_plan(rows, zs, list(order.values()), counts, unit="__u", center=mean, scale=scale, tol=o.demean_tol, max_iter=o.max_iter, acceleration=o.demean_acceleration)
             rank = self._rank(rows, list(order.values()), counts, schur)
             size, groups_found, r = factor(laid, how)
             norms = np.sqrt((r[:, :k_all] ** 2).sum(axis=0))
@@ -307,7 +307,7 @@ class LocalProjection:
             "covariance_config_": {"kind": o.covariance, "cluster_terms": tuple("#".join(c) for c in clusters)} | {x: getattr(o, x) if o.covariance == "cluster" else None for x in ("cluster_correction", "cluster_df", "cluster_group_adjustment", "cluster_inference", "few_cluster_threshold")} | {x: getattr(o, x) if o.covariance in ("hac", "driscoll_kraay") else None for x in ("hac_lags", "hac_kernel", "hac_debias")},
             "singleton_diagnostics_": {"policy": o.singleton_policy, "dropped_by_horizon": np.array([dropped[h] for h in range(n_h)]), "rounds_by_horizon": np.array([rounds[h] for h in range(n_h)])},
             "linear_algebra_diagnostics_": {"solver": shown[0]["solver"] if len({s["solver"] for s in shown.values()}) == 1 else "mixed", "by_cache_group": tuple(shown.values())},
-            "demeaning_diagnostics_": {"method": fits[0][1].method, "method_by_cache_group": tuple(f[1].method for f in fits), "iterations_by_cache_group": tuple(f[1].iterations for f in fits), "backend": "spark", "cache_mode": "shared_design" if len(samples) == 1 else "mask_grouped", "acceleration": o.demean_acceleration, "consecutive_clock": not checks["gaps"], "batch_size": batch},
+            "demeaning_diagnostics_": {"method": fits[0][1].method, "method_by_cache_group": tuple(f[1].method for f in fits), "iterations_by_cache_group": tuple(f[1].iterations for f in fits), "acceleration_accepted_by_cache_group": tuple(f[1].accepted for f in fits), "backend": "spark", "cache_mode": "shared_design" if len(samples) == 1 else "mask_grouped", "acceleration": o.demean_acceleration, "consecutive_clock": not checks["gaps"], "batch_size": batch},
             "_fits": fits, "_unit": unit, "_time": time, "_first_time": panel.first_time, "_irfplot": None, "_spark": spark,
         }
 

@@ -74,10 +74,11 @@ def test_cumulative_and_joint_effect(spark):
     close(model, GAPPED, effects=[("unit",), ("third", "time")], cumulative=True)
 
 
-def test_alternating_projections_agree(spark, monkeypatch):
+@pytest.mark.parametrize("acceleration", ["none", "irons_tuck", "aitken"])
+def test_alternating_projections_agree(spark, monkeypatch, acceleration):
     direct = fit(GAPPED, 1, fixed_effects=["unit", "time"])
     monkeypatch.setattr(absorb, "MAX_LEVELS", 3)
-    swept = fit(GAPPED, 1, fixed_effects=["unit", "time"])
+    swept = fit(GAPPED, 1, options={"demean_acceleration": acceleration}, fixed_effects=["unit", "time"])
     assert (direct.demeaning_diagnostics_["method"], swept.demeaning_diagnostics_["method"]) == ("exact_schur", "map")
     assert list(swept.model_rank_by_horizon_) == list(direct.model_rank_by_horizon_)
     np.testing.assert_allclose(swept.coef_, direct.coef_, rtol=1e-7)
