@@ -1,0 +1 @@
+"""Plain functions: quantiles and kernel weights."""

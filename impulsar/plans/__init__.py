@@ -1,0 +1 @@
+"""Specifications: settings, terms, and the SQL of the same estimates."""

@@ -1,0 +1 @@
+"""Panel input and its checks."""

@@ -1,0 +1 @@
+"""Streaming: a fit is one batch over a panel, so there is no operator here; read a stream's table and fit."""
