@@ -29,14 +29,16 @@ from collections import Counter
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from impulsar.llm.words import Words
 
-MAX_LABELLED, MAX_TERMS, WINDOW, BATCH_BYTES = 6000, 400, 6, 1 << 23
+MAX_LABELLED, MAX_TERMS, WINDOW, BATCH_BYTES = 6000, 400, 6, 1 << 21
 #: General terms known before any label is read.
 SEED_TERMS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "imbecile", "dumbass", "asshole", "bastard", "bitch", "retard", "vermin", "dickhead", "shithead", "subhuman")
+MIN_DOCUMENTS = 4
 _QUOTES = "\"“”„«»‹›‘’'`"
 _REPORT = frozenset("said says wrote writes called quote quoted quotes term word reported reports quoting".split())
 _SECOND = frozenset("you your yours you're youre u ur yourself".split())
@@ -208,32 +210,49 @@ PRIOR = np.array([-2.5, 2.0, -0.5, 1.5, 1.0, 0.5, 0.5, 1.5])
 
 def fit(rows: list[tuple[str, int]], max_terms: int = MAX_TERMS) -> Model:
     """Lexicon and coefficients from (text, label) rows."""
-    counts = [Counter(), Counter()]
-    totals = [0, 0]
+    def marks(text: str) -> set[str]:
+        seen = {w for w in map(plain, text.split()) if 3 < len(w) < 40}
+        return seen | {w[:n] + "*" for w in seen for n in (5, 6, 7) if len(w) > n}
+
+    totals = [sum(y == label for _, y in rows) for label in (0, 1)]
+    toxic: Counter = Counter()
+    for text, label in rows:
+        if label:
+            toxic.update(marks(text))
+    toxic = Counter({w: n for w, n in toxic.items() if n >= MIN_DOCUMENTS})
+    clean: Counter = Counter()
     for text, label in rows:
-        seen = {plain(w) for w in text.split()}
-        seen = {w for w in seen if 3 < len(w) < 40}
-        counts[label].update(seen)
-        counts[label].update({w[:n] + "*" for w in seen for n in (5, 6, 7) if len(w) > n})
-        totals[label] += 1
+        if not label:
+            clean.update(w for w in marks(text) if w in toxic)
     terms, odds = dict.fromkeys(SEED_TERMS, False), dict.fromkeys(SEED_TERMS, 3.0)
     if min(totals) >= 5:
-        # A term that only a clean majority's chance would explain is no term: demand odds far above the prior.
+        # A term that only chance explains is no term: demand odds far above the prior.
         ranked = []
-        for word, hits in counts[1].items():
-            if hits >= 4:
-                weight = math.log((hits + 0.5) / (totals[1] + 1) / ((counts[0][word] + 0.5) / (totals[0] + 1)))
-                if weight > 2.5:
-                    ranked.append((-weight * math.log1p(hits), word, weight))
+        for word, hits in toxic.items():
+            weight = math.log((hits + 0.5) / (totals[1] + 1) / ((clean[word] + 0.5) / (totals[0] + 1)))
+            if weight > 2.5:
+                ranked.append((-weight * math.log1p(hits), word, weight))
         for _, word, weight in sorted(ranked)[:max_terms]:
             terms.setdefault(word.rstrip("*"), word.endswith("*"))
             odds[word.rstrip("*")] = weight
     model = Model(terms, odds, PRIOR)
     if min(totals) >= 5:
-        model.coefficients = _logistic(model.features(pa.array([t for t, _ in rows], pa.string())), np.array([y for _, y in rows], dtype=float))
+        texts = pa.array([t for t, _ in rows], pa.large_string())
+        features = [model.features(part) for part in _slices(texts)]
+        model.coefficients = _logistic(np.concatenate(features), np.array([y for _, y in rows], dtype=float))
     return model
 
 
+def _slices(texts: pa.Array):
+    """Runs of texts of about ``BATCH_BYTES``, so that what a slice needs stays bounded."""
+    sizes = np.cumsum(pc.fill_null(pc.binary_length(texts), 0).to_numpy(zero_copy_only=False))
+    low = 0
+    while low < len(texts):
+        high = max(low + 1, int(np.searchsorted(sizes, (sizes[low - 1] if low else 0) + BATCH_BYTES, side="right")))
+        yield texts.slice(low, high - low)
+        low = high
+
+
 def _logistic(x: np.ndarray, y: np.ndarray, ridge: float = 0.1, rounds: int = 40) -> np.ndarray:
     """Penalised logistic regression by Newton steps."""
     beta = np.zeros(x.shape[1])
@@ -270,12 +289,8 @@ def score_toxicity(docs: DataFrame, model: Model, *, text_column: str = "text",
 
     def run(batches):
         for batch in batches:
-            column = batch.column("__text")
-            step = max(1, int(len(column) * BATCH_BYTES / max(column.nbytes, 1)))
-            for low in range(0, len(column), step):
-                part = batch.slice(low, step)
-                scores = pa.array(model.score(part.column("__text")))
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], scores], names=[*part.schema.names[:-1], "__score"])
+            scores = [model.score(part) for part in _slices(batch.column("__text"))]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*batch.schema.names[:-1], "__score"])
 
     schema = ", ".join([f"{n} {t}" for n, t in given.dtypes if n != "__text"] + ["__score double"])
     return given.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], F.col("__score").alias(score_column))
