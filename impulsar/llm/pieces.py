@@ -15,6 +15,7 @@ Aho-Corasick automaton enumerates by their end:
 
 from __future__ import annotations
 
+import hashlib
 import re
 import struct
 from functools import cached_property
@@ -28,6 +29,7 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 SPACE = "▁"
 _NONE = -1
+MAX_PAIRS = 2_000_000
 
 
 def _fields(data: bytes):
@@ -99,18 +101,26 @@ class PieceModel:
         if any(t == USER_DEFINED or t == UNUSED for t in self.types):
             raise ValueError("user-defined and unused pieces are not supported")
         self.longest = max(map(len, self.ids))
-        self.unknown_score = np.float32(min((self.scores[i] for i in self.ids.values()), default=0.0) - 10.0)
+        self.scores32 = [np.float32(x) for x in self.scores]
+        self.letters = frozenset(p for p in self.ids if len(p) == 1)
+        if not self.letters.issuperset("".join(self.ids)):
+            raise ValueError("every letter of a piece must be a piece")
         crossing = any(SPACE in p.lstrip(SPACE) for p in self.ids)
         #: Where no piece runs from a letter into a space, every path has a boundary there.
-        self._chunk = None if crossing else re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
-        self._pairs: dict[tuple[str, str], bool] = {}
+        #: Letters outside the vocabulary are runs of their own.
+        inside = "".join(map(re.escape, sorted(self.letters - {SPACE})))
+        self._chunk = re.compile(f"[{inside}{SPACE}]+|[^{inside}{SPACE}]+" if crossing else f"{SPACE}*[{inside}]+|{SPACE}+|[^{inside}{SPACE}]+")
+        #: Letters next to each other in some piece; elsewhere every path has a boundary too.
+        self.touching = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        self._pairs: dict[int, bool] = {}
         self._trees: dict[str, tuple | None] = {}
 
     @cached_property
     def automaton(self) -> ahocorasick.Automaton:
         automaton = ahocorasick.Automaton()
         for piece, i in self.ids.items():
-            automaton.add_word(piece, (i, len(piece)))
+            if self.kind == UNIGRAM or self.tree(piece) is not None:  # no other piece is ever left by merging
+                automaton.add_word(piece, (i, len(piece)))
         automaton.make_automaton()
         return automaton
 
@@ -118,9 +128,15 @@ class PieceModel:
         return ((SPACE if self.dummy_prefix else "") + text.replace(" ", SPACE)) if text else ""
 
     def chunks(self, text: str) -> list[str]:
-        """Pieces of the normalized text that no vocabulary piece crosses."""
-        text = self.normalize(text)
-        return self._chunk.findall(text) if self._chunk else [text] if text else []
+        """Stretches of the normalized text whose ends no vocabulary piece crosses."""
+        return self._chunk.findall(self.normalize(text))
+
+    def split(self, chunk: str) -> list[str]:
+        """A chunk with punctuation cut wherever two letters never meet in a piece."""
+        if chunk.lstrip(SPACE).isalpha():
+            return [chunk]
+        ends = [i for i in range(1, len(chunk)) if chunk[i - 1 : i + 1] not in self.touching]
+        return [chunk[a:b] for a, b in zip([0, *ends], [*ends, len(chunk)], strict=True)] if ends else [chunk]
 
     # BPE
 
@@ -148,14 +164,14 @@ class PieceModel:
             self._trees[piece] = row[0] if len(row) == 1 else None
         return self._trees[piece]
 
-    def survives(self, left: str, right: str) -> bool:
-        """Whether merging leaves ``left`` and ``right`` apart."""
-        key = (left, right)
+    def survives(self, left: int, right: int) -> bool:
+        """Whether merging leaves the pieces ``left`` and ``right`` apart."""
+        key = left << 24 | right
         found = self._pairs.get(key)
         if found is None:
-            if len(self._pairs) > 2_000_000:
+            if len(self._pairs) > MAX_PAIRS:
                 self._pairs.clear()
-            found = self._pairs[key] = self._survives(left, right)
+            found = self._pairs[key] = self._survives(self.pieces[left], self.pieces[right])
         return found
 
     def _survives(self, left: str, right: str) -> bool:
@@ -177,120 +193,201 @@ class PieceModel:
             a, a_gone = a[2], a[3]
         return True
 
-    def expand(self, piece: int, letter: str) -> list[int]:
-        """Ids of a piece; a letter without one falls back to bytes or the unknown id."""
-        if piece != _NONE:
-            return [piece]
-        return [self.byte_ids[b] for b in letter.encode()] if self.byte_fallback else [self.unknown]
+    def fallback(self, text: str) -> list[int]:
+        """Ids of letters outside the vocabulary."""
+        return [self.byte_ids[b] for b in text.encode()] if self.byte_fallback else [self.unknown]
 
 
-class Path:
-    """Streaming path search over one chunk.
+def encode_part(model: PieceModel, text: str) -> list[int]:
+    """Ids of a run of letters of the vocabulary.
 
-    Positions further back than the longest piece are out of reach.  Among the
-    others the backpointer paths are followed until they meet; what lies before
-    that boundary is committed and forgotten.
+    Each position keeps its best path's last piece and where that begins.  Every
+    few lengths of the longest piece, the paths to the positions still in reach
+    are followed back until they meet; the ids before that boundary are
+    committed, and the rest is all that is kept.
     """
-
-    def __init__(self, model: PieceModel):
-        self.model = model
-        self.back: dict[int, tuple] = {0: (None, _NONE, "", np.float32(0))}  # start, id, piece, score
-        self.done, self.ids = 0, []
-
-    def extend(self, at: int, letter: str, matches: list[tuple[int, int]], text: str) -> None:
-        """``matches``: (id, length) of the pieces that end at ``at``, longest first."""
-        model, back = self.model, self.back
-        if not any(n == 1 for _, n in matches):
-            matches = [*matches, (_NONE, 1)]
-        best = None
-        for piece, n in matches:
-            before = back.get(at - n)
-            if before is None:
-                continue
-            word = text[at - n : at]
-            if model.kind == BPE:
-                if model.survives(before[2], word) if at > n else piece == _NONE or model.tree(word) is not None:
-                    best = (at - n, piece, word, before[3])
-                    break
-            else:
-                score = np.float32(before[3] + (np.float32(model.scores[piece]) if piece != _NONE else model.unknown_score))
-                if best is None or score > best[3]:
-                    best = (at - n, piece, word, score)
-        if best is not None:
-            back[at] = best
-
-    def commit(self, at: int, last: bool) -> None:
-        """Commit up to the boundary at which all paths still alive meet."""
-        alive = {at} if last else {p for p in range(max(self.done, at - self.model.longest + 1), at + 1) if p in self.back}
+    n, reach = len(text), model.longest
+    every = 8 * reach
+    base, ids = 0, []
+    start, last = [0], [_NONE]
+    score = [np.float32(0)]
+    bpe, pairs, survives, pieces = model.kind == BPE, model._pairs, model.survives, model.automaton.iter(text)
+    scores = model.scores32
+
+    def commit(at: int, alive: list[int]) -> int:
         meet = set(alive)
         while len(meet) > 1:
             top = max(meet)
             meet.remove(top)
-            meet.add(max(self.back[top][0], self.done) if top > self.done else self.done)
-        boundary, path = meet.pop(), []
-        while boundary > self.done:
-            start, piece, word, _ = self.back[boundary]
-            path.append((piece, word))
-            boundary = start
-        for piece, word in reversed(path):
-            more = self.model.expand(piece, word)
-            if more == [self.model.unknown] and self.ids[-1:] == more:
+            meet.add(start[top - base])
+        boundary = p = meet.pop()
+        path = []
+        while p > base:
+            path.append(last[p - base])
+            p = start[p - base]
+        ids.extend(reversed(path))
+        return boundary
+
+    at = 0
+    for end, (piece, size) in pieces:
+        while at <= end:  # a position opens
+            if at - base >= every and at < n:
+                boundary = commit(at, [p for p in range(max(base, at - reach + 1), at + 1) if p == base or last[p - base] != _NONE])
+                del start[: boundary - base], last[: boundary - base], score[: boundary - base]
+                base = boundary
+            at += 1
+            start.append(0)
+            last.append(_NONE)
+            score.append(None)
+        here, low = at - base, at - size
+        if low < base:
+            continue
+        if bpe:
+            if last[here] != _NONE:
                 continue
-            self.ids += more
-            self.done += len(word)
-        if path:
-            low = min(alive)
-            for p in [p for p in self.back if p < min(low, self.done)]:
-                del self.back[p]
-
-
-def by_end(model: PieceModel, text: str):
-    """(end, matches that end there, longest first) for every position of a text."""
-    found, at = [], 1
-    for end, match in model.automaton.iter(text):
-        while at <= end:
-            yield at, found
-            found, at = [], at + 1
-        found.append(match)
-    while at <= len(text):
-        yield at, found
-        found, at = [], at + 1
+            if low == 0:
+                start[here], last[here] = 0, piece
+                continue
+            before = last[low - base]
+            if before != _NONE:
+                found = pairs.get(before << 24 | piece)
+                if survives(before, piece) if found is None else found:
+                    start[here], last[here] = low, piece
+        else:
+            before = score[low - base]
+            if before is not None:
+                total = before + scores[piece]
+                if score[here] is None or total > score[here]:
+                    start[here], last[here], score[here] = low, piece, total
+    commit(n, [n])
+    return ids
+
+
+def encode_short(model: PieceModel, text: str) -> list[int]:
+    """``encode_part`` for BPE models and texts too short to commit before their end."""
+    n = len(text)
+    start, last, known = [0] * (n + 1), [_NONE] * (n + 1), model._pairs.get
+    for end, (piece, size) in model.automaton.iter(text):
+        if last[end + 1] < 0:
+            low = end + 1 - size
+            if low:
+                before = last[low]
+                found = known(before << 24 | piece)
+                if found is None:
+                    found = model.survives(before, piece)
+                if not found:
+                    continue
+                start[end + 1] = low
+            last[end + 1] = piece
+    ids = []
+    while n:
+        ids.append(last[n])
+        n = start[n]
+    ids.reverse()
+    return ids
 
 
 def encode_chunk(model: PieceModel, text: str) -> list[int]:
-    """Ids of one chunk, committed whenever the surviving paths converge."""
-    path, every = Path(model), 8 * model.longest
-    for at, matches in by_end(model, text):
-        path.extend(at, text[at - 1], matches, text)
-        if at % every == 0:
-            path.commit(at, last=False)
-    path.commit(len(text), last=True)
-    return path.ids
+    """Ids of one chunk."""
+    if text[0] not in model.letters:
+        return model.fallback(text)
+    if model.kind == BPE and len(text) < 8 * model.longest:
+        return encode_short(model, text)
+    return encode_part(model, text)
 
 
-def count_chunk(model: PieceModel, text: str) -> int:
-    """Number of ids of one chunk: each position carries its last piece, score and count, and nothing else."""
+def count_part(model: PieceModel, text: str) -> int:
+    """Number of ids of a run of letters of the vocabulary.
+
+    Each position carries its best path's last piece, score and count in a ring
+    as long as the longest piece, and nothing else is kept.
+    """
     reach = model.longest + 1
-    ring: list[tuple | None] = [None] * reach
-    ring[0] = ("", np.float32(0), 0, False)  # last piece, score, count, whether it is the unknown id
-    for at, matches in by_end(model, text):
-        best = None
-        if not any(n == 1 for _, n in matches):
-            matches = [*matches, (_NONE, 1)]
-        for piece, n in matches:
-            before = ring[(at - n) % reach]
-            if before is None:
+    last, count, score = [_NONE] * reach, [0] * reach, [None] * reach
+    score[0] = np.float32(0)
+    bpe, pairs, survives, scores = model.kind == BPE, model._pairs, model.survives, model.scores32
+    at = 0
+    for end, (piece, size) in model.automaton.iter(text):
+        while at <= end:
+            at += 1
+            last[at % reach], score[at % reach] = _NONE, None
+        here, low = at % reach, at - size
+        if bpe:
+            if last[here] != _NONE:
+                continue
+            if low == 0:
+                last[here], count[here] = piece, 1
                 continue
-            word = text[at - n : at]
-            unknown = piece == _NONE and not model.byte_fallback
-            more = 1 if piece != _NONE else len(word.encode()) if model.byte_fallback else int(not before[3])
-            if model.kind == BPE:
-                if model.survives(before[0], word) if at > n else piece == _NONE or model.tree(word) is not None:
-                    best = (word, before[1], before[2] + more, unknown)
-                    break
-            else:
-                score = np.float32(before[1] + (np.float32(model.scores[piece]) if piece != _NONE else model.unknown_score))
-                if best is None or score > best[1]:
-                    best = (word, score, before[2] + more, unknown)
-        ring[at % reach] = best
-    return ring[len(text) % reach][2] if text else 0
+            before = last[low % reach]
+            if before != _NONE:
+                found = pairs.get(before << 24 | piece)
+                if survives(before, piece) if found is None else found:
+                    last[here], count[here] = piece, count[low % reach] + 1
+        else:
+            before = score[low % reach]
+            if before is not None:
+                total = before + scores[piece]
+                if score[here] is None or total > score[here]:
+                    last[here], score[here], count[here] = piece, total, count[low % reach] + 1
+    return count[len(text) % reach]
+
+
+def count_short(model: PieceModel, text: str) -> int:
+    """``count_part`` for BPE models, positions kept to the end of a short text."""
+    n = len(text)
+    last, count, known = [_NONE] * (n + 1), [0] * (n + 1), model._pairs.get
+    for end, (piece, size) in model.automaton.iter(text):
+        if last[end + 1] < 0:
+            low = end + 1 - size
+            if low:
+                before = last[low]
+                found = known(before << 24 | piece)
+                if found is None:
+                    found = model.survives(before, piece)
+                if not found:
+                    continue
+            last[end + 1], count[end + 1] = piece, count[low] + 1
+    return count[n]
+
+
+def count_chunk(model: PieceModel, text: str) -> int:
+    """Number of ids of one chunk."""
+    if text[0] not in model.letters:
+        return len(model.fallback(text))
+    if model.kind == BPE and len(text) < 8 * model.longest:
+        return count_short(model, text)
+    return count_part(model, text)
+
+
+class Chunks(dict):
+    """Results by chunk, in two generations of at most ``most`` chunks each.
+
+    A chunk not met before is split where pieces cannot cross; ``make`` gives a
+    part's result and ``join`` puts those of the parts together.
+    """
+
+    def __init__(self, model: PieceModel, make, join, most: int):
+        super().__init__()
+        self.split, self.make, self.join, self.most, self.old = model.split, make, join, most, {}
+
+    def __missing__(self, chunk: str):
+        if len(self) >= self.most:
+            self.old = dict(self)
+            self.clear()
+        value = self.old.get(chunk)
+        if value is None:
+            parts = self.split(chunk)
+            value = self.make(chunk) if len(parts) == 1 else self.join([self[p] for p in parts])
+        self[chunk] = value
+        return value
+
+
+_SHARED: dict[tuple, object] = {}
+
+
+def shared(data: bytes, make, name: str):
+    """One object for each model and worker process, kept from task to task."""
+    key = name, hashlib.blake2b(data, digest_size=16).digest()
+    if key not in _SHARED:
+        _SHARED[key] = make(PieceModel(data))
+    return _SHARED[key]

@@ -1,9 +1,9 @@
 """Operator 8: SentencePiece encoding and decoding by streaming Viterbi.
 
 A text streams through the model chunk by chunk, a chunk ending where no piece
-can cross, so every path has a boundary there; inside a chunk ``pieces.Path``
-keeps a window of the longest piece's length and commits where the surviving
-paths meet.  Ids of chunks met before come from a bounded cache.
+can cross, so every path has a boundary there; inside a chunk
+``pieces.encode_part`` keeps a window of a few lengths of the longest piece and
+commits where the surviving paths meet.  Ids of chunks met before come from a bounded cache.
 
 The path rule follows the model file: best score for unigram models, the
 merge-consistent path for BPE models (see ``pieces``).
@@ -16,34 +16,27 @@ independent, so repeated rows, null ids and other columns change nothing.
 
 from __future__ import annotations
 
+from array import array
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from impulsar.llm.pieces import BYTE, CONTROL, DEFAULT_MODEL, SPACE, UNKNOWN, PieceModel, encode_chunk, read_model
+from impulsar.llm.pieces import BYTE, CONTROL, DEFAULT_MODEL, SPACE, UNKNOWN, Chunks, PieceModel, encode_chunk, read_model, shared
 
 CACHE_CHUNKS, BATCH_BYTES = 300_000, 1 << 22
 
 
 class Encoder:
     def __init__(self, model: PieceModel):
-        self.model, self.cache = model, {}
-
-    def _packed(self, chunk: str) -> bytes:
-        return np.array(encode_chunk(self.model, chunk), dtype="<i4").tobytes()
+        self.model = model
+        self.cache = Chunks(model, lambda part: array("i", encode_chunk(model, part)).tobytes(), b"".join, CACHE_CHUNKS)
 
     def encode(self, text: str | None) -> np.ndarray:
         if not text:
             return np.zeros(0, dtype="<i4")
-        chunks, cache = self.model.chunks(text), self.cache
-        if len(cache) > CACHE_CHUNKS:
-            cache.clear()
-        for chunk in set(chunks):
-            if chunk not in cache:
-                cache[chunk] = self._packed(chunk)
-        packed = b"".join(map(cache.__getitem__, chunks))
-        return np.frombuffer(packed, dtype="<i4")
+        return np.frombuffer(b"".join(map(self.cache.__getitem__, self.model.chunks(text))), dtype="<i4")
 
 
 class Decoder:
@@ -89,7 +82,7 @@ def encode(docs: DataFrame, *, text_column: str = "text", ids_column: str = "ids
     given = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], F.col(f"`{text_column}`").cast("string").alias("__text"))
 
     def run(batches):
-        encoder = Encoder(PieceModel(data))
+        encoder = shared(data, Encoder, "encoder")
         for part in _slices(batches, "__text"):
             ids = _lists([encoder.encode(t) for t in part.column("__text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names=[*part.schema.names[:-1], "__ids"])
@@ -106,7 +99,7 @@ def decode(encoded: DataFrame, *, ids_column: str = "ids", text_column: str = "t
     at = kept.index(ids_column)
 
     def run(batches):
-        decoder = Decoder(PieceModel(data))
+        decoder = shared(data, Decoder, "decoder")
         for part in _slices(batches, f"k{at}"):
             column = part.column(at).cast(pa.list_(pa.int32()))
             offsets, values = column.offsets.to_numpy(), column.values.to_numpy()

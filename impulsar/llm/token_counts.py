@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from impulsar.llm.pieces import DEFAULT_MODEL, PieceModel, count_chunk, read_model
+from impulsar.llm.pieces import DEFAULT_MODEL, Chunks, PieceModel, count_chunk, read_model, shared
 from impulsar.llm.sentencepiece_codec import _slices
 
 CACHE_CHUNKS = 500_000
@@ -24,18 +24,11 @@ CACHE_CHUNKS = 500_000
 
 class Counter:
     def __init__(self, model: PieceModel):
-        self.model, self.cache = model, {}
+        self.model = model
+        self.cache = Chunks(model, lambda part: count_chunk(model, part), sum, CACHE_CHUNKS)
 
     def count(self, text: str | None) -> int:
-        if not text:
-            return 0
-        chunks, cache = self.model.chunks(text), self.cache
-        if len(cache) > CACHE_CHUNKS:
-            cache.clear()
-        for chunk in set(chunks):
-            if chunk not in cache:
-                cache[chunk] = count_chunk(self.model, chunk)
-        return sum(map(cache.__getitem__, chunks))
+        return sum(map(self.cache.__getitem__, self.model.chunks(text))) if text else 0
 
 
 def count_tokens(docs: DataFrame, *, text_column: str = "text", count_column: str = "n_tokens", model_path: str = DEFAULT_MODEL) -> DataFrame:
@@ -45,7 +38,7 @@ def count_tokens(docs: DataFrame, *, text_column: str = "text", count_column: st
     given = docs.select(*[F.col(f"`{c}`").alias(f"k{i}") for i, c in enumerate(kept)], F.col(f"`{text_column}`").cast("string").alias("__text"))
 
     def run(batches):
-        counter = Counter(PieceModel(data))
+        counter = shared(data, Counter, "counter")
         for part in _slices(batches, "__text"):
             counts = pa.array([counter.count(t) for t in part.column("__text").to_pylist()], pa.int64())
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], counts], names=[*part.schema.names[:-1], "__count"])
