@@ -130,5 +130,6 @@ def fingerprint_documents(docs: DataFrame, *, id_column: str = "doc_id", text_co
     by_part = W.orderBy("part")
     firsts = rows.where(F.col("place") == _FIRST).select(F.row_number().over(by_part).alias("n"), F.col("text").alias("following"))
     lasts = rows.where(F.col("place") == _LAST).select(F.row_number().over(by_part).alias("m"), "doc_id", "text")
-    met = lasts.crossJoin(F.broadcast(lasts.agg(F.max("m").alias("k")))).withColumn("n", F.col("m") % F.col("k") + 1).join(firsts, "n").select("doc_id", "text", "following")
+    following = F.col("m") % F.count(F.lit(1)).over(W.partitionBy(F.lit(0))) + 1
+    met = lasts.withColumn("n", following).join(firsts, "n").select("doc_id", "text", "following")
     return rows.where(F.col("place") == _DONE).unionByName(met.mapInArrow(_meet, _ROWS_SQL)).drop("part", "place", "text")

@@ -15,6 +15,7 @@ import pyarrow as pa
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _RADIX, _STEP = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 _TABLE = np.random.default_rng(20240229).integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_STRETCH = 1 << 17
 _SPACE = np.zeros(256, dtype=bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -65,12 +66,17 @@ class Words:
         if not len(self.starts):
             self.hashes = np.zeros(0, dtype=np.uint64)
             return
-        body = _LOWER[self.data] if lower else self.data
         lengths = self.ends - self.starts
-        at = np.flatnonzero(inside)
-        place = np.arange(len(at)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        value = _TABLE[body[at]] * powers(_RADIX, int(lengths.max()))[place]
-        sums = np.add.reduceat(value, np.cumsum(lengths) - lengths)
+        total = np.cumsum(lengths)
+        power = powers(_RADIX, int(lengths.max()))
+        cuts = np.unique(np.concatenate(([0], np.searchsorted(total, np.arange(_STRETCH, total[-1], _STRETCH)), [len(lengths)])))
+        sums = np.empty(len(lengths), dtype=np.uint64)
+        for low, high in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):  # stretches that fit a cache
+            part = lengths[low:high]
+            first_at = np.cumsum(part) - part
+            place = np.arange(first_at[-1] + part[-1]) - np.repeat(first_at, part)
+            letters = self.data[place + np.repeat(self.starts[low:high], part)]
+            sums[low:high] = np.add.reduceat(_TABLE[_LOWER[letters] if lower else letters] * power[place], first_at)
         self.hashes = mix64(sums ^ (lengths.astype(np.uint64) * _STEP))
 
     def row_hashes(self, row: int) -> np.ndarray:
