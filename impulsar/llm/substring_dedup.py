@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from impulsar.llm.common import cut, partitions
+from impulsar.llm.common import partitions
 from impulsar.llm.ngram_jaccard import _planes, _unplanes
 from impulsar.llm.words import Words, mix64, powers
 
@@ -235,7 +235,7 @@ def _earliest(key, table):
     return pa.Table.from_pylist([_window_row(-1, int(shards[a]), docs=_planes(low[a:b], 8), index=_planes(index[a:b], 4)) for a, b in zip(edges[:-1], edges[1:], strict=True)], _WINDOWS)
 
 
-_SPANS = pa.schema([("doc_id", pa.int64()), ("tag", pa.int64()), ("spans", pa.list_(pa.int64()))])
+_SPANS = pa.schema([("shard", pa.int64()), ("doc_id", pa.int64()), ("tag", pa.int64()), ("spans", pa.list_(pa.int64()))])
 
 
 def _covered(window: int):
@@ -266,7 +266,7 @@ def _covered(window: int):
             if len(s):
                 cuts = np.flatnonzero(np.diff(s) > window)
                 spans = np.column_stack([s[np.concatenate(([0], cuts + 1))], s[np.append(cuts, len(s) - 1)] + window])
-                out.append({"doc_id": doc, "tag": tag, "spans": spans.ravel().tolist()})
+                out.append({"shard": key[0].as_py(), "doc_id": doc, "tag": tag, "spans": spans.ravel().tolist()})
         return pa.Table.from_pylist(out, _SPANS)
 
     return run
@@ -275,38 +275,37 @@ def _covered(window: int):
 _KEPT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("kept_text", pa.string())])
 
 
-def _remove(batches):
-    for batch in batches:
-        column = batch.column("text")
-        step = max(1, int(batch.num_rows * BATCH_BYTES / max(column.nbytes, 1)))
-        for low in range(0, batch.num_rows, step):
-            part, out = batch.slice(low, step), []
-            for doc, text, spans in zip(part.column("doc_id").to_pylist(), part.column("text").cast(pa.binary()).to_pylist(), part.column("spans").to_pylist(), strict=True):
-                words = (text or b"").split()
-                n, kept = len(words), words
-                if spans:
-                    kept, at = [], 0
-                    for a, b in zip(spans[::2], spans[1::2], strict=True):
-                        kept += words[at:a]
-                        at = b
-                    kept += words[at:]
-                out.append((doc, n, n - len(kept), b" ".join(kept).decode("utf-8", "replace")))
-            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], _KEPT.field(i).type) for i in range(4)], schema=_KEPT)
+def _remove(key, docs_table, spans_table):
+    """A document block's texts without their covered words."""
+    spans = {(r["doc_id"], r["tag"]): r["spans"] for r in spans_table.to_pylist()}
+    out = []
+    for batch in docs_table.to_batches(max_chunksize=1000):
+        texts = batch.column("text").cast(pa.binary()).to_pylist()
+        for doc, tag, text in zip(batch.column("doc_id").to_pylist(), batch.column("tag").to_pylist(), texts, strict=True):
+            words = (text or b"").split()
+            n, kept = len(words), words
+            if found := spans.get((doc, tag)):
+                kept, at = [], 0
+                for start, end in zip(found[::2], found[1::2], strict=True):
+                    kept += words[at:start]
+                    at = end
+                kept += words[at:]
+            out.append((doc, n, n - len(kept), b" ".join(kept).decode("utf-8", "replace")))
+    return pa.Table.from_arrays([pa.array([r[i] for r in out], _KEPT.field(i).type) for i in range(4)], schema=_KEPT)
 
 
 def remove_repeated_passages(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", window: int = WINDOW, phrase: int = PHRASE, chunk_words: int = CHUNK_WORDS) -> DataFrame:
     """One row per document: doc_id, n_words, n_removed, kept_text (words joined by one space)."""
     spark = docs.sparkSession
-    shards = 4 * partitions(spark)
+    shards = partitions(spark)
     bits = max(4, (shards - 1).bit_length())
     given = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
-
-    tagged = given.select("*", F.xxhash64("text").alias("tag"), F.pmod(F.xxhash64("doc_id"), F.lit(shards)).alias("shard"))
+    tag = F.xxhash64("text")
+    # Both uses of the texts by block read one exchange.
+    tagged = given.select("doc_id", "text", tag.alias("tag"), F.pmod(F.xxhash64("doc_id", F.when(F.col("doc_id").isNull(), tag)), F.lit(shards)).alias("shard"))
     posted = tagged.select("doc_id", "shard", "text").mapInArrow(_post_phrases(window, phrase, bits, chunk_words), "block long, words binary, docs binary, shards binary")
     phrases = posted.groupBy("block").applyInArrow(_confirm(phrase), "shard long, words binary")
-    windows = tagged.where("doc_id IS NOT NULL").groupBy("shard").cogroup(phrases.groupBy("shard")).applyInArrow(_locate(window, phrase, bits), _WINDOWS_SQL)
+    windows = tagged.groupBy("shard").cogroup(phrases.groupBy("shard")).applyInArrow(_locate(window, phrase, bits), _WINDOWS_SQL)
     told = windows.groupBy("block").applyInArrow(_earliest, _WINDOWS_SQL)
-    spans = cut(told.groupBy("shard").applyInArrow(_covered(window), "doc_id long, tag long, spans array<long>"))
-    spans = spans.groupBy("doc_id", "tag").agg(F.first("spans").alias("spans"))
-    joined = given.withColumn("tag", F.xxhash64("text")).join(spans, ["doc_id", "tag"], "left").select("doc_id", "text", "spans")
-    return joined.mapInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_text string")
+    spans = told.groupBy("shard").applyInArrow(_covered(window), "shard long, doc_id long, tag long, spans array<long>")
+    return tagged.groupBy("shard").cogroup(spans.groupBy("shard")).applyInArrow(_remove, "doc_id long, n_words long, n_removed long, kept_text string")
