@@ -44,7 +44,7 @@ from impulsar.llm.common import components, cut, partitions
 from impulsar.llm.words import Words, mix64, shingle_set
 
 WIDTH, THRESHOLD = 5, 75
-CHUNK_SHINGLES, HOT, BLOCK_ROWS, BATCH_BYTES = 4_000_000, 64, 512, 1 << 23
+CHUNK_SHINGLES, HOT, BLOCK_ROWS, BATCH_BYTES = 2_000_000, 64, 512, 1 << 21
 _KEY_BITS = 40
 _HOT_DF = 65535
 

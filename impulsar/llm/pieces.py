@@ -29,7 +29,7 @@ UNIGRAM, BPE = 1, 2
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 SPACE = "▁"
 _NONE = -1
-MAX_PAIRS = 2_000_000
+MAX_PAIRS = 300_000
 
 
 def _fields(data: bytes):

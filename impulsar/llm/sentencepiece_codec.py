@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from impulsar.llm.pieces import BYTE, CONTROL, DEFAULT_MODEL, SPACE, UNKNOWN, Chunks, PieceModel, encode_chunk, read_model, shared
 
-CACHE_CHUNKS, BATCH_BYTES = 300_000, 1 << 22
+CACHE_CHUNKS, BATCH_BYTES = 150_000, 1 << 22
 
 
 class Encoder:

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from impulsar.llm.pieces import DEFAULT_MODEL, Chunks, PieceModel, count_chunk, read_model, shared
 from impulsar.llm.sentencepiece_codec import _slices
 
-CACHE_CHUNKS = 500_000
+CACHE_CHUNKS = 250_000
 
 
 class Counter:

@@ -60,7 +60,7 @@ def allowed(term: str) -> int:
 class TermMatcher:
     """Lexicon trie intersected with Levenshtein automata, made deterministic lazily."""
 
-    max_states = 200_000
+    max_states = 20_000
 
     def __init__(self, terms: dict[str, bool]):
         """``terms``: term -> whether it is a stem (then it matches exactly, as a prefix)."""
