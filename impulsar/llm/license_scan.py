@@ -6,6 +6,11 @@ they occur in that order.  Rules are tried in the order listed, full texts
 before references.  One scan, no shuffle; the tables of sentences and rules are
 fixed and small, and travel inside the plan.
 
+A known sentence begins and ends at a line end or a sentence end.  Inside it any
+space may be one line end with a comment leader (signs, ``dnl`` or ``rem``), so
+wrapped texts and source headers are read; a blank line ends every sentence.
+``n_sentences`` counts stretches between line ends and sentence ends.
+
 Defined cases: a null or empty text has no sentences, identifiers or licenses;
 rows are independent, so repeated rows, null ids and other columns change
 nothing; an empty table gives an empty result.
@@ -62,6 +67,8 @@ RULES = (
     ("All-rights-reserved", ("all-rights",)),
 )
 _BREAK = r"([.!?:;])[\x20\x09-\x0D]+"
+_LEADER = r"(?:(?:dnl|rem) )?"
+_WRAP = rf" ?(?:\n ?{_LEADER})?"
 
 
 def normalised(sentence: str) -> str:
@@ -75,13 +82,26 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
+def _expression(known: dict[str, str]) -> str:
+    """Known sentences in ``_marked`` texts, the longest first."""
+    texts = sorted({normalised(s) for s in known.values()}, key=lambda s: (-len(s), s))
+    return rf"[S\n] ?{_LEADER}({'|'.join(s.replace(' ', _WRAP) for s in texts)})(?= ?[S\n])"
+
+
+def _marked(text: Column) -> Column:
+    """The words of a text, parted by spaces, line ends and ``S`` at sentence ends."""
+    ends = F.regexp_replace(F.lower(F.coalesce(text, F.lit(""))), _BREAK, "S")
+    return F.concat(F.lit("\n"), F.regexp_replace(ends, r"[^a-z0-9S\n]+", " "), F.lit("\n"))
+
+
 def scan_licenses(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", known: dict[str, str] = SENTENCES, rules=RULES) -> DataFrame:
     """One row per document: doc_id, n_sentences, sentence_ids (array), licenses (array)."""
     table = F.create_map(*[F.lit(x) for name, sentence in known.items() for x in (normalised(sentence), name)])
-    names = [normalised(s) for s in known.values()]
-    split = docs.select(F.col(id_column).alias("doc_id"), sentences(F.col(text_column).cast("string")).alias("all"))
-    found = split.select("doc_id", F.size("all").cast("long").alias("n_sentences"), F.filter("all", lambda x: x.isin(*names)).alias("hits"))
-    found = found.select("doc_id", "n_sentences", F.transform("hits", lambda x: F.element_at(table, x)).alias("sentence_ids"))
+    text = F.col(text_column).cast("string")
+    hits = F.regexp_extract_all(_marked(text), F.lit(_expression(known)), F.lit(1))
+    found = docs.select(F.col(id_column).alias("doc_id"), F.size(sentences(text)).cast("long").alias("n_sentences"), hits.alias("hits"))
+    plain = lambda x: F.regexp_replace(x, rf"[ \nS]+{_LEADER}", " ")
+    found = found.select("doc_id", "n_sentences", F.transform("hits", lambda x: F.element_at(table, plain(x))).alias("sentence_ids"))
     line = F.concat(F.lit(","), F.array_join("sentence_ids", ","), F.lit(","))
     held = [F.when(line.rlike(",.*".join(f",{i}" for i in ids).replace(",.*,", ",(?:.*,)?") + ","), F.lit(name)) for name, ids in rules]
     return found.select("doc_id", "n_sentences", "sentence_ids", F.array_distinct(F.array_compact(F.array(*held))).alias("licenses"))

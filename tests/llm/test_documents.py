@@ -209,6 +209,52 @@ def test_licenses(spark):
     assert scan_licenses(empty(spark)).count() == 0
 
 
+MIT = """Copyright (c) 2020 Some Body
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, including without limitation the rights
+to use, copy, modify, merge, publish, distribute, sublicense, and/or sell
+copies of the Software, and to permit persons to whom the Software is
+furnished to do so, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR
+IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY,
+FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE
+AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER
+LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
+OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE
+SOFTWARE."""
+BSD = """Copyright (c) 2020, Some Body
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission."""
+APACHE = """Copyright 2020 Some Body
+Licensed under the Apache License, Version 2.0 (the
+"License"); you may not use this file except in compliance
+with the License. You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0"""
+
+
+@pytest.mark.parametrize("leader", ["", "# ", " * ", "// ", "dnl ", "REM "])
+@pytest.mark.parametrize("end", ["\n", "\r\n"])
+def test_wrapped_licenses(spark, leader, end):
+    led = lambda t: end.join((leader + line).rstrip() for line in t.split("\n"))
+    rows = [(i, led(t), None) for i, t in enumerate([MIT, BSD, APACHE, "Released under the MIT\nLicense", "Released under the\n\nMIT License", "x Released under the\nMIT License", "Released under the\nMIT License x"])]
+    found = [r["licenses"] for r in scan_licenses(frame(spark, rows)).orderBy("doc_id").collect()]
+    assert found == [["MIT"], ["BSD-3-Clause", "BSD-2-Clause"], ["Apache-2.0"], ["MIT-reference"], [], [], []]
+
+
 def brute_targets(sizes, weights, most):
     capped = set()
     while True:
