@@ -9,6 +9,7 @@ fixed and small, and travel inside the plan.
 A known sentence begins and ends at a line end or a sentence end.  Inside it any
 space may be one line end with a comment leader (signs, ``dnl`` or ``rem``), so
 wrapped texts and source headers are read; a blank line ends every sentence.
+Where it holds sentence ends itself (``v. 2.0``), the text must hold them too.
 ``n_sentences`` counts stretches between line ends and sentence ends.
 
 Defined cases: a null or empty text has no sentences, identifiers or licenses;
@@ -82,10 +83,16 @@ def sentences(text: Column) -> Column:
     return F.filter(F.transform(parts, lambda x: F.trim(x)), lambda x: x != "")
 
 
+def _parted(sentence: str) -> str:
+    """A known sentence, normalised between the sentence ends inside it, which are ``S``."""
+    return "S".join(filter(None, map(normalised, re.sub(_BREAK, r"\1\n", sentence).split("\n"))))
+
+
 def _expression(known: dict[str, str]) -> str:
     """Known sentences in ``_marked`` texts, the longest first."""
-    texts = sorted({normalised(s) for s in known.values()}, key=lambda s: (-len(s), s))
-    return rf"[S\n] ?{_LEADER}({'|'.join(s.replace(' ', _WRAP) for s in texts)})(?= ?[S\n])"
+    texts = sorted({_parted(s) for s in known.values()}, key=lambda s: (-len(s), s))
+    within = lambda s: s.replace(" ", _WRAP).replace("S", rf"[ \n]*S[ \nS]*{_LEADER}")
+    return rf"[S\n] ?{_LEADER}({'|'.join(within(s) for s in texts)})(?= ?[S\n])"
 
 
 def _marked(text: Column) -> Column:

@@ -10,7 +10,7 @@ import pytest
 
 from impulsar.llm import ngram_jaccard, secret_scan
 from impulsar.llm.fingerprints import edited, fingerprint_documents
-from impulsar.llm.license_scan import SENTENCES, scan_licenses
+from impulsar.llm.license_scan import RULES, SENTENCES, scan_licenses
 from impulsar.llm.mixing import mix, sainte_lague, taken_rows, targets
 from impulsar.llm.ngram_jaccard import ngram_jaccard_components
 from impulsar.llm.secret_scan import KINDS, github_checksum, scan_secrets
@@ -255,6 +255,18 @@ def test_wrapped_licenses(spark, leader, end):
     assert found == [["MIT"], ["BSD-3-Clause", "BSD-2-Clause"], ["Apache-2.0"], ["MIT-reference"], [], [], []]
 
 
+def test_every_license_rule_fires(spark):
+    import textwrap
+
+    texts = ["\n".join(SENTENCES[i] for i in ids) for _, ids in RULES]
+    wrapped = ["\n".join("# " + line for line in textwrap.wrap(t, 78)) for t in texts]
+    found = {r["doc_id"]: r["licenses"] for r in scan_licenses(frame(spark, [(i, t, None) for i, t in enumerate(texts + wrapped)])).collect()}
+    for i, (name, _) in enumerate(RULES + RULES):
+        assert name in found[i], name
+    one = scan_licenses(frame(spark, [(1, "This Source Code Form is subject to the terms of the Mozilla Public\nLicense, v. 2.0. If a copy", None)])).first()
+    assert (one["sentence_ids"], one["licenses"]) == (["mpl2"], ["MPL-2.0"])
+
+
 def brute_targets(sizes, weights, most):
     capped = set()
     while True:
