@@ -3,12 +3,13 @@
 1. Sizes are word counts; sources in code-point order (null last) weigh
    ``weights`` in turn and share all words, no target above ``max_repeats`` times
    its source, the excess reshared by weight until none is above.
-2. The mix is a whole number of equal-token blocks.  Blocks go to sources, and
-   then to each source's hash shards, by the highest quotients
-   ``votes / (2 seats + 1)``, never beyond what ``max_repeats`` of a shard holds.
+2. A block is one word, so that every source meets its target to the word,
+   however small it is beside the others.  Blocks go to sources, and then to each
+   source's hash shards, by the highest quotients ``votes / (2 seats + 1)``, never
+   beyond what ``max_repeats`` of a shard holds.
 3. Inside a shard, documents lie in an order drawn from the seed.  The shard's
    quota is read off that order from the start, over and over: whole passes
-   first, then blocks of one more pass.  So a document is taken at most
+   first, then a part of one more pass.  So a document is taken at most
    ``max_repeats`` times, and reruns agree.
 
 Only per-source and per-shard totals reach the driver; the number of shards is
@@ -30,7 +31,7 @@ from pyspark.sql import functions as F
 from impulsar.llm.common import cut, word_count
 
 WEIGHTS, MAX_REPEATS, SEED = (1, 2, 3), 3, 20240229
-BLOCKS, MAX_SHARDS, SHARD_WORDS = 1 << 18, 1 << 16, 1_000_000
+MAX_SHARDS, SHARD_WORDS = 1 << 16, 1_000_000
 
 
 def targets(sizes: list[int], weights: list[int], max_repeats: int) -> list[float]:
@@ -79,7 +80,7 @@ def sainte_lague(votes: list[float], seats: int, caps: list[int]) -> list[int]:
     return given
 
 
-def mix(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED, blocks: int = BLOCKS, max_shards: int = MAX_SHARDS, shard_words: int = SHARD_WORDS, carry: bool = False) -> DataFrame:
+def mix(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED, max_shards: int = MAX_SHARDS, shard_words: int = SHARD_WORDS, carry: bool = False) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, source.
 
     With ``carry`` the whole input row follows as the struct ``doc``.
@@ -91,7 +92,6 @@ def mix(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text"
     held = [int(r["n"]) for r in by_source]
     total = sum(held)
     wanted = targets(held, [weights[i % len(weights)] for i in range(len(held))], max_repeats)
-    block = max(1, total // blocks)
     per_shard = max(shard_words, -(-total // max_shards))
     source_rows = [(r["source"], n, t, max(1, -(-n // per_shard))) for r, n, t in zip(by_source, held, wanted, strict=True)]
     of_source = spark.createDataFrame(source_rows, "s string, source_size long, target double, shards long")
@@ -103,13 +103,12 @@ def mix(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text"
     shard_rows: dict = {}
     for r in placed(sizes).groupBy("source", "shard").agg(F.sum("size").alias("n")).orderBy("shard").collect():
         shard_rows.setdefault(r["source"], []).append((int(r["shard"]), int(r["n"])))
-    caps = [sum(max_repeats * n // block for _, n in shard_rows.get(s, [])) for s, *_ in source_rows]
-    quotas = sainte_lague(wanted, round(total / block), caps)
+    quotas = sainte_lague(wanted, total, [max_repeats * n for n in held])
     dealt = []
     for (source, *_), quota in zip(source_rows, quotas, strict=True):
         shards = shard_rows.get(source, [])
-        given = sainte_lague([float(n) for _, n in shards], quota, [max_repeats * n // block for _, n in shards])
-        dealt += [(source, k, n, g * block) for (k, n), g in zip(shards, given, strict=True)]
+        given = sainte_lague([float(n) for _, n in shards], quota, [max_repeats * n for _, n in shards])
+        dealt += [(source, k, n, g) for (k, n), g in zip(shards, given, strict=True)]
     of_shard = spark.createDataFrame(dealt, "s string, k long, shard_size long, quota long")
     every = placed(measured if carry else sizes)
     few = F.broadcast if len(dealt) <= 2 * max_shards else lambda df: df

@@ -319,6 +319,13 @@ def test_mixing(spark):
     assert mix(frame(spark, [(1, None, "a"), (2, "", None)])).agg({"taken": "sum"}).first()[0] == 0
 
 
+def test_small_source_in_a_large_corpus(spark):
+    rows = [(i, "a " * 200_000, "large") for i in range(24)] + [(100, "one two three four five", "small"), (101, "one", "tiny")]
+    found = mix(frame(spark, rows)).groupBy("source").agg({"target": "min", "taken": "sum"}).collect()
+    assert {r["source"]: r["sum(taken)"] for r in found if r["source"] != "large"} == {"small": 15, "tiny": 3}
+    assert all(abs(r["sum(taken)"] - r["min(target)"]) <= 1 for r in found)
+
+
 def test_taken_rows(spark):
     rows = documents()
     mixed = mix(frame(spark, rows), shard_words=500, carry=True)
