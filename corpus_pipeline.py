@@ -34,12 +34,22 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each component; of rows with one id, the first by text."""
-    found = ngram_jaccard_components(docs)
-    dropped = found.where("doc_id <> component_id").select(F.col("doc_id").alias("__doc")).distinct()
-    rest = docs.join(dropped, docs["doc_id"] == dropped["__doc"], "left_anti")
+    """The smallest document of each component, by id and then text; rows with one id are one document only if their texts are equal."""
+    repeated = cut(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__doc")))
+    if repeated.isEmpty():
+        gone = ngram_jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
+        return docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti").select(*docs.columns)
+    same = docs["doc_id"] == repeated["__doc"]
     order = W.partitionBy("doc_id").orderBy("text")
-    return rest.withColumn("__row", F.row_number().over(order)).where("__row = 1 OR doc_id IS NULL").select(*docs.columns)
+    shared = docs.join(repeated, same, "left_semi").withColumn("__nth", F.row_number().over(order)).withColumn("__before", F.lag("text").over(order))
+    shared = shared.where("__nth = 1 OR NOT text <=> __before").drop("__before")
+    every = docs.join(repeated, same, "left_anti").withColumn("__nth", F.lit(1)).unionByName(shared)
+    every = cut(every.withColumn("__node", F.when(F.col("doc_id").isNotNull(), F.monotonically_increasing_id())))
+    found = ngram_jaccard_components(every, id_column="__node").select(F.col("doc_id").alias("__found"), F.col("component_id").alias("__component"))
+    nodes = every.select("__node", F.struct("doc_id", "__nth").alias("__at")).join(found, F.col("__node") == F.col("__found"))
+    kept = nodes.groupBy("__component").agg(F.min_by("__node", "__at").alias("__kept"))
+    gone = nodes.join(kept, "__component").where("__node <> __kept").select(F.col("__node").alias("__gone"))
+    return every.join(gone, every["__node"] == gone["__gone"], "left_anti").select(*docs.columns)
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -39,6 +39,14 @@ def test_stages(spark):
     assert last.count() == mixed.count() and all(r["n_ids"] == len(r["ids"]) for r in last.collect())
 
 
+def test_unrelated_texts_of_one_id_stay(spark):
+    text = lambda word: " ".join(f"{word}{i}" for i in range(40))
+    rows = [(1, text("a"), None), (5, text("b"), None), (5, text("c"), None), (5, text("b"), None), (5, text("a"), None), (7, text("c"), None), (None, text("b"), None), (5, None, None), (8, text("d"), None)]
+    kept = corpus_pipeline.near_duplicates(spark, frame(spark, rows), SF)
+    assert kept.columns == frame(spark, rows).columns
+    assert sorted(((r["doc_id"], (r["text"] or "-")[0]) for r in kept.collect()), key=repr) == [(1, "a"), (5, "-"), (5, "b"), (5, "c"), (8, "d"), (None, "b")]
+
+
 def test_empty_table(spark):
     docs = empty(spark)
     for _, stage in corpus_pipeline.STAGES:
