@@ -37,7 +37,12 @@ _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _GITHUB = re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
 _JWT = re.compile(r"eyJ([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
-_PEM = re.compile(r"-----BEGIN (?:[A-Z]+ )?PRIVATE KEY-----[A-Za-z0-9+/=\s]+-----END (?:[A-Z]+ )?PRIVATE KEY-----")
+_ESCAPE = r"\\++(?:[nrt/]|u000[aAdD]|\r?\n)"
+_JOINT = r"""["'][\x20\t]*+[+.,\\]?[\x20\t]*+\r?\n[\x20\t]*+(?:\+[\x20\t]*+)?["']"""  # a string literal goes on in the next line
+_END_OF_LINE = rf"(?:\s|{_ESCAPE}|{_JOINT})"
+_HEADER = r"[A-Za-z][A-Za-z0-9-]*+:(?:(?!-----)[^\r\n\\\"'])*+(?:\r?\n[\x20\t]++(?=[^\s-])(?:(?!-----)[^\r\n\\])*+)*+"  # RFC 1421, folded lines too
+_LABEL = r"(?:[A-Z0-9]+ ){0,3}PRIVATE KEY(?: BLOCK)?-----"
+_PEM = re.compile(rf"-----BEGIN {_LABEL}(?:{_END_OF_LINE}++{_HEADER})*+(?:[A-Za-z0-9+/=\s]++|{_ESCAPE}|{_JOINT})++-----END {_LABEL}")
 _BASE62 = "0123456789ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
 
 

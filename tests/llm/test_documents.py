@@ -135,6 +135,20 @@ def test_secrets(spark):
     assert scan_secrets(empty(spark)).count() == 0
 
 
+def test_private_keys_with_headers_and_escapes():
+    body = "MIIEpAIBAAKCAQEA+/x\nabcd0123==\n"
+    key = lambda kind, head="", text=body: f"-----BEGIN {kind}-----\n{head}{text}-----END {kind}-----"
+    plain_key = key("PRIVATE KEY")
+    wrapped = key("RSA PRIVATE KEY", "Proc-Type: 4,ENCRYPTED\nDEK-Info: AES-256-CBC,0123ABCD\n\n")
+    keys = [plain_key, key("EC PRIVATE KEY"), wrapped, wrapped.replace("\n", "\r\n"), wrapped.replace("\n", "\\n"), wrapped.replace("\n", "\\\\n"), wrapped.replace("\n", "\n  "), plain_key.replace("\n", '\\n" +\n    "')]
+    keys += [key("PGP PRIVATE KEY BLOCK", "Version: GnuPG v2.0.22 (GNU/Linux)\nComment: https://example.org\n\n", "lQOYBF+/x\n=aB3d\n"), key("RSA PRIVATE KEY", "DEK-Info: AES-256-CBC,\n 0123ABCD\n\n")]
+    automaton = secret_scan._automaton()
+    for text in keys:
+        assert secret_scan.keyword_spans(f"x {text} y", automaton) == [(2, KINDS.index("pem"), 2 + len(text))], text
+    other = ["-----BEGIN PRIVATE KEY----- and then, in time, -----END PRIVATE KEY-----", "-----BEGIN PUBLIC KEY-----\nabcd\n-----END PUBLIC KEY-----", "-----BEGIN RSA PRIVATE KEY-----" + "\nA: b" * 20_000]
+    assert all(secret_scan.keyword_spans(text, automaton) == [] for text in other)
+
+
 def test_hex_runs_at_row_edges():
     import pyarrow as pa
 
