@@ -10,8 +10,8 @@ def table(spark, rows):
     return spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int, n_links string, rep string")
 
 
-@pytest.mark.parametrize("block_rows", [1024, 40])
-def test_links_and_components(spark, block_rows):
+@pytest.mark.parametrize(("block_rows", "deeper"), [(1024, (1 << 15,)), (40, (1 << 15,)), (1024, (50,)), (30, (20, 50))])
+def test_links_and_components(spark, block_rows, deeper):
     rng = np.random.default_rng(4)
     rows = []
     for i in range(240):
@@ -31,7 +31,7 @@ def test_links_and_components(spark, block_rows):
             if a != b and p == q and len(x) == len(y) and x @ y / np.linalg.norm(x) / np.linalg.norm(y) >= 0.93:
                 links[i] += 1
                 union.join(i, j)
-    found = embedding_near_duplicates(table(spark, rows), block_rows=block_rows).collect()
+    found = embedding_near_duplicates(table(spark, rows), block_rows=block_rows, deeper=deeper).collect()
     assert len(found) == len(rows)
     for r in found:
         if r["vec_id"] is not None:
