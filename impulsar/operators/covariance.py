@@ -115,29 +115,74 @@ def clustered(df: DataFrame, plan: Plan, fit: Fit, keys: list[str], shape: tuple
     return subsets, meats, counts.tolist()
 
 
+#: Rows of a unit beyond which long lags are taken by products with the weight matrix, not pair by pair of rows.
+LONG = 64
+#: Clock steps for each row up to which that product is a convolution on the grid.
+DENSE = 8
+
+
+def _by_distance(unit: np.ndarray, time: np.ndarray, s: np.ndarray, kernel: str, bandwidths: list[int], far: int) -> np.ndarray:
+    """Weighted products of rows a number of places apart, for all units at once; only lags that occur are visited."""
+    meat = np.zeros((s.shape[1], s.shape[2], s.shape[2]))
+    for apart in range(1, len(unit)):
+        now = apart + np.flatnonzero((unit[apart:] == unit[:-apart]) & (time[apart:] - time[:-apart] <= far))
+        if not len(now):  # rows further apart have longer lags
+            break
+        lag = time[now] - time[now - apart]
+        w = np.stack([weights(kernel, b, lag) for b in bandwidths], axis=1)
+        gamma = _outer(s[now] * w[:, :, None], s[now - apart])
+        meat += gamma + gamma.transpose(0, 2, 1)
+    return meat
+
+
+def _smoothed(time: np.ndarray, x: np.ndarray, kernel: str, bandwidth: int) -> np.ndarray:
+    """Rows of one unit, each the weighted sum of all others: by FFT on a dense clock, else by blocks of the weight matrix."""
+    span = int(time[-1] - time[0])
+    if span < DENSE * len(time):
+        size = 1 << (2 * span + 1).bit_length()
+        lags = np.arange(1, span + 1)
+        w = np.zeros(size)
+        w[1 : span + 1] = weights(kernel, bandwidth, lags)
+        w[size - lags] = w[1 : span + 1]
+        turned, at, out = np.fft.rfft(w), time - time[0], np.empty_like(x)
+        for column in range(x.shape[1]):
+            grid = np.zeros(size)
+            grid[at] = x[:, column]
+            out[:, column] = np.fft.irfft(np.fft.rfft(grid) * turned, size)[at]
+        return out
+    far, out = last_lag(kernel, bandwidth, span), np.zeros_like(x)
+    for i in range(0, len(time), 512):
+        mine = time[i : i + 512]
+        first, end = (np.searchsorted(time, v, side) for v, side in ((mine[0] - min(far, int(mine[0])), "left"), (mine[-1], "right")))
+        later = np.searchsorted(time - mine[-1], far, "right") if far < span else len(time)
+        for j in range(first, max(end, later), 4096):
+            lag = np.abs(mine[:, None] - time[None, j : min(j + 4096, max(end, later))])
+            w = weights(kernel, bandwidth, lag.ravel()).reshape(lag.shape)
+            out[i : i + 512] += np.where(lag > 0, w, 0.0) @ x[j : j + lag.shape[1]]
+    return out
+
+
 def _lagged(unit: np.ndarray, time: np.ndarray, s: np.ndarray, kernel: str, bandwidths: list[int]) -> np.ndarray:
-    """Weighted sum over exact lags within units; rows sorted by unit and time."""
+    """Weighted sum over exact lags within units; rows sorted by unit and time, times not negative."""
     meat = _outer(s)
     if not len(s):
         return meat
-    first = np.concatenate(([True], unit[1:] != unit[:-1]))
-    base = time - np.minimum.reduceat(time, np.flatnonzero(first))[np.cumsum(first) - 1]
-    span = int(base.max())
-    place = (np.cumsum(first) - 1) * (span + 1) + base
-    for lag in range(1, max(last_lag(kernel, b, span) for b in bandwidths) + 1):
-        at = np.searchsorted(place, place - lag)
-        now = np.flatnonzero((base >= lag) & (place[np.minimum(at, len(place) - 1)] == place - lag))
-        if len(now):
-            gamma = _outer(s[now], s[at[now]])
-            w = np.array([weights(kernel, b, np.array([lag]))[0] for b in bandwidths])[:, None, None]
-            meat = meat + w * (gamma + gamma.transpose(0, 2, 1))
+    starts = np.flatnonzero(np.concatenate(([True], unit[1:] != unit[:-1])))
+    sizes = np.diff(np.append(starts, len(unit)))
+    span = int((time[starts + sizes - 1] - time[starts]).max())
+    far = max(last_lag(kernel, b, span) for b in bandwidths)
+    long = (sizes > LONG) & (far > LONG)
+    rest = np.flatnonzero(~np.repeat(long, sizes))
+    meat = meat + _by_distance(unit[rest], time[rest], s[rest], kernel, bandwidths, far)
+    for start, size in zip(starts[long], sizes[long], strict=True):
+        part = slice(start, start + size)
+        for bandwidth in set(bandwidths):
+            same = [h for h, b in enumerate(bandwidths) if b == bandwidth]
+            x = s[part][:, same]
+            meat[same] += _outer(x, _smoothed(time[part], x.reshape(size, -1), kernel, bandwidth).reshape(x.shape))
     return meat
 
 
-def _numbers(column: pa.Array) -> np.ndarray:
-    return column.dictionary_encode().indices.to_numpy(zero_copy_only=False).astype(np.int64)
-
-
 def hac(df: DataFrame, plan: Plan, fit: Fit, unit: str, kernel: str, bandwidths: list[int]) -> np.ndarray:
     """Serial covariance within units, exact calendar lags."""
     if plan.group == unit:

@@ -6,6 +6,7 @@ import pytest
 from impulsar import C, LocalProjection, fe, interact
 from impulsar.functions.dist import normal_isf, student_isf, student_log_sf
 from impulsar.functions.lag_weights import default_bandwidth, quadratic_spectral, weights
+from impulsar.operators.covariance import _lagged
 from impulsar.plans.options import Options, cluster_terms, lag_numbers, memory_bytes
 from impulsar.plans.terms import plan_terms
 from impulsar.sources.panel import clock
@@ -62,3 +63,21 @@ def test_clock(spark):
     for kind in ("date", "timestamp", "boolean", "decimal(10,0)"):
         with pytest.raises(ValueError):
             clock(spark.createDataFrame([], f"t {kind}"), "t")
+
+
+@pytest.mark.parametrize("kernel", ["bartlett", "parzen", "quadratic_spectral"])
+@pytest.mark.parametrize(("units", "rows", "span", "bandwidths"), [(6, 5, 2**62, [2**61, 3]), (30_000, 2, 2**62, [2**60, 2]), (2, 90, 120, [100, 7]), (2, 90, 10**9, [10**9, 10**7]), (1, 150, 10**6, [10**5, 10**3]), (3, 80, 80, [0, 80])])
+def test_serial_sums_match_pairs(kernel, units, rows, span, bandwidths):
+    rng = np.random.default_rng(units + rows)
+    time = np.concatenate([np.sort(rng.choice(span, rows, replace=False) if span < 10**7 else np.unique(rng.integers(0, span, rows * 2))[:rows]) for _ in range(units)])
+    unit = np.repeat(np.arange(units), rows)
+    s = rng.normal(size=(len(unit), 2, 2))
+    expected = np.einsum("nhi,nhj->hij", s, s)
+    for apart in range(1, rows):
+        for i in range(apart, rows):
+            now = np.arange(units) * rows + i
+            lag = time[now] - time[now - apart]
+            for h, b in enumerate(bandwidths):
+                g = np.einsum("n,ni,nj->ij", weights(kernel, b, lag), s[now, h], s[now - apart, h])
+                expected[h] += g + g.T
+    np.testing.assert_allclose(_lagged(unit, time, s, kernel, bandwidths), expected, rtol=1e-9, atol=1e-8)
