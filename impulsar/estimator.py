@@ -15,18 +15,19 @@ from pyspark.sql import functions as F
 from impulsar.functions.dist import normal_isf, student_isf
 from impulsar.functions.lag_weights import default_bandwidth
 from impulsar.operators import covariance as cov
-from impulsar.operators.absorb import factor, make_plan
+from impulsar.operators.absorb import BLOCK_VALUES, factor, make_plan, strategy
 from impulsar.operators.align import lead, outcomes, row_marks, unit_window, with_masks
 from impulsar.operators.ranks import Rank, effect_rank, nested
-from impulsar.operators.sample import group_sizes, mask_groups, prune_singletons
+from impulsar.operators.sample import mask_groups, prune_singletons, survey
 from impulsar.plans.options import Options, cluster_terms, lag_grid, lag_numbers
 from impulsar.plans.terms import MAX_LEVELS, as_effects, as_terms, plan_terms, sources
 from impulsar.progress import ProgressEvent, Reporter
 from impulsar.sources.panel import key, name, prepare, to_spark
 
 EPS = float(np.finfo(np.float64).eps)
-WELL_CONDITIONED = 1000.0
 MAX_BATCH = 32
+#: Rows that a task holds at least, whatever the memory budget.
+LEAST_ROWS = 64
 
 
 class FewClustersWarning(UserWarning):
@@ -107,7 +108,7 @@ class LocalProjection:
         df = to_spark(data, column_names)
         spark = df.sparkSession
         reporter.context = spark.sparkContext
-        batch = self._batch(df, [*numeric, *wanted], len(shocks) + len(controls), len(effects), len(clusters)) if o.memory_budget else MAX_BATCH
+        self._memory(len(shocks) + len(controls))  # too small a budget fails before the panel is read
 
         reporter.update("prepare panel")
         keys = [c for c in dict.fromkeys(wanted) if c != time or any(time in e for e in (*effects, *clusters, tuple(categories)))]
@@ -135,8 +136,10 @@ class LocalProjection:
         if clash := [x for x in lag_names if x in df.columns or x in plan.terms]:
             raise ValueError(f"lag names conflict with columns: {clash}")
         features = [*([] if effects else ["Intercept"]), *plan.terms, *lag_names]
+        batch, block_rows, memory = self._memory(len(features))
 
         reporter.update("align outcomes and select samples")
+        level_of = [(family, i) for family in plan.families if family.kind == "categorical" for i in range(len(family.levels))]
         window = unit_window(name(unit))
         frame = frame.withColumns({f"__x_{n}": v for n, v in values.items()})
         columns = [F.col(f"`__x_{n}`") for n in plan.terms] + [lead(F.col(f"`__x_{s}`"), -n, window, panel.span) for s, n in lags]
@@ -146,7 +149,7 @@ class LocalProjection:
         groups = [("__u", (unit,)), *[(f"__f{i}", e) for i, e in enumerate(effects)], *[(f"__g{i}", c) for i, c in enumerate(clusters)]]
         aligned = frame.select(
             *[key(columns_).alias(alias) for alias, columns_ in groups], "__t",
-            *[F.col(name(c)).alias(f"__m_{c}") for c in levels],
+            *[(F.col(name(family.moderator)) == F.lit(family.levels[i])).alias(f"__s{j}") for j, (family, i) in enumerate(level_of)],
             *[c.alias(x) for c, x in zip(columns, xs, strict=True)],
             *[c.alias(y) for c, y in zip(outcomes(F.col(f"`__x_{outcome}`"), o.horizons, window, panel.span, o.response), ys, strict=True)],
             *[c.alias(n) for n, c in row_marks(window).items()],
@@ -156,9 +159,6 @@ class LocalProjection:
             valid = valid & F.col(x).isNotNull()
         aligned = with_masks(aligned, ys, valid, o.sample).persist(StorageLevel.MEMORY_AND_DISK)
         held.append(aligned)
-        checks = aligned.agg(F.max("__again").alias("again"), F.sum(F.col("__first").cast("long")).alias("units"), F.count_distinct("__t").alias("periods"), F.max("__gap").alias("gaps")).first()
-        if checks["again"]:
-            raise ValueError("unit and time must identify each row; duplicate keys found")
         effect_keys, dropped, rounds = [f"__f{i}" for i in range(len(effects))], {}, {}
 
         if o.sample == "common":
@@ -172,18 +172,30 @@ class LocalProjection:
         ranks, corrections, dfs, nobs = (np.zeros(n_h, dtype=int) for _ in range(4))
         dfs = np.full(n_h, np.inf)
         kept_all, diagnostics, absorbed, support, warned, fits, group_of, cov_diagnostics = None, [], [], {f.name: {v: {} for v in f.levels} for f in plan.families if f.kind == "categorical"}, set(), [], np.zeros(n_h, dtype=int), [None] * n_h
-        shown = {}
+        shown, methods, fit_of, n_units, n_periods, gaps = {}, [], {}, 0, 0, False
 
         for number_, (horizons, rows) in enumerate(samples):
             reporter.update("factorize fixed effects", number_, len(samples), f"horizons {horizons[0]}..{horizons[-1]}")
-            rows = rows.drop(*[f"__m{h}" for h in range(n_h)], "__first", "__again", "__gap")
             gone = turns = 0
             order = {e: ("__u" if effects[i] == (unit,) else e) for i, e in enumerate(effect_keys)}
             cluster_keys = [("__u" if c == (unit,) else f"__g{i}") for i, c in enumerate(clusters)]
-            sizes_of = group_sizes(rows, [*order.values(), *cluster_keys, "__t"])
+            keys = [*order.values(), *cluster_keys, "__u", "__t"]
+            zs = [*xs, *[ys[h] for h in horizons]]
+            aggregates = lambda mask: (
+                {"n": f"count_if({mask})"}
+                | {f"{label}{c}": f"{f}(if({mask}, {c}, null))" for c in zs for label, f in (("a", "avg"), ("l", "min"), ("h", "max"))}
+                | {f"s{j}": f"count_if({mask} and __s{j})" for j in range(len(level_of))}
+                | {f"z{j}": f"count_if({mask} and {xs[features.index(family.basis[i])]} != 0)" for j, (family, i) in enumerate(level_of)}
+            )
+            mask = f"__m{horizons[0]}"
+            sizes_of, stats = survey(aligned, mask, keys, aggregates(mask) | {"again": "max(int(__again))", "gaps": "max(int(__gap))"})
+            if stats["again"]:
+                raise ValueError("unit and time must identify each row; duplicate keys found")
+            n_units, n_periods, gaps = sizes_of["__u"][3], sizes_of["__t"][3], bool(stats["gaps"])
+            rows = rows.drop(*[f"__m{h}" for h in range(n_h)], "__first", "__again", "__gap")
             if o.singleton_policy == "drop" and any(sizes_of[e][1] == 1 for e in order.values()):
                 rows, gone, turns = prune_singletons(rows, list(order.values()))
-                sizes_of = group_sizes(rows, [*order.values(), *cluster_keys, "__t"])
+                sizes_of, stats = survey(rows, "true", keys, aggregates("true"))
                 if any(e == (unit,) for e in effects):
                     rows = rows.repartition("__u").sortWithinPartitions("__u", "__t")
             for h in horizons:
@@ -191,22 +203,13 @@ class LocalProjection:
             if gone:
                 rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
                 held.append(rows)
-            zs = [*xs, *[ys[h] for h in horizons]]
-            stats = rows.agg(
-                F.count(F.lit(1)).alias("n"),
-                *[f(c).alias(f"{label}{c}") for c in zs for label, f in (("a", F.avg), ("l", F.min), ("h", F.max))],
-                *[x for family in plan.families if family.kind == "categorical" for i, v in enumerate(family.levels) for x in (
-                    F.sum((F.col(f"__m_{family.moderator}") == F.lit(v)).cast("long")).alias(f"s{family.name}:{i}"),
-                    F.sum((F.col(xs[features.index(family.basis[i])]) != 0).cast("long")).alias(f"z{family.name}:{i}"))],
-            ).first()
-            n = stats["n"]
+            n = int(stats["n"])
             if not n:
                 raise ValueError(f"no valid observations at horizon {horizons[0]}")
             _finite(np.array([stats[f"{e}{y}"] for y in zs[k_all:] for e in "lh"]), "regression outcomes")
-            for family in plan.families:
-                for i, v in enumerate(family.levels):
-                    for h in horizons:
-                        support[family.name][v][h] = {"n_obs": stats[f"s{family.name}:{i}"], "nonzero_shock_n_obs": stats[f"z{family.name}:{i}"]}
+            for j, (family, i) in enumerate(level_of):
+                for h in horizons:
+                    support[family.name][family.levels[i]][h] = {"n_obs": int(stats[f"s{j}"]), "nonzero_shock_n_obs": int(stats[f"z{j}"])}
             mean = np.array([stats[f"a{c}"] for c in zs])
             scale = np.array([max(stats[f"h{c}"] - stats[f"a{c}"], stats[f"a{c}"] - stats[f"l{c}"]) for c in zs])
             if not effects:
@@ -214,82 +217,92 @@ class LocalProjection:
             scale = np.where((scale > 0) & np.isfinite(scale), scale, 1.0)
             counts = [sizes_of[e][0] for e in order.values()]
 
-            reporter.update("absorb regressors", message=f"{k_all} columns")
-            laid, how, schur = make_plan(rows, zs, list(order.values()), counts, unit="__u", center=mean, scale=scale, tol=o.demean_tol, max_iter=o.max_iter, acceleration=o.demean_acceleration)
-            rank = self._rank(rows, list(order.values()), counts, schur)
-            size, groups_found, r = factor(laid, how)
-            norms = np.sqrt((r[:, :k_all] ** 2).sum(axis=0))
-            largest = max((sizes_of[e][2] for e in order.values()), default=n)
-            floor = signal_floor(n, len(effects), largest, how.method == "map", o.demean_tol)
-            weak = ~np.isfinite(norms) | (norms == 0) | (norms <= floor)
-            if bad := [features[i] for i in np.flatnonzero(weak) if features[i] not in plan.nuisance]:
-                raise ValueError(f"residualized design has zero or negligible within variation at horizon {horizons[0]} for columns {bad}")
-            kept = np.flatnonzero(~weak)
-            if kept_all is not None and not np.array_equal(kept, kept_all):
-                raise ValueError("generated lower-order terms are absorbed differently across horizons; use a common sample or revise the specification")
-            kept_all = kept
-            absorbed += [{"term": features[i], "horizons": tuple(horizons), "reason": "absorbed by fixed effects or zero within variation"} for i in np.flatnonzero(weak)]
-            k = len(kept)
-            model_rank = k + rank.rank
-            if n <= model_rank:
-                note = "" if rank.exact else " under the conservative rank bound"
-                raise ValueError(f"residual degrees of freedom must be positive{note} at horizon {horizons[0]} (n={n}, model rank={model_rank})")
-
-            correction, correction_rank, nested_effects, labels = model_rank, rank, (), ["#".join(c) for c in clusters]
-            if o.covariance == "cluster":
-                correction, nested_effects, correction_rank = self._parameters(rows, list(order.values()), counts, effects, clusters, cluster_keys, k, rank)
-                if o.cluster_correction == "cr1" and n <= correction:
-                    raise ValueError("cluster correction requires positive degrees of freedom under the selected parameter-count policy")
-                sizes = [sizes_of[g][0] for g in cluster_keys]
-                for label, g in zip(labels, sizes, strict=True):
-                    if g < 2:
-                        raise ValueError(f"cluster term {label!r} requires at least two clusters")
-                    if o.few_cluster_threshold is not None and g < o.few_cluster_threshold and label not in warned:
-                        warnings.warn(f"cluster term {label!r} has only {g} clusters; cluster-robust inference may be unreliable, and CR1 does not remove the problem", FewClustersWarning, stacklevel=4)
-                        warned.add(label)
-                if o.cluster_inference == "t":
-                    dfs[horizons] = min(sizes) - 1
-            ranks[horizons], corrections[horizons], nobs[horizons] = model_rank, correction, n
-
-            reporter.update("prepare solver", message=f"{k} retained columns")
-            rx = np.linalg.qr(r[:, [*kept, *range(k_all, len(zs))]], mode="r")
-            rx = rx * np.where(np.diag(rx) < 0, -1.0, 1.0)[:, None]
-            rxx, rxy, ryy = rx[:k, :k], rx[:k, k:], rx[k:, k:]
-            unit_columns = rxx / np.sqrt((rxx**2).sum(axis=0))
-            singular = np.linalg.svd(unit_columns, compute_uv=False)
-            if singular[-1] <= EPS * max(n, k) * singular[0]:
-                raise ValueError(f"residualized design is numerically rank deficient at horizon {horizons[0]}: rank {int((singular > EPS * max(n, k) * singular[0]).sum())} of {k}")
-            condition = float((singular[0] / singular[-1]) ** 2)
-            beta = _finite(np.linalg.solve(rxx, rxy), "coefficients")
-            squares = (ryy**2).sum(axis=0)
-            fit = cov.Fit(kept, k_all, rxx, beta)
-
-            reporter.update("estimate horizon batch", 0, len(horizons), f"horizons {horizons[0]}..{horizons[-1]}")
-            reporter.update("calculate covariance", message=f"horizons {horizons[0]}..{horizons[-1]}")
-            meats, note, spread = self._meats(laid, how, fit, horizons, squares, n, model_rank, correction, cluster_keys, labels, sizes_of["__t"][0], k)
-            reporter.update("estimate horizon batch", len(horizons), len(horizons))
-            inverse = np.linalg.inv(rxx)
-            v = inverse @ meats @ inverse.T
-            v = _finite((v + v.transpose(0, 2, 1)) / 2, "normalized covariance")
-            diagonal = np.diagonal(v, axis1=1, axis2=2)
-            share = (2 * n + 4 * k) * EPS
-            rough = np.abs(np.diagonal(inverse @ spread @ inverse.T, axis1=1, axis2=2)) if spread is not None else np.abs(v).max(axis=(1, 2))[:, None]
-            if (where := np.argwhere(diagonal < -share / (1 - share) * rough)).size:
-                raise ValueError(f"{o.covariance} covariance has a negative variance at horizon {horizons[where[0][0]]}, feature {where[0][1]}")
-            for j, h in enumerate(horizons):
-                zero = tuple(np.flatnonzero(diagonal[j] < 0).tolist())
-                v[j][list(zero), list(zero)] = 0.0
-                cov_diagnostics[h] = note(j) | {"negative_variance_cleanup": zero}
-            # Back to the units of the input.
-            sx, sy = scale[kept], scale[k_all:]
-            b = _finite(beta * sy[None, :] / sx[:, None], "coefficients")
-            v = _finite(v * (sy**2)[:, None, None] / np.outer(sx, sx)[None], "covariance in original units")
-            for j, h in enumerate(horizons):
-                out["coef"][h, kept], out["se"][h, kept] = b[:, j], np.sqrt(np.diagonal(v[j]))
-                out["cov"][h][np.ix_(kept, kept)] = v[j]
-            diagnostics.append({"horizons": tuple(horizons), "n_obs": n, "absorbed_rank": rank.rank, "model_rank": model_rank, "df_resid": n - model_rank, "exact": rank.exact, "method": rank.method, "correction_rank": correction, "correction_rank_exact": correction_rank.exact, "correction_rank_method": correction_rank.method, "nested_effects": tuple(nested_effects)})
-            shown[number_] = {"solver": "cholesky" if condition <= WELL_CONDITIONED else "qr", "condition": condition, "within_signal_floor": floor, "normalized_within_norms": norms[kept], "factor": "tsqr"}
-            fits.append((laid, how, fit, horizons, sy))
+            iterated = bool(effects) and strategy(list(order.values()), counts, "__u") is None
+            rank = self._rank(rows, list(order.values()), counts, None) if iterated else None  # over its budget it refuses before anything is absorbed
+            for at in range(0, len(horizons), batch):
+                some = horizons[at : at + batch]
+                now = np.r_[0:k_all, k_all + at : k_all + at + len(some)]
+                reporter.update("absorb regressors", message=f"{k_all} columns")
+                laid, how, schur = make_plan(rows, [zs[i] for i in now], list(order.values()), counts, unit="__u", center=mean[now], scale=scale[now], tol=o.demean_tol, max_iter=o.max_iter, acceleration=o.demean_acceleration, block_rows=block_rows(k_all, len(some)))
+                rank = rank or self._rank(rows, list(order.values()), counts, schur)
+                _, _, r = factor(laid, how)
+                norms = np.sqrt((r[:, :k_all] ** 2).sum(axis=0))
+                largest = max((sizes_of[e][2] for e in order.values()), default=n)
+                floor = signal_floor(n, len(effects), largest, how.method == "map", o.demean_tol)
+                weak = ~np.isfinite(norms) | (norms == 0) | (norms <= floor)
+                if bad := [features[i] for i in np.flatnonzero(weak) if features[i] not in plan.nuisance]:
+                    raise ValueError(f"residualized design has zero or negligible within variation at horizon {horizons[0]} for columns {bad}")
+                kept = np.flatnonzero(~weak)
+                if kept_all is not None and not np.array_equal(kept, kept_all):
+                    raise ValueError("generated lower-order terms are absorbed differently across horizons; use a common sample or revise the specification")
+                kept_all = kept
+                k = len(kept)
+                model_rank = k + rank.rank
+                if n <= model_rank:
+                    note = "" if rank.exact else " under the conservative rank bound"
+                    raise ValueError(f"residual degrees of freedom must be positive{note} at horizon {horizons[0]} (n={n}, model rank={model_rank})")
+
+                if at == 0:
+                    absorbed += [{"term": features[i], "horizons": tuple(horizons), "reason": "absorbed by fixed effects or zero within variation"} for i in np.flatnonzero(weak)]
+                    correction, correction_rank, nested_effects, labels = model_rank, rank, (), ["#".join(c) for c in clusters]
+                    if o.covariance == "cluster":
+                        correction, nested_effects, correction_rank = self._parameters(rows, list(order.values()), counts, effects, clusters, cluster_keys, k, rank)
+                        if o.cluster_correction == "cr1" and n <= correction:
+                            raise ValueError("cluster correction requires positive degrees of freedom under the selected parameter-count policy")
+                        sizes = [sizes_of[g][0] for g in cluster_keys]
+                        for label, g in zip(labels, sizes, strict=True):
+                            if g < 2:
+                                raise ValueError(f"cluster term {label!r} requires at least two clusters")
+                            if o.few_cluster_threshold is not None and g < o.few_cluster_threshold and label not in warned:
+                                warnings.warn(f"cluster term {label!r} has only {g} clusters; cluster-robust inference may be unreliable, and CR1 does not remove the problem", FewClustersWarning, stacklevel=4)
+                                warned.add(label)
+                        if o.cluster_inference == "t":
+                            dfs[horizons] = min(sizes) - 1
+                    ranks[horizons], corrections[horizons], nobs[horizons] = model_rank, correction, n
+
+                reporter.update("prepare solver", message=f"{k} retained columns")
+                rx = np.linalg.qr(r[:, [*kept, *range(k_all, len(now))]], mode="r")
+                rx = rx * np.where(np.diag(rx) < 0, -1.0, 1.0)[:, None]
+                rxx, rxy, ryy = rx[:k, :k], rx[:k, k:], rx[k:, k:]
+                unit_columns = rxx / np.sqrt((rxx**2).sum(axis=0))
+                singular = np.linalg.svd(unit_columns, compute_uv=False)
+                if singular[-1] <= EPS * max(n, k) * singular[0]:
+                    raise ValueError(f"residualized design is numerically rank deficient at horizon {some[0]}: rank {int((singular > EPS * max(n, k) * singular[0]).sum())} of {k}")
+                condition = float((singular[0] / singular[-1]) ** 2)
+                beta = _finite(np.linalg.solve(rxx, rxy), "coefficients")
+                squares = (ryy**2).sum(axis=0)
+                fit = cov.Fit(kept, k_all, rxx, beta)
+
+                reporter.update("estimate horizon batch", at, len(horizons), f"horizons {some[0]}..{some[-1]}")
+                reporter.update("calculate covariance", message=f"horizons {some[0]}..{some[-1]}")
+                meats, note, spread = self._meats(laid, how, fit, some, squares, n, model_rank, correction, cluster_keys, labels, sizes_of["__t"][0], k)
+                reporter.update("estimate horizon batch", at + len(some), len(horizons))
+                inverse = np.linalg.inv(rxx)
+                v = inverse @ meats @ inverse.T
+                v = _finite((v + v.transpose(0, 2, 1)) / 2, "normalized covariance")
+                diagonal = np.diagonal(v, axis1=1, axis2=2)
+                share = (2 * n + 4 * k) * EPS
+                rough = np.abs(np.diagonal(inverse @ spread @ inverse.T, axis1=1, axis2=2)) if spread is not None else np.abs(v).max(axis=(1, 2))[:, None]
+                if (where := np.argwhere(diagonal < -share / (1 - share) * rough)).size:
+                    raise ValueError(f"{o.covariance} covariance has a negative variance at horizon {some[where[0][0]]}, feature {where[0][1]}")
+                for j, h in enumerate(some):
+                    zero = tuple(np.flatnonzero(diagonal[j] < 0).tolist())
+                    v[j][list(zero), list(zero)] = 0.0
+                    cov_diagnostics[h] = note(j) | {"negative_variance_cleanup": zero}
+                # Back to the units of the input.
+                sx, sy = scale[kept], scale[now][k_all:]
+                b = _finite(beta * sy[None, :] / sx[:, None], "coefficients")
+                v = _finite(v * (sy**2)[:, None, None] / np.outer(sx, sx)[None], "covariance in original units")
+                for j, h in enumerate(some):
+                    out["coef"][h, kept], out["se"][h, kept] = b[:, j], np.sqrt(np.diagonal(v[j]))
+                    out["cov"][h][np.ix_(kept, kept)] = v[j]
+                if at == 0:
+                    diagnostics.append({"horizons": tuple(horizons), "n_obs": n, "absorbed_rank": rank.rank, "model_rank": model_rank, "df_resid": n - model_rank, "exact": rank.exact, "method": rank.method, "correction_rank": correction, "correction_rank_exact": correction_rank.exact, "correction_rank_method": correction_rank.method, "nested_effects": tuple(nested_effects)})
+                    shown[number_] = {"solver": "scaled_qr", "condition": condition, "within_signal_floor": floor, "normalized_within_norms": norms[kept], "factor": "tsqr"}
+                    methods.append(how)
+                for h in some:
+                    fit_of[h] = len(fits)
+                fits.append((laid, how, fit, some, sy))
 
         reporter.update("assemble results")
         coef, se, v = out["coef"][:, kept_all], out["se"][:, kept_all], out["cov"][:, kept_all][:, :, kept_all]
@@ -300,15 +313,15 @@ class LocalProjection:
             "feature_names_in_": np.asarray([features[i] for i in kept_all], dtype=object), "shock_names_in_": np.asarray([f.name for f in plan.families], dtype=object),
             "shock_families_": tuple(plan.families), "shock_support_": support, "absorbed_terms_": tuple(absorbed), "sample_": o.sample, "response_": o.response,
             "n_obs_by_horizon_": nobs, "model_rank_by_horizon_": ranks, "df_resid_by_horizon_": nobs - ranks, "correction_rank_by_horizon_": corrections,
-            "inference_df_by_horizon_": dfs, "critical_values_": critical, "n_obs_": int(nobs.max()), "n_units_": checks["units"], "n_periods_": checks["periods"],
+            "inference_df_by_horizon_": dfs, "critical_values_": critical, "n_obs_": int(nobs.max()), "n_units_": n_units, "n_periods_": n_periods,
             "degrees_of_freedom_diagnostics_": {"policy": o.fe_dof, "by_cache_group": tuple(diagnostics)},
-            "memory_diagnostics_": {"budget_bytes": o.memory_budget, "batch_size": batch} if o.memory_budget else {"budget_bytes": None, "scope": "unbudgeted"},
+            "memory_diagnostics_": memory,
             "cache_group_by_horizon_": group_of, "covariance_diagnostics_": tuple(cov_diagnostics),
             "covariance_config_": {"kind": o.covariance, "cluster_terms": tuple("#".join(c) for c in clusters)} | {x: getattr(o, x) if o.covariance == "cluster" else None for x in ("cluster_correction", "cluster_df", "cluster_group_adjustment", "cluster_inference", "few_cluster_threshold")} | {x: getattr(o, x) if o.covariance in ("hac", "driscoll_kraay") else None for x in ("hac_lags", "hac_kernel", "hac_debias")},
             "singleton_diagnostics_": {"policy": o.singleton_policy, "dropped_by_horizon": np.array([dropped[h] for h in range(n_h)]), "rounds_by_horizon": np.array([rounds[h] for h in range(n_h)])},
-            "linear_algebra_diagnostics_": {"solver": shown[0]["solver"] if len({s["solver"] for s in shown.values()}) == 1 else "mixed", "by_cache_group": tuple(shown.values())},
-            "demeaning_diagnostics_": {"method": fits[0][1].method, "method_by_cache_group": tuple(f[1].method for f in fits), "iterations_by_cache_group": tuple(f[1].iterations for f in fits), "acceleration_accepted_by_cache_group": tuple(f[1].accepted for f in fits), "backend": "spark", "cache_mode": "shared_design" if len(samples) == 1 else "mask_grouped", "acceleration": o.demean_acceleration, "consecutive_clock": not checks["gaps"], "batch_size": batch},
-            "_fits": fits, "_unit": unit, "_time": time, "_first_time": panel.first_time, "_irfplot": None, "_spark": spark,
+            "linear_algebra_diagnostics_": {"solver": "scaled_qr", "by_cache_group": tuple(shown.values())},
+            "demeaning_diagnostics_": {"method": methods[0].method, "method_by_cache_group": tuple(m.method for m in methods), "iterations_by_cache_group": tuple(m.iterations for m in methods), "acceleration_accepted_by_cache_group": tuple(m.accepted for m in methods), "backend": "spark", "cache_mode": "shared_design" if len(samples) == 1 else "mask_grouped", "acceleration": o.demean_acceleration, "consecutive_clock": not gaps, "batch_size": batch},
+            "_fits": fits, "_fit_of": fit_of, "_unit": unit, "_time": time, "_first_time": panel.first_time, "_irfplot": None, "_spark": spark,
         }
 
     @staticmethod
@@ -333,16 +346,23 @@ class LocalProjection:
             raise ValueError(f"declared levels for {category.column!r} must match its observed levels")
         return category.levels
 
-    def _batch(self, df: DataFrame, columns: list[str], terms: int, effects: int, clusters: int) -> int:
-        """Horizons that a task's blocks hold at once under the budget; too small fails before the panel is read."""
-        from impulsar.operators.absorb import BLOCK_VALUES
+    def _memory(self, k: int):
+        """(horizons in a batch, rows in a task's block by regressors and horizons, what the plan says) under the budget.
 
-        k, budget = terms + 1, self.options.memory_budget
-        fixed = 16 * BLOCK_VALUES + 64 * k * k * (self.options.horizons + 1) + 128 * len(columns)
-        each = max(1, BLOCK_VALUES * (1 + effects + clusters) // (k + 1) + 128 * k * k)
-        if fixed + each > budget:
-            raise ValueError(f"memory_budget={budget} bytes is below the planned minimum of {fixed + each} bytes; increase memory_budget or reduce horizons or features")
-        return min(MAX_BATCH, self.options.horizons + 1, (budget - fixed) // each)
+        Planned are a task's arrays: ``width`` numbers a row (columns and scores,
+        with what is made of them) and the meats.  A unit's rows stay together,
+        so a unit longer than a block adds to it.
+        """
+        k, most, budget = k + 1, min(MAX_BATCH, self.options.horizons + 1), self.options.memory_budget
+        width = lambda k, h: k + h + k * h
+        need = lambda h, rows: 24 * (width(k, h) * rows + k * k * (h + 1))
+        if budget is None:
+            return most, lambda k, h: max(LEAST_ROWS, BLOCK_VALUES // width(k, h)), {"budget_bytes": None, "scope": "unbudgeted"}
+        if need(1, LEAST_ROWS) > budget:
+            raise ValueError(f"memory_budget={budget} bytes is below the planned minimum of {need(1, LEAST_ROWS)} bytes; increase memory_budget or reduce horizons or features")
+        batch = max(h for h in range(1, most + 1) if need(h, LEAST_ROWS) <= budget)
+        rows = min(max(LEAST_ROWS, BLOCK_VALUES // width(k, batch)), (budget - need(batch, 0)) // (24 * width(k, batch)))
+        return batch, lambda k, h: rows, {"budget_bytes": budget, "scope": "task arrays", "minimum_bytes": need(1, LEAST_ROWS), "planned_peak_bytes": need(batch, rows), "batch_size": batch, "block_rows": rows}
 
     def _rank(self, rows, keys, counts, schur) -> Rank:
         if schur is not None and (self.options.fe_dof == "exact" or len(keys) < 3):
@@ -391,7 +411,7 @@ class LocalProjection:
         else:
             meat = cov.driscoll_kraay(df, plan, fit, o.hac_kernel, widths, k)
         meat = meat * (n / (n - model_rank) if o.hac_debias else 1.0)
-        return meat, lambda j: {"kind": o.covariance, "kernel": o.hac_kernel, "max_lags": widths[j], "debias": o.hac_debias}, None
+        return meat, lambda j: {"kind": o.covariance, "kernel": o.hac_kernel, "bandwidth": widths[j], "debias": o.hac_debias}, None
 
     # Results
 
@@ -458,7 +478,7 @@ class LocalProjection:
         self._need_fit()
         if not self.options.retain_residuals:
             raise ValueError("residuals were not retained")
-        laid, plan, fit, horizons, scale = self._fits[self.cache_group_by_horizon_[horizon]]
+        laid, plan, fit, horizons, scale = self._fits[self._fit_of[horizon]]
         at = horizons.index(horizon)
         rows = cov.residual_frame(laid, plan, fit, "__u", horizons)
         return rows.select(F.col("__u").alias(self._unit), (F.col("__t") + F.lit(self._first_time)).alias(self._time), (F.col(f"residual_{horizon}") * float(scale[at])).alias("residual"))
@@ -466,7 +486,7 @@ class LocalProjection:
     def sample_frame(self, horizon: int) -> DataFrame:
         """(unit, time) of a horizon's anchors."""
         self._need_fit()
-        laid = self._fits[self.cache_group_by_horizon_[horizon]][0]
+        laid = self._fits[self._fit_of[horizon]][0]
         return laid.select(F.col("__u").alias(self._unit), (F.col("__t") + F.lit(self._first_time)).alias(self._time))
 
     def plot_irf(self, coefficient: str | None = None, **style):

@@ -6,7 +6,8 @@ The strategies, chosen from the numbers of levels:
 * ``exact_group``: one effect, its group means taken inside the partition;
 * ``exact_schur``: the largest effect likewise, the levels of the others (at
   most ``MAX_LEVELS`` together) through the Schur complement that is left of
-  their dummies; no iteration;
+  their dummies; no iteration.  Effects of few levels in all are taken out
+  this way together, without a group and so without a shuffle;
 * ``map``: alternating group-mean projections over windows, for several large
   effects, until changes and group means are below the tolerance.
 
@@ -32,7 +33,8 @@ from impulsar.operators.components import cut
 
 MAX_LEVELS = 1000
 BLOCK_VALUES = 1 << 21
-DIRECT = 64
+#: Bytes of payloads that the driver may receive in one job.
+DIRECT_BYTES = 1 << 25
 _PACK = pa.schema([("payload", pa.binary())])
 
 
@@ -50,6 +52,7 @@ class Plan:
     method: str = "none"
     iterations: int = 0
     accepted: int = 0
+    block_rows: int | None = None  # rows a task holds at once, beyond whole groups
 
     @property
     def starts(self) -> np.ndarray:
@@ -62,36 +65,35 @@ def _codes(column: pa.Array, levels: list) -> np.ndarray:
 
 def blocks(batches, plan: Plan):
     """(batch, group starts) of whole groups of ``plan.group``, in blocks of bounded size."""
-    held, rows = [], 0
-    most = max(1, BLOCK_VALUES // max(1, len(plan.columns)))
+    held, rows = [], 0  # batches, the last ones perhaps an unfinished group
+    most = plan.block_rows or max(1, BLOCK_VALUES // max(1, len(plan.columns)))
 
-    def emit(table: pa.Table):
-        batch = table.combine_chunks().to_batches(max_chunksize=table.num_rows)[0]
+    def emit(parts: list):
+        batch = pa.Table.from_batches(parts).combine_chunks().to_batches()[0]
         if plan.group is None:
             return batch, np.zeros(1, dtype=np.int64)
         key = batch.column(plan.group)
         new = pc.not_equal(key.slice(1), key.slice(0, len(key) - 1)).to_numpy(zero_copy_only=False)
         return batch, np.concatenate(([0], np.flatnonzero(new) + 1)).astype(np.int64)
 
-    for batch in batches:
-        if not batch.num_rows:
-            continue
-        held.append(batch)
-        rows += batch.num_rows
-        if rows >= most:
-            table = pa.Table.from_batches(held)
-            if plan.group is None:
-                yield emit(table)
-                held, rows = [], 0
-                continue
-            last = table[plan.group][rows - 1]
-            same = pc.equal(table[plan.group], last).to_numpy()
-            cut_at = rows - int(np.argmin(same[::-1])) if not same.all() else 0
-            if cut_at:
-                yield emit(table.slice(0, cut_at))
-                held, rows = table.slice(cut_at).to_batches(), rows - cut_at
+    for whole in batches:
+        for low in range(0, whole.num_rows, most):
+            batch = whole.slice(low, most)
+            if held and rows + batch.num_rows > most:
+                if plan.group is None:
+                    yield emit(held)
+                    held, rows = [], 0
+                else:  # the group that ends what is held may go on in this batch
+                    key = batch.column(plan.group)
+                    same = pc.equal(key, held[-1].column(plan.group)[-1]).to_numpy(zero_copy_only=False)
+                    end = int(np.argmin(same)) if not same.all() else batch.num_rows
+                    if end < batch.num_rows:
+                        yield emit([*held, batch.slice(0, end)] if end else held)
+                        held, rows, batch = [], 0, batch.slice(end)
+            held.append(batch)
+            rows += batch.num_rows
     if rows:
-        yield emit(pa.Table.from_batches(held))
+        yield emit(held)
 
 
 def matrix(batch: pa.RecordBatch, plan: Plan) -> np.ndarray:
@@ -118,62 +120,86 @@ def _pack(value) -> pa.RecordBatch:
     return pa.RecordBatch.from_pylist([{"payload": pickle.dumps(value)}], _PACK)
 
 
-def _total(df: DataFrame, add):
-    """Sum of the partitions' payloads; in two steps where they may be many."""
-    spark = df.sparkSession
-    if int(spark.conf.get("spark.sql.shuffle.partitions")) <= DIRECT and spark.sparkContext.defaultParallelism <= DIRECT:
-        values = [pickle.loads(row["payload"]) for row in df.collect()]
-        return reduce(add, values)
-    slots = spark.sparkContext.defaultParallelism
+def _total(df: DataFrame, add, size: int):
+    """Sum of the partitions' payloads of ``size`` bytes; folded by tasks first where they may be many."""
+    parts = df.sparkSession.sparkContext.defaultParallelism + int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if parts * size > DIRECT_BYTES:
+        slots = max(1, int(parts**0.5))
 
-    def fold(key, table):
-        whole = None
-        for value in table["payload"].to_pylist():
-            value = pickle.loads(value)
-            whole = value if whole is None else add(whole, value)
-        return pa.Table.from_pylist([{"payload": pickle.dumps(whole)}], _PACK)
+        def fold(batches):
+            whole = None
+            for batch in batches:
+                for value in batch.column("payload").to_pylist():
+                    value = pickle.loads(value)
+                    whole = value if whole is None else add(whole, value)
+            if whole is not None:
+                yield _pack(whole)
 
-    few = df.withColumn("slot", F.pmod(F.spark_partition_id(), F.lit(max(1, slots)))).groupBy("slot").applyInArrow(fold, "payload binary")
-    whole = None
-    for row in few.toLocalIterator():
-        value = pickle.loads(row["payload"])
-        whole = value if whole is None else add(whole, value)
-    return whole
+        df = df.repartition(slots).mapInArrow(fold, "payload binary")
+    rows = df.toLocalIterator() if parts * size > DIRECT_BYTES else df.collect()
+    return reduce(add, (pickle.loads(row["payload"]) for row in rows))
 
 
 def _add(a, b):
     return tuple(x + y for x, y in zip(a, b, strict=True))
 
 
-def schur_sums(df: DataFrame, plan: Plan) -> tuple:
-    """(groups, S, D'Z): the Schur complement of the other effects' dummies after the group, and their cross products."""
-    total = int(plan.starts[-1])
+def _sums(codes: np.ndarray, z: np.ndarray, levels: int) -> np.ndarray:
+    return np.stack([np.bincount(codes, weights=z[:, j], minlength=levels) for j in range(z.shape[1])], axis=1)
+
+
+def _merged(a: tuple, b: tuple) -> tuple:
+    """Sum of two (groups, levels, S, D'Z) whose levels may differ."""
+    levels = a[1] + [x for x in b[1] if x not in set(a[1])]
+    at = {x: i for i, x in enumerate(levels)}
+    s, dz = np.zeros((len(levels), len(levels))), np.zeros((len(levels), a[3].shape[1]))
+    for _, own, part, sums in (a, b):
+        to = np.array([at[x] for x in own], dtype=np.int64)
+        s[np.ix_(to, to)] += part
+        dz[to] += sums
+    return a[0] + b[0], levels, s, dz
+
+
+def schur_sums(df: DataFrame, plan: Plan, levels: int) -> tuple:
+    """(groups, [(dim, level)], S, D'Z): the Schur complement of the dims' dummies after the group, and their cross products.
+
+    Tasks number the levels that they meet, so no job reads them before; ``levels`` is how many there are.
+    """
+    bare = Plan(plan.columns, plan.group, center=plan.center, scale=plan.scale, block_rows=plan.block_rows)
 
     def run(batches):
-        groups, s, dz = 0, np.zeros((total, total)), np.zeros((total, len(plan.columns)))
-        bare = Plan(plan.columns, plan.group, center=plan.center, scale=plan.scale)
-        for batch, starts in blocks(batches, plan):
-            z = residual_rows(batch, starts, bare)
+        groups, at, s, dz = 0, {}, np.zeros((levels, levels)), np.zeros((levels, len(plan.columns)))
+        for batch, starts in blocks(batches, bare):
+            z, codes = residual_rows(batch, starts, bare), []
             n = len(z)
-            codes = [start + _codes(batch.column(d), lv) for d, lv, start in zip(plan.dims, plan.levels, plan.starts[:-1], strict=True)]
-            for c in codes:
-                np.add.at(dz, c, z)
-                for other in codes:
-                    np.add.at(s, (c, other), 1.0)
+            for i, dim in enumerate(plan.dims):
+                words = batch.column(dim).dictionary_encode()
+                numbers = np.array([at.setdefault((i, v), len(at)) for v in words.dictionary.to_pylist()], dtype=np.int64)
+                codes.append(numbers[words.indices.to_numpy(zero_copy_only=False)])
+            for i, c in enumerate(codes):
+                dz += _sums(c, z, levels)
+                s[np.diag_indices(levels)] += np.bincount(c, minlength=levels)
+                for other in codes[:i]:
+                    cell, times = np.unique(c * levels + other, return_counts=True)
+                    s[cell // levels, cell % levels] += times
+                    s[cell % levels, cell // levels] += times
             if plan.group is not None:
                 sizes = np.diff(np.append(starts, n))
                 group = np.repeat(np.arange(len(starts)), sizes)
-                step = max(1, BLOCK_VALUES // max(total, 1))
+                step = max(1, BLOCK_VALUES // levels)
                 for low in range(0, len(starts), step):
                     rows = slice(starts[low], starts[low + step] if low + step < len(starts) else n)
-                    counts = np.zeros((min(step, len(starts) - low), total))
+                    many = min(step, len(starts) - low)
+                    counts = np.zeros(many * levels)
                     for c in codes:
-                        np.add.at(counts, (group[rows] - low, c[rows]), 1.0)
+                        counts += np.bincount((group[rows] - low) * levels + c[rows], minlength=many * levels)
+                    counts = counts.reshape(many, levels)
                     s -= (counts / sizes[low : low + step, None]).T @ counts
                 groups += len(starts)
-        yield _pack((groups, s, dz))
+        if at:
+            yield _pack((groups, list(at), s[: len(at), : len(at)], dz[: len(at)]))
 
-    return _total(df.mapInArrow(run, "payload binary"), _add)
+    return _total(df.mapInArrow(run, "payload binary"), _merged, 8 * levels * (levels + len(plan.columns)))
 
 
 def factor(df: DataFrame, plan: Plan) -> tuple:
@@ -193,41 +219,43 @@ def factor(df: DataFrame, plan: Plan) -> tuple:
     def add(a, b):
         return a[0] + b[0], a[1] + b[1], np.linalg.qr(np.vstack([a[2], b[2]]), mode="r")
 
-    n, groups, r = _total(df.mapInArrow(run, "payload binary"), add)
+    n, groups, r = _total(df.mapInArrow(run, "payload binary"), add, 8 * p * p)
     if len(r) < p:
         r = np.vstack([r, np.zeros((p - len(r), p))])
     return n, groups, r * np.where(np.diag(r) < 0, -1.0, 1.0)[:, None]
 
 
-def level_values(df: DataFrame, key: str, most: int) -> list | None:
-    """All levels of an effect, in order, or None beyond ``most``."""
-    found = [r[0] for r in df.select(key).distinct().limit(most + 1).collect()]
-    return sorted(found) if len(found) <= most else None
+def strategy(effects: list[str], counts: list[int], unit: str) -> tuple[int | None, list[int]] | None:
+    """(the effect taken out by groups, if any; those taken out through the Schur complement), or None for alternating projections."""
+    order = sorted(range(len(effects)), key=lambda i: -counts[i])
+    if unit not in effects and sum(counts) <= 2 * MAX_LEVELS:
+        return None, order
+    main = effects.index(unit) if unit in effects and counts[order[0]] <= MAX_LEVELS else order[0]
+    rest = [i for i in order if i != main]
+    return (main, rest) if sum(counts[i] for i in rest) <= MAX_LEVELS else None
 
 
-def make_plan(df: DataFrame, columns: list[str], effects: list[str], counts: list[int], *, unit: str, center, scale, tol: float, max_iter: int, acceleration: str = "none") -> tuple[DataFrame, Plan, tuple | None]:
+def make_plan(df: DataFrame, columns: list[str], effects: list[str], counts: list[int], *, unit: str, center, scale, tol: float, max_iter: int, acceleration: str = "none", block_rows: int | None = None) -> tuple[DataFrame, Plan, tuple | None]:
     """Rows laid out for a strategy, the plan, and (groups, rank of S) where a Schur complement was formed."""
-    plan = Plan(columns, center=center, scale=scale)
+    plan = Plan(columns, center=center, scale=scale, block_rows=block_rows)
     if not effects:
         plan.center, plan.method = np.zeros(len(columns)), "none"
         return df, plan, None
-    order = sorted(range(len(effects)), key=lambda i: -counts[i])
-    main, rest = order[0], order[1:]
-    if counts[main] <= MAX_LEVELS and effects[main] != unit and unit in effects:
-        main = effects.index(unit)
-        rest = [i for i in order if i != main]
-    if sum(counts[i] for i in rest) > MAX_LEVELS:
+    if (chosen := strategy(effects, counts, unit)) is None:
         return _alternate(df, plan, effects, tol, max_iter, acceleration)
-    plan.group = effects[main]
-    if plan.group != unit:
-        df = df.repartition(plan.group).sortWithinPartitions(plan.group)
-    plan.method = "exact_group" if not rest else "exact_schur"
-    plan.iterations = 1
+    main, rest = chosen
+    plan.method, plan.iterations = "exact_schur" if rest else "exact_group", 1
+    if main is not None:
+        plan.group = effects[main]
+        if plan.group != unit:
+            df = df.repartition(plan.group).sortWithinPartitions(plan.group)
     if not rest:
         return df, plan, None
     plan.dims = [effects[i] for i in rest]
-    plan.levels = [level_values(df, d, MAX_LEVELS) for d in plan.dims]
-    groups, s, dz = schur_sums(df, plan)
+    groups, found, s, dz = schur_sums(df, plan, sum(counts[i] for i in rest))
+    order = sorted(range(len(found)), key=found.__getitem__)
+    s, dz = s[np.ix_(order, order)], dz[order]
+    plan.levels = [[found[j][1] for j in order if found[j][0] == i] for i in range(len(rest))]
     values, vectors = np.linalg.eigh(s)
     good = values > values[-1] * len(values) * 1e-14 * max(1.0, np.sqrt(len(values)))
     plan.gamma = vectors[:, good] @ ((vectors[:, good].T @ dz) / values[good][:, None])

@@ -8,12 +8,16 @@ in that basis.
 from __future__ import annotations
 
 import hashlib
+import pickle
 from dataclasses import dataclass
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from impulsar.functions.lag_weights import last_lag, weights
 from impulsar.operators.absorb import _PACK, Plan, _add, _pack, _total, blocks, residual_rows
@@ -28,6 +32,11 @@ class Fit:
     r: np.ndarray
     beta: np.ndarray
 
+    @property
+    def size(self) -> int:
+        """Numbers in the meats of all horizons."""
+        return len(self.kept) ** 2 * max(1, self.beta.shape[1])
+
     def rows(self, z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(rows in the orthonormal basis, residuals) of residual rows."""
         x = z[:, self.kept]
@@ -59,7 +68,7 @@ def robust(df: DataFrame, plan: Plan, fit: Fit, kind: str) -> np.ndarray:
         if not np.isscalar(meat):
             yield _pack((meat, low))
 
-    meat, low = _total(df.mapInArrow(run, "payload binary"), lambda a, b: (a[0] + b[0], np.minimum(a[1], b[1])))
+    meat, low = _total(df.mapInArrow(run, "payload binary"), lambda a, b: (a[0] + b[0], np.minimum(a[1], b[1])), 8 * fit.size)
     if power and low[0] <= np.finfo(float).eps:
         raise ValueError(f"{kind} is undefined: an observation has leverage one")
     return meat
@@ -69,49 +78,66 @@ def _subsets(n: int) -> list[tuple[int, ...]]:
     return [s for size in range(1, n + 1) for s in combinations(range(n), size)]
 
 
+def _meat_of(total: np.ndarray, shape: tuple[int, int]) -> np.ndarray:
+    return _outer(total.reshape(len(total), shape[1], shape[0]))
+
+
 def clustered(df: DataFrame, plan: Plan, fit: Fit, keys: list[str], shape: tuple[int, int], slots: int) -> tuple[list[tuple], np.ndarray, list[int]]:
     """(subsets of terms, their meats, their numbers of clusters).
 
     Scores are summed by cluster inside each block, then by cluster over all
     blocks, then multiplied; a subset of terms is one grouping set of its own.
+    The clusters of a subset with the absorbed group among its keys lie whole
+    in a block: their products are formed there, and nothing is shuffled.
     """
     subsets = _subsets(len(keys))
+    inside = [plan.group is not None and any(keys[j] == plan.group for j in subset) for subset in subsets]
     partial = pa.schema([("subset", pa.int32()), ("slot", pa.int32()), ("cluster", pa.binary()), ("total", pa.binary())])
+    names = "subset int, slot int, cluster binary, total binary"
 
     def sums(batches):
+        meats, counts = np.zeros((len(subsets), shape[1], shape[0], shape[0])), np.zeros(len(subsets), dtype=np.int64)
         for batch, starts in blocks(batches, plan):
             w, e = fit.rows(residual_rows(batch, starts, plan))
             s = scores(w, e).reshape(len(w), -1)
             coded = []
             for key in keys:
                 words = batch.column(key).dictionary_encode()
-                coded.append((words.indices.to_numpy(zero_copy_only=False).astype(np.int64), [str(x).encode() for x in words.dictionary.to_pylist()]))
+                coded.append((words.indices.to_numpy(zero_copy_only=False).astype(np.int64), words.dictionary))
             for i, subset in enumerate(subsets):
                 code = np.zeros(len(s), dtype=np.int64)
                 for j in subset:
-                    code = code * len(coded[j][1]) + coded[j][0]
-                values, first, inverse = np.unique(code, return_index=True, return_inverse=True)
-                total = np.zeros((len(values), s.shape[1]))
-                np.add.at(total, inverse, s)
-                names = [b"\x1f".join(b"%d:" % len(coded[j][1][coded[j][0][f]]) + coded[j][1][coded[j][0][f]] for j in subset) for f in first]
-                ids = [hashlib.blake2b(x, digest_size=16).digest() for x in names]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(values), i, np.int32)), pa.array([int.from_bytes(x[:4], "little") % slots for x in ids], pa.int32()), pa.array(ids, pa.binary()), pa.array([t.tobytes() for t in total], pa.binary())], schema=partial)
+                    code = np.unique(code * len(coded[j][1]) + coded[j][0], return_inverse=True)[1]
+                order = np.argsort(code, kind="stable")
+                first = np.flatnonzero(np.concatenate(([True], np.diff(code[order]) != 0)))
+                total = np.add.reduceat(s[order], first, axis=0)
+                counts[i] += len(total)
+                if inside[i]:
+                    meats[i] += _meat_of(total, shape)
+                    continue
+                parts = [coded[j][1].cast(pa.string()).take(pa.array(coded[j][0][order[first]])).to_pylist() for j in subset]
+                ids = [hashlib.blake2b(repr(x).encode(), digest_size=16).digest() for x in zip(*parts, strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), i, np.int32)), pa.array([int.from_bytes(x[:4], "little") % slots for x in ids], pa.int32()), pa.array(ids, pa.binary()), pa.array([t.tobytes() for t in total], pa.binary())], schema=partial)
+        counts[[i for i, whole in enumerate(inside) if not whole]] = 0
+        if counts.any():
+            yield pa.RecordBatch.from_pylist([{"subset": -1, "slot": TaskContext.get().partitionId() % slots, "cluster": b"", "total": pickle.dumps((meats, counts))}], partial)
 
     def multiply(key, table):
+        i = key[0].as_py()
+        if i < 0:
+            return pa.Table.from_batches([_pack(reduce(_add, map(pickle.loads, table["total"].to_pylist())))], _PACK)
         ids = table["cluster"].combine_chunks().dictionary_encode()
         codes = ids.indices.to_numpy(zero_copy_only=False)
         rows = np.frombuffer(b"".join(table["total"].to_pylist())).reshape(len(codes), -1)
-        total = np.zeros((len(ids.dictionary), rows.shape[1]))
-        np.add.at(total, codes, rows)
-        meats = np.zeros((len(subsets), shape[1], shape[0], shape[0]))
-        counts = np.zeros(len(subsets), dtype=np.int64)
-        i = key[0].as_py()
-        meats[i] = _outer(total.reshape(len(total), shape[1], shape[0]))
-        counts[i] = len(total)
+        order = np.argsort(codes, kind="stable")
+        total = np.add.reduceat(rows[order], np.flatnonzero(np.concatenate(([True], np.diff(codes[order]) != 0))), axis=0)
+        meats, counts = np.zeros((len(subsets), shape[1], shape[0], shape[0])), np.zeros(len(subsets), dtype=np.int64)
+        meats[i], counts[i] = _meat_of(total, shape), len(total)
         return pa.Table.from_batches([_pack((meats, counts))], _PACK)
 
-    summed = df.mapInArrow(sums, "subset int, slot int, cluster binary, total binary")
-    meats, counts = _total(summed.groupBy("subset", "slot").applyInArrow(multiply, "payload binary"), _add)
+    summed = df.mapInArrow(sums, names)
+    payloads = summed.select(F.col("total").alias("payload")) if all(inside) else summed.groupBy("subset", "slot").applyInArrow(multiply, "payload binary")
+    meats, counts = _total(payloads, _add, 8 * len(subsets) * fit.size)
     return subsets, meats, counts.tolist()
 
 
@@ -197,10 +223,10 @@ def hac(df: DataFrame, plan: Plan, fit: Fit, unit: str, kernel: str, bandwidths:
             if not np.isscalar(meat):
                 yield _pack((meat,))
 
-        return _total(df.mapInArrow(run, "payload binary"), _add)[0]
+        return _total(df.mapInArrow(run, "payload binary"), _add, 8 * fit.size)[0]
 
     rows = residual_scores(df, plan, fit, unit).repartition(unit).sortWithinPartitions(unit, "__t")
-    by_unit = Plan([], unit)
+    by_unit = Plan([], unit, block_rows=plan.block_rows)
 
     def run(batches):
         meat = 0.0
@@ -211,7 +237,7 @@ def hac(df: DataFrame, plan: Plan, fit: Fit, unit: str, kernel: str, bandwidths:
         if not np.isscalar(meat):
             yield _pack((meat,))
 
-    return _total(rows.mapInArrow(run, "payload binary"), _add)[0]
+    return _total(rows.mapInArrow(run, "payload binary"), _add, 8 * fit.size)[0]
 
 
 def residual_scores(df: DataFrame, plan: Plan, fit: Fit, unit: str) -> DataFrame:

@@ -10,14 +10,23 @@ from pyspark.sql import functions as F
 from impulsar.operators.components import cut
 
 
-def group_sizes(df: DataFrame, keys: list[str]) -> dict[str, tuple[int, int, int]]:
-    """(levels, smallest group, largest group) of each key, by one job of small aggregates."""
-    found: dict[str, tuple[int, int, int]] = {}
-    parts = [df.groupBy(k).count().agg(F.lit(k).alias("key"), F.count(F.lit(1)).alias("levels"), F.min("count").alias("low"), F.max("count").alias("high")) for k in dict.fromkeys(keys)]
-    if parts:
-        for row in reduce(DataFrame.unionByName, parts).collect():
-            found[row["key"]] = (row["levels"], row["low"] or 0, row["high"] or 0)
-    return found
+def survey(df: DataFrame, mask: str, keys: list[str], values: dict[str, str] | None = None) -> tuple[dict[str, tuple[int, int, int, int]], dict[str, float | None]]:
+    """Sizes of groups and aggregates of rows, by one job.
+
+    (levels, smallest group, largest group) of each key among the rows that
+    ``mask`` holds for, and its levels in all rows; the aggregates, given in SQL
+    like the mask, as numbers.
+    """
+    parts = []
+    for k in dict.fromkeys(keys):
+        per = df.groupBy(k).agg(F.expr(f"count_if({mask})").alias("n"))
+        parts.append(per.agg(F.lit(k).alias("key"), F.expr("cast(array(count_if(n > 0), min(if(n > 0, n, null)), max(n), count(*)) as array<double>)").alias("found")))
+    values = values or {}
+    if values:
+        every = ", ".join(f"cast({v} as double)" for v in values.values())
+        parts.append(df.agg(F.lit(None).cast("string").alias("key"), F.expr(f"array({every})").alias("found")))
+    rows = {r["key"]: r["found"] for r in reduce(DataFrame.unionByName, parts).collect()} if parts else {}
+    return {k: tuple(int(x or 0) for x in found) for k, found in rows.items() if k is not None}, dict(zip(values, rows.get(None, ()), strict=True))
 
 
 def prune_singletons(df: DataFrame, effects: list[str]) -> tuple[DataFrame, int, int]:
@@ -28,7 +37,7 @@ def prune_singletons(df: DataFrame, effects: list[str]) -> tuple[DataFrame, int,
     for it unless that set is large.
     """
     dropped = rounds = 0
-    while effects and any(low == 1 for _, low, _ in group_sizes(df, effects).values()):
+    while effects and any(low == 1 for _, low, _, _ in survey(df, "true", effects)[0].values()):
         left = df
         for e in dict.fromkeys(effects):
             left = left.join(df.groupBy(e).count().where("count = 1").select(e), e, "left_anti")

@@ -38,6 +38,13 @@ def to_spark(data, column_names=None) -> DataFrame:
     raise TypeError("data must be a Spark DataFrame, a pandas DataFrame or a NumPy array")
 
 
+def read_panel(spark: SparkSession, path: str, format: str = "parquet", **options) -> DataFrame:
+    """A panel from files: Parquet, or CSV with a header and inferred types, or any other source of Spark's."""
+    if format == "csv":
+        options = {"header": True, "inferSchema": True} | options
+    return spark.read.format(format).options(**options).load(path)
+
+
 def name(column: str) -> str:
     return f"`{column}`"
 
@@ -70,7 +77,6 @@ class Panel:
     rows: int
     first_time: int
     span: int
-    row_bytes: int
 
 
 def prepare(df: DataFrame, *, required: list[str], numeric: list[str], time: str) -> Panel:
@@ -80,21 +86,18 @@ def prepare(df: DataFrame, *, required: list[str], numeric: list[str], time: str
     if missing:
         raise ValueError(f"data is missing required columns: {missing}")
     df = df.select(*map(name, required))
-    blank = {c: F.col(name(c)).isNull() | (F.isnan(name(c)) if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) else F.lit(False)) for c in required}
     checked = df.select("*", clock(df, time).alias("__t"), *[number(df, c).alias(f"__n{i}") for i, c in enumerate(numeric)])
-    total = lambda condition: F.coalesce(F.sum(condition.cast("long")), F.lit(0))
-    stats = checked.agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.min("__t").alias("low"),
-        F.max("__t").alias("high"),
-        total(F.col("__t").isNull()).alias("bad_time"),
-        *[total(b).alias(f"blank{i}") for i, b in enumerate(blank.values())],
-        *[total(F.col(f"__n{i}").isNull() & ~blank[c]).alias(f"text{i}") for i, c in enumerate(numeric)],
-        *[total(~(F.abs(f"__n{i}") < float("inf"))).alias(f"wild{i}") for i in range(len(numeric))],
-    ).first()
+    quoted = [f"`{c.replace('`', '``')}`" for c in required]
+    bad = [f"{q} is null" + (f" or isnan({q})" if isinstance(df.schema[c].dataType, (T.FloatType, T.DoubleType)) else "") for c, q in zip(required, quoted, strict=True)]
+    of = dict(zip(required, bad, strict=True))
+    counted = [*bad, *[f"__n{i} is null and not ({of[c]})" for i, c in enumerate(numeric)], *[f"not abs(__n{i}) < double('infinity')" for i in range(len(numeric))]]
+    facts = ["count(*)", "min(__t)", "max(__t)", "count_if(__t is null)", *[f"count_if({x})" for x in counted]]
+    found = checked.agg(F.expr(f"array({', '.join(facts)})")).first()[0]  # one expression: every one costs a call of the JVM
+    marks = [*[f"blank{i}" for i in range(len(required))], *[f"text{i}" for i in range(len(numeric))], *[f"wild{i}" for i in range(len(numeric))]]
+    stats = dict(zip(["rows", "low", "high", "bad_time", *marks], found, strict=True))
     if not stats["rows"]:
         raise ValueError("data must contain at least one panel unit")
-    if incomplete := [c for i, c in enumerate(blank) if stats[f"blank{i}"]]:
+    if incomplete := [c for i, c in enumerate(required) if stats[f"blank{i}"]]:
         raise ValueError(f"the estimator requires complete data; missing values in {incomplete}")
     if wrong := [c for i, c in enumerate(numeric) if stats[f"text{i}"]]:
         raise ValueError(f"columns must be numeric: {wrong}")
@@ -107,7 +110,7 @@ def prepare(df: DataFrame, *, required: list[str], numeric: list[str], time: str
         raise ValueError("the time span exceeds the int64 range")
     keep = [F.col(name(c)) for c in required if c not in numeric]
     frame = checked.select((F.col("__t") - F.lit(stats["low"])).alias("__t"), *keep, *[F.col(f"__n{i}").alias(f"__v_{c}") for i, c in enumerate(numeric)])
-    return Panel(frame, stats["rows"], stats["low"], span, sum(max(8, getattr(f.dataType, "defaultSize", lambda: 16)() if callable(getattr(f.dataType, "defaultSize", None)) else 16) for f in df.schema))
+    return Panel(frame, stats["rows"], stats["low"], span)
 
 
 def key(columns: tuple[str, ...]) -> Column:

@@ -182,3 +182,23 @@ def test_progress_and_warning(spark):
 def test_t_critical_values(spark):
     model = fit(GAPPED, 0, options={"covariance": "cluster", "few_cluster_threshold": None}, fixed_effects=["unit"], cluster="unit")
     assert model.critical_values_[0] == pytest.approx(2.093024054408263, rel=1e-12)
+
+
+@pytest.mark.parametrize("covariance", ["cluster", "hac"])
+def test_horizon_batches_agree(spark, covariance):
+    more = {"cluster": ["unit", "time"]} if covariance == "cluster" else {}
+    whole = fit(GAPPED, 3, options={"covariance": covariance}, fixed_effects=["unit", "time"], **more)
+    least = fit(GAPPED, 3, options={"covariance": covariance, "memory_budget": "1GB"}, fixed_effects=["unit", "time"], **more).memory_diagnostics_["minimum_bytes"]
+    small = fit(GAPPED, 3, options={"covariance": covariance, "memory_budget": least}, fixed_effects=["unit", "time"], **more)
+    assert (small.memory_diagnostics_["batch_size"], small.demeaning_diagnostics_["batch_size"], whole.demeaning_diagnostics_["batch_size"]) == (1, 1, 4)
+    assert small.memory_diagnostics_["planned_peak_bytes"] == least
+    np.testing.assert_allclose(small.coef_, whole.coef_, rtol=1e-10)
+    np.testing.assert_allclose(small.stderr_, whole.stderr_, rtol=1e-10)
+    assert small.residuals_frame(3).count() == whole.n_obs_
+    with pytest.raises(ValueError, match="memory_budget"):
+        fit(GAPPED, 3, options={"memory_budget": 100})
+
+
+def test_bandwidth_is_reported(spark):
+    model = fit(GAPPED, 1, options={"covariance": "hac", "hac_lags": 10**9}, fixed_effects=["unit"])
+    assert model.covariance_diagnostics_[0]["bandwidth"] == 10**9
