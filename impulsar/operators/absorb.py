@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from impulsar.operators.components import cut
+from impulsar.operators.components import cut, forget
 
 MAX_LEVELS = 1000
 BLOCK_VALUES = 1 << 21
@@ -288,7 +288,7 @@ def _alternate(df: DataFrame, plan: Plan, effects: list[str], tol: float, max_it
     """Alternating projections on centred, scaled columns; each sweep is cut to the shared folder."""
     columns = plan.columns
     df = df.withColumns({c: (F.col(c) - float(m)) / float(s) for c, m, s in zip(columns, plan.center, plan.scale, strict=True)})
-    names = df.columns
+    names, last = df.columns, None
     for done in range(1, max_iter + 1):
         history = {f"__o_{c}": F.col(f"__p_{c}") for c in columns if f"__p_{c}" in df.columns} | {f"__p_{c}": F.col(c) for c in columns}
         now = df.withColumns(history)
@@ -296,6 +296,9 @@ def _alternate(df: DataFrame, plan: Plan, effects: list[str], tol: float, max_it
             group = W.partitionBy(effect)
             now = now.withColumns({c: F.col(c) - F.avg(c).over(group) for c in columns})
         df = cut(now)
+        if last is not None:
+            forget(last)
+        last = df
         moved = df.agg(F.greatest(*[F.max(F.abs(F.col(c) - F.col(f"__p_{c}"))) for c in columns], F.lit(0.0)).alias("d")).first()["d"]
         if moved < tol and max(_largest_means(df, effects, {c: F.col(c) for c in columns}).values()) < tol:
             plan.center, plan.scale = np.zeros(len(columns)), np.ones(len(columns))

@@ -10,9 +10,11 @@ from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``; one of our own only where it is unset."""
+    """The folder the cluster names in ``spark.checkpoint.dir``; one of our own only where it is unset and there is no cluster."""
     path = spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or spark.conf.get("spark.checkpoint.dir", None)
     if not path:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         path = "file://" + tempfile.mkdtemp(prefix="impulsar-")
         spark.conf.set("spark.checkpoint.dir", path)
     return path.rstrip("/")
@@ -24,7 +26,16 @@ def cut(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/impulsar/{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._cut_at = path
+    return out
+
+
+def forget(df: DataFrame) -> None:
+    """Delete what ``cut`` wrote for ``df``, which nothing may read any more."""
+    jvm, conf = df.sparkSession._jvm, df.sparkSession._jsparkSession.sessionState().newHadoopConf()
+    at = jvm.org.apache.hadoop.fs.Path(df._cut_at)
+    at.getFileSystem(conf).delete(at, True)
 
 
 def _signature(edges: DataFrame) -> tuple:
@@ -48,7 +59,8 @@ def components(edges: DataFrame) -> DataFrame:
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        before_edges, edges = edges, cut(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct())
+        forget(before_edges)
         after = _signature(edges)
         if after == before:
             break

@@ -12,6 +12,7 @@ PANELS = {
     "evt": "SELECT event_type AS unit, CAST(datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS time, avg(value) AS y, CAST(count(*) AS DOUBLE) AS x1, avg(CAST(user_id % 7 AS DOUBLE)) AS x2 FROM events GROUP BY 1, 2",
     "usr": "SELECT user_id AS unit, CAST(datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) AS time, sum(value) AS y, CAST(count(*) AS DOUBLE) AS x1, avg(CAST(event_id % 11 AS DOUBLE)) AS x2 FROM events GROUP BY 1, 2",
     "reg": "SELECT n_regionkey AS unit, CAST((year(l_shipdate) - 1992) * 12 + month(l_shipdate) - 1 AS BIGINT) AS time, sum(l_quantity) AS y, avg(l_discount) AS x1, avg(l_tax) AS x2 FROM lineitem JOIN supplier ON l_suppkey = s_suppkey JOIN nation ON s_nationkey = n_nationkey GROUP BY 1, 2",
+    "sec": "SELECT user_id AS unit, CAST(datediff('day', DATE '2024-01-01', CAST(ts AS DATE)) AS BIGINT) * 86400 + hour(ts) * 3600 + minute(ts) * 60 + second(ts) AS time, sum(value) AS y, CAST(count(*) AS DOUBLE) + avg(CAST(event_id % 5 AS DOUBLE)) AS x1, avg(CAST(event_id % 11 AS DOUBLE)) AS x2 FROM events GROUP BY 1, 2",
     "cus": "SELECT o_custkey AS unit, CAST((year(o_orderdate) - 1992) * 12 + month(o_orderdate) - 1 AS BIGINT) AS time, sum(o_totalprice) AS y, CAST(count(*) AS DOUBLE) AS x1, avg(CAST(o_orderkey % 13 AS DOUBLE)) AS x2 FROM orders GROUP BY 1, 2",
 }
 
@@ -33,6 +34,32 @@ def cumulative_sql(value: str, steps: int) -> str:
     return f"CASE WHEN count({value}) {frame} = {steps + 1} THEN sum({value}) {frame} END"
 
 
+def partial_sql(panel: str, horizons: int, target: str, others: tuple[str, ...], *, by: str = "", parameters: str = "0", cluster: str = "", extra: str = "", digits: int = 5) -> str:
+    """(horizon, n_obs, estimate, std_error) of one regressor: the others are taken out of it and of the outcome one after another.
+
+    ``by`` is an absorbed key, without one the mean goes; ``parameters`` is what
+    the variance counts, over (n, units); with ``cluster`` it is CR1.
+    """
+    ys = ", ".join(f"{lead_sql('y', h)} AS y{h}" for h in range(horizons + 1))
+    where = " AND ".join(f"y{h} IS NOT NULL" for h in range(horizons + 1))
+    columns = ", ".join(f"CAST({x} AS DOUBLE) AS o{i}" for i, x in enumerate(others))
+    long = " UNION ALL ".join(f"SELECT *, {h} AS h, y{h} AS v, CAST({target} AS DOUBLE) AS t{', ' + columns if columns else ''} FROM l WHERE {where}" for h in range(horizons + 1))
+    names = ["v", "t", *[f"o{i}" for i in range(len(others))]]
+    over = f"OVER (PARTITION BY h{', ' + by if by else ''})"
+    kept = f"h, unit, time{extra}"
+    sql = [f"p AS ({panel_sql(panel)})", f"l AS (SELECT *, {ys} FROM p)", f"r AS ({long})", f"d0 AS (SELECT {kept}, {', '.join(f'{n} - avg({n}) {over} AS {n}' for n in names)} FROM r)"]
+    for i in range(len(others)):
+        rest = [n for n in names if n != f"o{i}" and not (n[0] == "o" and int(n[1:]) < i)]
+        sql.append(f"d{i + 1} AS (SELECT {kept}, {', '.join(f'{n} - o{i} * (sum({n} * o{i}) OVER (PARTITION BY h) / sum(o{i} * o{i}) OVER (PARTITION BY h)) AS {n}' for n in rest)} FROM d{i})")
+    last = f"d{len(others)}"
+    sql += [f"g AS (SELECT h, count(*) AS n, count(DISTINCT unit) AS units, sum(t * v) / sum(t * t) AS c, sum(t * t) AS tt FROM {last} GROUP BY h)", f"e AS (SELECT {last}.*, n, units, c, tt, v - c * t AS e FROM {last} JOIN g USING (h))"]
+    if cluster:
+        sql.append(f"w AS (SELECT h, CAST(count(*) AS DOUBLE) / (count(*) - 1) * any_value((n - 1.0) / (n - ({parameters}))) * sum(s * s) AS m FROM (SELECT h, {cluster}, any_value(n) AS n, any_value(units) AS units, sum(t * e) AS s FROM e GROUP BY h, {cluster}) GROUP BY h)")
+    else:
+        sql.append(f"w AS (SELECT h, sum(e * e) / any_value(n - ({parameters})) * any_value(tt) AS m FROM e GROUP BY h)")
+    return f"WITH {', '.join(sql)} SELECT CAST(h AS BIGINT) AS horizon, CAST(n AS BIGINT) AS n_obs, round(c, {digits}) + 0.0 AS estimate, round(sqrt(m) / tt, {digits}) + 0.0 AS std_error FROM g JOIN w USING (h)"
+
+
 def lp_sql(panel: str, horizons: int, *, effects=(), x=("x1", "x2"), lags=(), kind="homoskedastic", response="level", sample="common", clusters=(), correction="", bandwidth=None, kernel="bartlett", sweeps=1, rank="0", extra="", names=None, value=1.959963984540054, interval=False, digits=5) -> str:
     """``rank``: SQL for the rank of the effects, ``correction``: for the parameters of CR1, over ``g`` (n, units, periods by h)."""
     k = len(x)

@@ -15,12 +15,12 @@ from impulsar.operators.absorb import blocks as blocks_of
 from impulsar.operators.align import cumulative, lead, outcomes, row_marks, unit_window, with_masks
 from impulsar.operators.ranks import effect_rank, nested
 from impulsar.operators.sample import mask_groups, prune_singletons
-from impulsar.plans.oracle import cumulative_sql, lead_sql, lp_sql, panel_sql
+from impulsar.plans.oracle import cumulative_sql, lead_sql, lp_sql, panel_sql, partial_sql
 from impulsar.plans.terms import C, fe, interact
 from impulsar.sources.panel import Panel, clock, prepare
 
 DIGITS = 5
-TABLES = {"sup": ("lineitem", "supplier", "nation"), "evt": ("events",), "usr": ("events",), "reg": ("lineitem", "supplier", "nation"), "cus": ("orders",)}
+TABLES = {"sup": ("lineitem", "supplier", "nation"), "evt": ("events",), "usr": ("events",), "sec": ("events",), "reg": ("lineitem", "supplier", "nation"), "cus": ("orders",)}
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
@@ -118,10 +118,15 @@ def anchor_per_horizon(spark, sf):
     return wide.select(F.explode(F.array(*[F.struct(F.lit(h).cast("long").alias("horizon"), F.col(f"n{h}").alias("n_obs")) for h in range(4)])).alias("r")).select("r.*")
 
 
-@query("SELECT CAST(v AS BIGINT) AS horizon, CAST(0 AS BIGINT) AS mask_group FROM generate_series(0, 3) t(v)")
-def mask_groups_common(spark, sf):
-    _, rows = aligned(panel(spark, sf, "sup"), 3)
-    groups, _ = mask_groups(rows, "unit", 3)
+_SPARSE = ", ".join(f"{lead_sql('y', h)} AS y{h}" for h in range(6))
+_MASKS = " UNION ALL ".join(f"SELECT CAST({h} AS BIGINT) AS horizon, count(*) AS n, coalesce(bit_xor(hash(unit, time)), 0) AS x FROM l WHERE y{h} IS NOT NULL" for h in range(6))
+
+
+@query(f"WITH p AS ({panel_sql('sup')}), l AS (SELECT *, {_SPARSE} FROM p WHERE time % 3 = 0), m AS ({_MASKS}), f AS (SELECT horizon, min(horizon) OVER (PARTITION BY n, x) AS first FROM m) SELECT horizon, CAST(dense_rank() OVER (ORDER BY first) - 1 AS BIGINT) AS mask_group FROM f")
+def mask_groups_sparse(spark, sf):
+    """Every third period only: horizons that hit no period share one (empty) sample, the others have their own."""
+    _, rows = aligned(panel(spark, sf, "sup").where("time % 3 = 0"), 5, sample="per_horizon")
+    groups, _ = mask_groups(rows, "unit", 5)
     return spark.createDataFrame([(h, g) for g, hs in enumerate(groups) for h in hs], "horizon long, mask_group long")
 
 
@@ -265,6 +270,8 @@ _lp("vcov_cluster_threeway", lp_sql("sup", 1, effects=_U, kind="cluster", cluste
 for _kernel, _short in (("bartlett", "bartlett"), ("parzen", "parzen"), ("quadratic_spectral", "qs")):
     _lp(f"vcov_hac_{_short}", lp_sql("sup", 2, effects=_U, rank="units", kind="hac", kernel=_kernel, bandwidth=3), "sup", 2, fixed_effects=["unit"], options={"covariance": "hac", "hac_kernel": _kernel, "hac_lags": 3})
     _lp(f"vcov_dk_{_short}", lp_sql("sup", 2, effects=_U, rank="units", kind="dk", kernel=_kernel), "sup", 2, fixed_effects=["unit"], options={"covariance": "driscoll_kraay", "hac_kernel": _kernel})
+for _kernel, _short in (("bartlett", "bartlett"), ("quadratic_spectral", "qs")):  # a clock of seconds: wide and sparse
+    _lp(f"vcov_hac_seconds_{_short}", lp_sql("sec", 0, effects=_U, rank="units", kind="hac", kernel=_kernel, bandwidth=864_000), "sec", 0, fixed_effects=["unit"], options={"covariance": "hac", "hac_kernel": _kernel, "hac_lags": 864_000})
 _lp("conf_int_normal", lp_sql("sup", 1, rank="1", kind="hc1", interval=True), "sup", 1, interval=True, options={"covariance": "hc1"})
 _lp("conf_int_t", lp_sql("reg", 1, effects=_U, kind="cluster", clusters=_U, correction="3", interval=True, value=2.7764451051977987), "reg", 1, interval=True, fixed_effects=["unit"], cluster="unit", options={"covariance": "cluster"})
 
@@ -278,10 +285,27 @@ def bandwidth_default(spark, sf):
 # Terms
 
 
-@query(f"WITH b AS ({lp_sql('evt', 1, x=('x1 * x2',), rank='1')}) SELECT * REPLACE ('x1:x2' AS coefficient) FROM b")
+_PRODUCT = lp_sql("evt", 1, x=("x1", "x1 * x2"), rank="1").replace("'x1 * x2' AS coefficient", "'x1:x2' AS coefficient")
+
+
+@query(_PRODUCT)
 def term_product(spark, sf):
-    model = LocalProjection(horizons=1, covariance="homoskedastic").fit(panel(spark, sf, "evt").withColumn("x1x2", F.col("x1") * F.col("x2")), outcome="y", shock="x1x2", unit="unit", time="time")
-    return _tidy(model, only=("x1x2",)).withColumn("coefficient", F.lit("x1:x2"))
+    """A product as a control: no lower-order terms come with it."""
+    return _tidy(_fit(spark, sf, "evt", 1, controls=(interact("x1", "x2"),)), only=("x1", "x1:x2"))
+
+
+@query(partial_sql("sup", 1, "x1 * x2", ("x1", "x2"), parameters="4"))
+def term_shock_hierarchy(spark, sf):
+    """A product as a shock brings its factors."""
+    model = _fit(spark, sf, "sup", 1, shock=interact("x1", "x2"), controls=())
+    return _tidy(model, only=("x1:x2",)).drop("coefficient")
+
+
+@query(f"WITH p AS ({panel_sql('sup')}) SELECT DISTINCT 'region[' || region || ']' AS term FROM p WHERE region <> (SELECT arg_min(region, unit) FROM p)")
+def term_absorbed(spark, sf):
+    """Levels of a category that the unit effect absorbs are left out and recorded."""
+    model = _fit(spark, sf, "sup", 1, shock=interact("x1", by=C("region")), controls=(), fixed_effects=["unit"])
+    return spark.createDataFrame([(t["term"],) for t in model.absorbed_terms_], "term string")
 
 
 _LEVELS = lp_sql("sup", 1, x=("CASE WHEN season % 2 = 0 THEN x1 ELSE 0 END", "CASE WHEN season % 2 = 1 THEN x1 ELSE 0 END"), effects=[("unit", "season % 2")])
@@ -303,11 +327,15 @@ def term_support_counts(spark, sf):
     return spark.createDataFrame(list(seen.values()), "level string, level_n_obs long, nonzero_shock_n_obs long")
 
 
-@query(None)
+_AT = (0.02, 0.06)
+
+
+# The response at z is the coefficient of x1 where the product is x1 times (x2 - z).
+@query(" UNION ALL ".join(f"SELECT {z} AS at, horizon, estimate, std_error FROM ({partial_sql('sup', 2, 'x1', (f'x1 * (x2 - {z})', 'x2'), by='unit', parameters='4', cluster='nation', extra=', nation')})" for z in _AT).replace("SELECT 0.02 AS at", "SELECT CAST(0.02 AS DOUBLE) AS at").replace("SELECT 0.06 AS at", "SELECT CAST(0.06 AS DOUBLE) AS at"))
 def term_continuous_irf(spark, sf):
     model = _fit(spark, sf, "sup", 2, shock=interact("x1", by="x2"), controls=(), fixed_effects=["unit"], cluster="nation", options=_NORMAL)
-    frame = model.irf_frame(at=[0.02, 0.06])
-    return spark.createDataFrame([(int(r.horizon), r.at, round(r.estimate, DIGITS), round(r.std_error, DIGITS)) for r in frame.itertuples()], "horizon long, at double, estimate double, std_error double")
+    frame = model.irf_frame(at=list(_AT))
+    return spark.createDataFrame([(int(r.horizon), r.at, round(r.estimate, DIGITS) + 0.0, round(r.std_error, DIGITS) + 0.0) for r in frame.itertuples()], "horizon long, at double, estimate double, std_error double")
 
 
 @query(lp_sql("sup", 2, x=("x1",), effects=_U, rank="units", interval=True).replace("coefficient, round", "coefficient AS shock, round"))
@@ -316,11 +344,12 @@ def irf_frame_contrast(spark, sf):
     return spark.createDataFrame([(int(r.horizon), int(r.n_obs), r.shock, round(r.estimate, DIGITS) + 0.0, round(r.std_error, DIGITS) + 0.0, round(r.ci_low, DIGITS) + 0.0, round(r.ci_high, DIGITS) + 0.0) for r in frame.itertuples()], "horizon long, n_obs long, shock string, estimate double, std_error double, ci_low double, ci_high double")
 
 
-@query(None)
+@query(f"WITH p AS ({panel_sql('sup')}), l AS (SELECT *, {lead_sql('y', 1)} AS y1 FROM p) SELECT 'scaled_qr' AS solver, true AS ill_conditioned, count(*) AS n_obs FROM l WHERE y1 IS NOT NULL")
 def diagnostics_qr_path(spark, sf):
     rows = panel(spark, sf, "sup").withColumn("x2", F.col("x1") + 1e-6 * F.col("x2"))
     model = LocalProjection(horizons=1, covariance="homoskedastic").fit(rows, outcome="y", shock="x1", controls=["x2"], unit="unit", time="time", fixed_effects=["unit"])
-    return one_row(spark, solver=model.linear_algebra_diagnostics_["solver"], n_obs=model.n_obs_)
+    found = model.linear_algebra_diagnostics_
+    return one_row(spark, solver=found["solver"], n_obs=model.n_obs_).select("solver", F.lit(found["by_cache_group"][0]["condition"] > 1e6).alias("ill_conditioned"), "n_obs")
 
 
 @query(f"WITH p AS ({panel_sql('sup')}), l AS (SELECT *, {lead_sql('y', 2)} AS y2, {lead_sql('y', 1)} AS y1 FROM p) SELECT unit, time FROM l WHERE y1 IS NOT NULL AND y2 IS NOT NULL")
