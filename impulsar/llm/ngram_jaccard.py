@@ -9,15 +9,19 @@ Rows of the incidence matrix are documents, columns are hashed word shingles.
    only with a set that shares one of its first ``n - ceil(t n) + 1`` columns in
    any fixed order of columns.  Ordered from the rarest up, columns of a single
    document need no partner, so documents with enough of them leave here.
-3. *Row blocks.*  Documents that still share a bounded column are gathered by
-   candidate component, split into blocks of at most ``block_rows`` documents.
-   A task multiplies two blocks, accumulating overlap counts per pair, and drops
-   pairs below ``overlap >= t (|x| + |y| - overlap)``.  It emits a spanning
-   forest of the links it finds, never all pairs of a group.
-
-Large candidate components are multiplied block by block on the diagonal with
-one leading document copied to each block; block pairs are formed only for
-documents that are then still apart from the component's largest class.
+3. *Stars.*  Each bounded column links its documents to its smallest one: such
+   pairs are verified, lead by lead, and give classes of near copies.
+4. *Row blocks.*  Columns that still hold two classes or more give block pairs:
+   documents meet in a pair of blocks if they share such a column.  A task
+   multiplies the bounded columns of two blocks, accumulating overlap counts per
+   pair of documents of different classes, and drops pairs that cannot reach
+   ``overlap >= t (|x| + |y| - overlap)`` with all that lies beyond the bound.
+5. *Verification.*  Whole sets are fetched for the pairs left only; a task emits
+   a spanning forest of the links it finds, never all pairs of a group.
+
+A large class has row blocks of its own, which never meet each other; the rest
+share blocks of about ``block_rows``.  Joins on a column or class that a large
+part of the rows may hold are dealt over several tasks.
 
 Columns that ``hot`` or more documents of one chunk share are pre-aggregated
 before the shuffle: the chunk sends one posting for the column.
@@ -40,13 +44,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from impulsar.llm.common import components, cut, partitions
+from impulsar.llm.common import components, cut, partitions, salted_join
 from impulsar.llm.words import Words, mix64, shingle_set
 
 WIDTH, THRESHOLD = 5, 75
 CHUNK_SHINGLES, HOT, BLOCK_ROWS, BATCH_BYTES = 2_000_000, 64, 512, 1 << 21
 _KEY_BITS = 40
 _HOT_DF = 65535
+#: Columns of this many documents or more are marked, so that joins on them can be dealt over tasks.
+MANY, _MARK = 512, 1 << 62
 
 
 def document_sets(batches, id_column: str, text_column: str, width: int):
@@ -177,7 +183,7 @@ def _count_block(bits: int):
 _DOCS = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("f1", pa.int64()), ("f2", pa.int64()), ("prefix", pa.list_(pa.int64()))])
 
 
-def _bound(threshold: int):
+def _bound(threshold: int, many: int):
     """A chunk's documents with the columns that the size bound leaves, rarest first."""
 
     def run(key, table):
@@ -199,7 +205,7 @@ def _bound(threshold: int):
             keep = left[docs] > 0
             docs, keys, dfs = docs[keep], keys[keep], dfs[keep]
             order = np.lexsort((keys, dfs, docs))
-            docs, keys = docs[order], keys[order].astype(np.int64)
+            docs, keys = docs[order], keys[order].astype(np.int64) | np.where(dfs[order] >= many, _MARK, 0)
             edges = np.searchsorted(docs, np.arange(len(meta) + 1))
             prefix = [keys[a : min(b, a + max(n, 0))] for a, b, n in zip(edges[:-1], edges[1:], left, strict=True)]
         ids = pa.array(meta[:, 0], mask=meta[:, 1] == 0)
@@ -208,67 +214,99 @@ def _bound(threshold: int):
     return run
 
 
-def multiply(sets: list[np.ndarray], classes: np.ndarray, left: np.ndarray, threshold: int) -> list[tuple[int, int]]:
-    """Links between rows of ``left`` and all rows, as a spanning forest over ``classes``.
+def _reaches(overlap, left, right, threshold: int):
+    return (100 + threshold) * overlap >= threshold * (left + right)
+
 
-    Overlaps of a row with all others are accumulated over the inverted index of
-    its columns; rows whose class is the only one left are skipped.
+def bounded_pairs(prefixes: list[np.ndarray], sizes: np.ndarray, classes: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs of a ``left`` and a ``right`` row of different classes that the overlap of their bounded columns leaves possible.
+
+    The columns that two sets share come within the bound of both, or after the
+    end of one of the bounds: at most ``size - bound`` of them.
     """
-    size = np.array([len(s) for s in sets], dtype=np.int64)
-    every = np.concatenate(sets)
-    rows = np.repeat(np.arange(len(sets)), size)
-    order = np.argsort(every, kind="stable")
-    every, rows = every[order], rows[order]
-    first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1])))
-    runs = np.diff(np.append(first, len(every)))
-    keep = np.repeat(runs > 1, runs)
-    rows, runs = rows[keep], runs[runs > 1]
-    starts = np.cumsum(runs) - runs
-    column = np.repeat(np.arange(len(runs)), runs)
-    by_row = np.argsort(rows, kind="stable")
-    edges = np.searchsorted(rows[by_row], np.arange(len(sets) + 1))
-    column = column[by_row]
-    label, found = np.unique(classes, return_inverse=True)[1], []
-    open_classes = len(np.unique(label))
+    beyond = -(-threshold * sizes // 100) - 1
+    columns, inverse = np.unique(np.concatenate([prefixes[y] for y in right]), return_inverse=True)
+    rows = np.repeat(right, [len(prefixes[y]) for y in right])[np.argsort(inverse, kind="stable")]
+    starts = np.searchsorted(np.sort(inverse), np.arange(len(columns) + 1))
+    us, vs = [], []
     for x in left:
-        if open_classes < 2:
-            break
-        mine = column[edges[x] : edges[x + 1]]
-        if not len(mine):
+        at = np.searchsorted(columns, prefixes[x])
+        at = at[(at < len(columns)) & (columns[np.minimum(at, len(columns) - 1)] == prefixes[x])]
+        n = starts[at + 1] - starts[at]
+        if not n.sum():
+            continue
+        met, counts = np.unique(rows[np.arange(n.sum()) + np.repeat(starts[at] - (np.cumsum(n) - n), n)], return_counts=True)
+        most = np.minimum(counts + np.maximum(beyond[x], beyond[met]), np.minimum(sizes[x], sizes[met]))
+        met = met[_reaches(most, sizes[x], sizes[met], threshold) & (classes[met] != classes[x])]
+        us.append(np.full(len(met), x))
+        vs.append(met)
+    return (np.concatenate(us), np.concatenate(vs)) if us else (np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+
+def spanning(sets: dict, classes: dict, pairs, threshold: int) -> list[tuple[int, int]]:
+    """Links among the pairs, as a spanning forest over the classes; a node's sets are several if its id is repeated."""
+    up: dict = {}
+
+    def find(c):
+        while c in up:
+            c = up[c]
+        return c
+
+    found = []
+    for u, v in pairs:
+        a, b = find(classes[u]), find(classes[v])
+        if a == b:
             continue
-        n = runs[mine]
-        at = np.arange(n.sum()) + np.repeat(starts[mine] - (np.cumsum(n) - n), n)
-        overlap = np.bincount(rows[at], minlength=len(sets))
-        linked = np.flatnonzero((100 * overlap >= threshold * (size[x] + size - overlap)) & (overlap > 0) & (label != label[x]))
-        for y in linked:
-            if label[y] != label[x]:
-                found.append((int(x), int(y)))
-                label[label == label[y]] = label[x]
-                open_classes -= 1
+        if any(_reaches(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), threshold) for x in sets[u] for y in sets[v]):
+            up[max(a, b)] = min(a, b)
+            found.append((u, v))
     return found
 
 
 _LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 
 
-def _block_links(threshold: int):
+def _bounded(threshold: int):
+    """Pairs of two row blocks that may be links."""
+    schema = pa.schema([("i", pa.int64()), ("j", pa.int64()), ("u", pa.int64()), ("v", pa.int64()), ("u_class", pa.int64()), ("v_class", pa.int64())])
+
     def run(key, table):
-        ids = table["doc"].to_numpy()
-        sets = [np.frombuffer(s, dtype="<u8") for s in table["shingles"].to_pylist()]
-        left = np.flatnonzero(table["is_left"].to_numpy(zero_copy_only=False))
-        found = multiply(sets, table["class"].to_numpy(), left, threshold)
-        return pa.Table.from_pydict({"u": [ids[x] for x, _ in found], "v": [ids[y] for _, y in found]}, schema=_LINKS)
+        i, j = key[0].as_py(), key[1].as_py()
+        docs, classes, sizes, block = (table[c].to_numpy() for c in ("doc", "class", "n_shingles", "block"))
+        prefixes = [np.array(p, dtype=np.int64) for p in table["prefix"].to_pylist()]
+        left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
+        if not len(left) or not len(right):
+            return schema.empty_table()
+        u, v = bounded_pairs(prefixes, sizes, classes, left, right, threshold)
+        if i == j:
+            u, v = u[docs[u] < docs[v]], v[docs[u] < docs[v]]
+        return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in (np.full(len(u), i), np.full(len(u), j), docs[u], docs[v], classes[u], classes[v])], schema=schema)
+
+    return run
+
+
+def _block_links(threshold: int):
+    """Verified links of a task's pairs."""
+
+    def run(key, pairs, rows):
+        sets: dict = {}
+        for doc, packed in zip(rows["doc"].to_pylist(), rows["shingles"].to_pylist(), strict=True):
+            sets.setdefault(doc, []).append(np.frombuffer(packed, dtype="<u8"))
+        u, v = pairs["u"].to_pylist(), pairs["v"].to_pylist()
+        classes = dict(zip(u, pairs["u_class"].to_pylist(), strict=True)) | dict(zip(v, pairs["v_class"].to_pylist(), strict=True))
+        found = spanning(sets, classes, sorted(zip(u, v, strict=True)), threshold)
+        return pa.Table.from_pydict({"u": [x for x, _ in found], "v": [y for _, y in found]}, schema=_LINKS)
 
     return run
 
 
 def _sets(width: int):
-    schema = pa.schema([("doc", pa.int64()), ("comp", pa.int64()), ("shingles", pa.binary())])
+    schema = pa.schema([("doc", pa.int64()), ("shingles", pa.binary())])
 
     def run(batches):
         rows, held = [], 0
-        for batch, row, doc, found in document_sets(batches, "doc", "text", width):
-            rows.append({"doc": doc, "comp": batch.column("comp")[row].as_py(), "shingles": found.astype("<u8").tobytes()})
+        for _, _, doc, found in document_sets(batches, "doc", "text", width):
+            rows.append({"doc": doc, "shingles": found.astype("<u8").tobytes()})
             held += len(found) * 8
             if held > 1 << 22:
                 yield pa.RecordBatch.from_pylist(rows, schema)
@@ -279,37 +317,49 @@ def _sets(width: int):
     return run
 
 
-_BLOCK_ROWS_SQL = "doc long, comp long, shingles binary, class long, is_left boolean"
-
-
-def _verified(sets: DataFrame, threshold: int, block_rows: int) -> DataFrame:
-    """Spanning links of the candidate components in ``sets`` (doc, comp, shingles)."""
-    sizes = sets.groupBy("comp").agg(F.count(F.lit(1)).alias("m"), F.min("doc").alias("lead"))
-    dealt = sets.join(sizes, "comp").withColumn("n_blocks", F.ceil(F.col("m") / F.lit(block_rows)).cast("int"))
-    own = dealt.withColumn("block", F.pmod(F.xxhash64("doc"), F.col("n_blocks")).cast("int"))
-    leaders = dealt.where("n_blocks > 1 AND doc = lead").withColumn("block", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1)))
-    diagonal = own.unionByName(leaders).select("doc", "comp", "shingles", F.col("doc").alias("class"), F.lit(True).alias("is_left"), "block")
-    links = cut(diagonal.groupBy("comp", "block").applyInArrow(_block_links(threshold), "u long, v long"))
-    hot = cut(own.where("n_blocks > 1").select("doc", "comp", "n_blocks", "block"))
-    if hot.isEmpty():
-        return links
-    classes = components(links)
-    hot = hot.join(classes, F.col("doc") == F.col("node"), "left").select("doc", "comp", "n_blocks", "block", F.coalesce("component", "doc").alias("class"))
-    main = hot.groupBy("comp", "class").count().groupBy("comp").agg(F.max_by("class", F.struct("count", "class")).alias("main"))
-    hot = cut(hot.join(main, "comp").withColumn("apart", F.col("class") != F.col("main")))
-    apart = hot.where("apart").groupBy("comp").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("n_apart"))
-    if apart.isEmpty():
-        return links
-    full = hot.join(apart, "comp").join(sets.select("doc", "shingles"), "doc")
-    left = full.where("apart").withColumn("i", F.pmod(F.xxhash64("doc", F.lit(7)), F.col("n_apart")).cast("int"))
-    left_rows = left.withColumn("j", F.explode(F.sequence(F.lit(0), F.col("n_blocks") - 1))).withColumn("is_left", F.lit(True))
-    right_rows = full.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("n_apart") - 1))).withColumn("j", F.col("block")).withColumn("is_left", F.lit(False))
-    names = ["doc", "comp", "shingles", "class", "is_left", "i", "j"]
-    crossed = left_rows.select(*names).unionByName(right_rows.select(*names))
-    return links.unionByName(cut(crossed.groupBy("comp", "i", "j").applyInArrow(_block_links(threshold), "u long, v long")))
-
-
-def ngram_jaccard_components(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH, threshold: int = THRESHOLD, chunk_shingles: int = CHUNK_SHINGLES, hot: int = HOT, block_rows: int = BLOCK_ROWS) -> DataFrame:
+def _by_column(postings: DataFrame, columns: DataFrame) -> DataFrame:
+    """Postings with a table of one row a column; marked columns are dealt over tasks."""
+    marked = F.col("col") >= F.lit(_MARK)
+    return postings.where(~marked).join(columns.where(~marked), "col").unionByName(salted_join(postings.where(marked), columns.where(marked), ["col"], "doc"))
+
+
+def _verified(pairs: DataFrame, sets: DataFrame, place: list[str], threshold: int) -> DataFrame:
+    """Spanning links of ``pairs`` (place, u, v, u_class, v_class); one task a place."""
+    there = [f"at_{p}" for p in place]
+    rows = pairs.select(*[F.col(p).alias(a) for p, a in zip(place, there, strict=True)], F.explode(F.array("u", "v")).alias("doc")).distinct().join(sets, "doc")
+    return cut(pairs.groupBy(*place).cogroup(rows.groupBy(*there)).applyInArrow(_block_links(threshold), "u long, v long"))
+
+
+def _stars(postings: DataFrame, leads: DataFrame, sets: DataFrame, threshold: int, block_rows: int) -> DataFrame:
+    """Links of columns' documents to the columns' smallest documents."""
+    near = _by_column(postings, leads).where("doc <> lead").select("lead", "doc", "lead_size", "n_shingles")
+    near = cut(near.where(_reaches(F.least("lead_size", "n_shingles"), F.col("lead_size"), F.col("n_shingles"), threshold)).select("lead", "doc").distinct())
+    large = cut(near.groupBy("lead").agg(F.ceil(F.count(F.lit(1)) / F.lit(block_rows)).cast("int").alias("n_blocks")).where("n_blocks > 1"))
+    dealt = salted_join(near, large, ["lead"], "doc", "left").withColumn("part", F.pmod(F.xxhash64("doc"), F.coalesce("n_blocks", F.lit(1))))
+    return _verified(dealt.select("lead", "part", F.col("lead").alias("u"), F.col("doc").alias("v"), F.col("lead").alias("u_class"), F.col("doc").alias("v_class")), sets, ["lead", "part"], threshold)
+
+
+def _crossed(postings: DataFrame, classes: DataFrame, prefixes: DataFrame, sets: DataFrame, threshold: int, block_rows: int) -> DataFrame:
+    """Links between documents of different classes that share a bounded column."""
+    live = postings.join(classes.select(F.col("node").alias("doc"), F.col("component").alias("class")), "doc", "left").withColumn("class", F.coalesce("class", "doc"))
+    several = live.groupBy("col").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("col")
+    live = cut(_by_column(live, several))
+    if live.isEmpty():
+        return live.select(F.col("doc").alias("u"), F.col("doc").alias("v")).limit(0)
+    members = live.select("doc", "class").distinct()
+    large = cut(members.groupBy("class").count().where(F.col("count") > block_rows).select("class", F.ceil(F.col("count") / F.lit(block_rows)).alias("n_blocks")))
+    n_shared = max(1, -(-members.count() // block_rows))
+    own = F.when(F.col("n_blocks").isNotNull(), F.xxhash64("class", F.pmod(F.xxhash64("doc"), F.col("n_blocks")))).otherwise(F.xxhash64(F.lit("shared"), F.pmod(F.xxhash64("class"), F.lit(n_shared))))
+    live = cut(salted_join(live, large, ["class"], "doc", "left").withColumn("block", own).drop("n_blocks"))
+    # The blocks of a column, but for those that hold none but the document's own class there.
+    of_column = live.groupBy("col", F.col("block").alias("other")).agg(F.min("class").alias("low"), F.max("class").alias("high"))
+    met = _by_column(live, of_column).where("low <> class OR high <> class").select("doc", "class", "n_shingles", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).distinct()
+    rows = met.join(prefixes, ["doc", "n_shingles"]).select("i", "j", "doc", "class", "n_shingles", "block", "prefix")
+    pairs = cut(rows.groupBy("i", "j").applyInArrow(_bounded(threshold), "i long, j long, u long, v long, u_class long, v_class long").distinct())
+    return _verified(pairs, sets, ["i", "j"], threshold)
+
+
+def ngram_jaccard_components(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH, threshold: int = THRESHOLD, chunk_shingles: int = CHUNK_SHINGLES, hot: int = HOT, block_rows: int = BLOCK_ROWS, many: int = MANY) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id.
 
     Two documents link when ``100 * intersection >= threshold * union`` of their
@@ -320,18 +370,31 @@ def ngram_jaccard_components(docs: DataFrame, *, id_column: str = "doc_id", text
     bits = max(4, (4 * partitions(spark) - 1).bit_length())
     posted = docs.mapInArrow(_post(width, bits, hot, chunk_shingles, "doc_id", "text"), _STAGE1_SQL)
     counted = posted.groupBy("block").applyInArrow(_count_block(bits), _STAGE1_SQL)
-    rows = cut(counted.groupBy("chunk").applyInArrow(_bound(threshold), "doc_id long, n_shingles long, f1 long, f2 long, prefix array<long>"))
+    rows = cut(counted.groupBy("chunk").applyInArrow(_bound(threshold, many), "doc_id long, n_shingles long, f1 long, f2 long, prefix array<long>"))
 
+    # One document stands for all of the same set.
+    same = ["f1", "f2", "n_shingles"]
     filled = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    same = filled.groupBy("f1", "f2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies")).where("copies > 1")
-    mapped = filled.join(same.drop("copies"), ["f1", "f2", "n_shingles"], "left").withColumn("rep", F.coalesce("rep", "doc_id"))
-    copies = cut(mapped.where("rep <> doc_id").select(F.col("doc_id").alias("u"), F.col("rep").alias("v")))
-    postings = mapped.where("rep = doc_id AND size(prefix) > 0").select("doc_id", F.explode("prefix").alias("col")).distinct()
-    postings = cut(postings)
-    leads = postings.groupBy("col").agg(F.min("doc_id").alias("lead"), F.count(F.lit(1)).alias("n")).where("n > 1").select("col", "lead")
-    near = postings.join(leads, "col").where("doc_id <> lead").select(F.col("doc_id").alias("u"), F.col("lead").alias("v"))
-    candidates = cut(components(near))
-    sets = docs.join(candidates.select(F.col("node").alias("doc_id"), F.col("component").alias("comp")), "doc_id").select(F.col("doc_id").alias("doc"), "comp", "text").mapInArrow(_sets(width), "doc long, comp long, shingles binary")
-    links = _verified(cut(sets), threshold, block_rows)
-    classes = components(copies.unionByName(links))
-    return rows.select("doc_id", "n_shingles").join(classes.select(F.col("node").alias("doc_id"), F.col("component").alias("component_id")), "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("component_id", "doc_id").alias("component_id"))
+    groups = cut(filled.groupBy(*same).agg(F.min("doc_id").alias("doc")))
+    prefixes = filled.where("size(prefix) > 0").withColumnRenamed("doc_id", "doc").join(groups, [*same, "doc"]).select("doc", "n_shingles", "prefix")
+    postings = cut(prefixes.select("doc", "n_shingles", F.explode("prefix").alias("col")))
+    columns = postings.groupBy("col").agg(F.min(F.struct("doc", "n_shingles")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    columns = cut(columns.select("col", F.col("first.doc").alias("lead"), F.col("first.n_shingles").alias("lead_size")))
+    postings = cut(_by_column(postings, columns.select("col")))
+    texts = docs.withColumnRenamed("doc_id", "doc").join(postings.select("doc").distinct(), "doc")
+    sets = cut(texts.mapInArrow(_sets(width), "doc long, shingles binary"))
+    # Rows that share an id are one node, wordless ones too.
+    repeated = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
+    shared = cut(filled.select("doc_id", *same).join(repeated, "doc_id").join(groups, same).select("doc_id", "doc").distinct())
+    of_id = shared.groupBy("doc_id").agg(F.min("doc").alias("v"))
+    links = _stars(postings, columns, sets, threshold, block_rows).unionByName(shared.join(of_id, "doc_id").select(F.col("doc").alias("u"), "v"))
+    links = links.unionByName(_crossed(postings, cut(components(links)), prefixes, sets, threshold, block_rows))
+    classes = cut(components(links).select(F.col("node").alias("doc"), "component"))
+
+    of_set = groups.join(classes, "doc", "left").select(*same, F.coalesce("component", "doc").alias("component"))
+    out = salted_join(rows.select("doc_id", *same), of_set, same, "doc_id", "left")
+    if not shared.isEmpty():
+        of_id = of_id.join(classes, F.col("v") == F.col("doc"), "left").select("doc_id", F.coalesce("component", "v").alias("of_id"))
+        out = out.join(of_id, "doc_id", "left").withColumn("component", F.coalesce("of_id", "component"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"))

@@ -27,8 +27,8 @@ def shingles(text):
     return {tuple(found[i : i + 5]) for i in range(len(found) - 4)} if len(found) >= 5 else {tuple(found)} if found else set()
 
 
-@pytest.mark.parametrize("block_rows", [512, 3])
-def test_jaccard_components(spark, block_rows):
+@pytest.mark.parametrize(("block_rows", "many"), [(512, 512), (3, 2)])
+def test_jaccard_components(spark, block_rows, many):
     rows = documents()
     union, sizes = Union(), {}
     named = [(d, shingles(t)) for d, t, _ in rows if d is not None]
@@ -38,7 +38,7 @@ def test_jaccard_components(spark, block_rows):
         for b, y in named[:i]:
             if x and y and 100 * len(x & y) >= 75 * len(x | y):
                 union.join(a, b)
-    found = ngram_jaccard_components(frame(spark, rows), block_rows=block_rows, hot=4, chunk_shingles=600).collect()
+    found = ngram_jaccard_components(frame(spark, rows), block_rows=block_rows, many=many, hot=4, chunk_shingles=600).collect()
     assert len(found) == len(rows)
     for r in found:
         if r["doc_id"] is None:
@@ -54,9 +54,38 @@ def test_jaccard_all_distinct_and_empty(spark):
     assert {(r[0], r[2]) for r in ngram_jaccard_components(frame(spark, rows)).collect()} == {(i, i) for i in range(5)}
 
 
-def test_multiply_chains_classes():
-    sets = [np.arange(a, a + 100, dtype=np.uint64) for a in (0, 10, 20, 500)]
-    assert sorted(ngram_jaccard.multiply(sets, np.arange(4), np.arange(4), 75)) == [(0, 1), (1, 2)]
+def test_spanning_chains_classes():
+    sets = {i: [np.arange(a, a + 100, dtype=np.uint64)] for i, a in enumerate((0, 10, 20, 500))}
+    pairs = [(a, b) for b in range(4) for a in range(b)]
+    assert sorted(ngram_jaccard.spanning(sets, {i: i for i in range(4)}, pairs, 75)) == [(0, 1), (1, 2)]
+
+
+@pytest.mark.parametrize(("block_rows", "many"), [(512, 512), (20, 10)])
+def test_jaccard_templated_documents(spark, block_rows, many):
+    """Sentences of a small pool: all documents hang together by shared columns, few are links."""
+    rng = np.random.default_rng(11)
+    pool = [" ".join(f"s{k}w{i}" for i in range(12)) for k in range(14)]
+    rows = [(i, " ".join([pool[k] for k in rng.choice(14, 5, replace=False)] + [f"only{i}"] * int(rng.integers(0, 2))), None) for i in range(200)]
+    for i in range(200, 260):  # near copies in chains
+        words = rows[int(rng.integers(0, i))][1].split()
+        words[int(rng.integers(0, len(words)))] = f"x{i}"
+        rows.append((i, " ".join(words), None))
+    union = Union()
+    sets = [shingles(t) for _, t, _ in rows]
+    for i, x in enumerate(sets):
+        union.find(i)
+        for j, y in enumerate(sets[:i]):
+            if 100 * len(x & y) >= 75 * len(x | y):
+                union.join(i, j)
+    found = ngram_jaccard_components(frame(spark, rows), block_rows=block_rows, many=many, hot=8).collect()
+    assert {r["doc_id"]: r["component_id"] for r in found} == {i: union.find(i) for i in range(260)}
+
+
+def test_bounded_pairs_drop_what_cannot_reach():
+    prefixes = [np.arange(a, a + 25) for a in (0, 0, 13, 24)]
+    u, v = ngram_jaccard.bounded_pairs(prefixes, np.full(4, 96), np.array([0, 1, 2, 3]), np.arange(1), np.arange(1, 4), 75)
+    assert list(zip(u, v, strict=True)) == [(0, 1), (0, 2)]  # sharing one column of the bound is too few
+
 
 
 def test_substrings(spark):
