@@ -36,7 +36,8 @@ BATCH_BYTES = 1 << 23
 _ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.ASCII | re.IGNORECASE)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _GITHUB = re.compile(r"gh[pousr]_([A-Za-z0-9]{30})([A-Za-z0-9]{6})(?![A-Za-z0-9])")
-_JWT = re.compile(r"eyJ([A-Za-z0-9_-]+)\.([A-Za-z0-9_-]+)\.[A-Za-z0-9_-]+")
+_JWT = re.compile(r"eyJ([A-Za-z0-9_-]++)\.([A-Za-z0-9_-]++)\.[A-Za-z0-9_-]+")
+_JWT_RUN = re.compile(r"[A-Za-z0-9_-]+")
 _ESCAPE = r"\\++(?:[nrt/]|u000[aAdD]|\r?\n)"
 _JOINT = r"""["'][\x20\t]*+[+.,\\]?[\x20\t]*+\r?\n[\x20\t]*+(?:\+[\x20\t]*+)?["']"""  # a string literal goes on in the next line
 _END_OF_LINE = rf"(?:\s|{_ESCAPE}|{_JOINT})"
@@ -96,10 +97,14 @@ def keyword_spans(text: str, automaton: ahocorasick.Automaton) -> list[tuple[int
         kind, _, pattern, holds = _RULES[rule]
         done = 0
         for start in sorted(set(at)):
-            if start >= done and (match := pattern.match(text, start)):
+            if start < done:
+                continue
+            if match := pattern.match(text, start):
                 done = match.end()
                 if holds(match):
                     found.append((start, KINDS.index(kind), done))
+            elif kind == "jwt":  # what follows the run decides, so no later start in it can match
+                done = _JWT_RUN.match(text, start).end()
     return found
 
 
