@@ -127,9 +127,9 @@ def fingerprint_documents(docs: DataFrame, *, id_column: str = "doc_id", text_co
     given = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
     dealt = given.repartitionByRange(partitions(docs.sparkSession), "doc_id").sortWithinPartitions("doc_id", "text")
     rows = cut(dealt.mapInArrow(_neighbours, _ROWS_SQL))
-    by_part = W.orderBy("part")
-    firsts = rows.where(F.col("place") == _FIRST).select(F.row_number().over(by_part).alias("n"), F.col("text").alias("following"))
-    lasts = rows.where(F.col("place") == _LAST).select(F.row_number().over(by_part).alias("m"), "doc_id", "text")
-    following = F.col("m") % F.count(F.lit(1)).over(W.partitionBy(F.lit(0))) + 1
-    met = lasts.withColumn("n", following).join(firsts, "n").select("doc_id", "text", "following")
+    firsts, lasts = rows.where(F.col("place") == _FIRST).select(F.col("part").alias("next"), F.col("text").alias("following")), rows.where(F.col("place") == _LAST).select("part", "doc_id", "text")
+    # Part numbers alone, as many as there are partitions, go through one task; the texts join after.
+    order = firsts.select(F.col("next").alias("part"))
+    order = order.select("part", F.coalesce(F.lead("part").over(W.orderBy("part")), F.min("part").over(W.partitionBy(F.lit(0)))).alias("next"))
+    met = lasts.join(order, "part").join(firsts, "next").select("doc_id", "text", "following")
     return rows.where(F.col("place") == _DONE).unionByName(met.mapInArrow(_meet, _ROWS_SQL)).drop("part", "place", "text")
