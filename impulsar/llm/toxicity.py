@@ -12,8 +12,9 @@ reporting verb near it make it a quotation, a second person makes it an
 address.  A logistic model over the counts gives the score.
 
 The labels are read only where ``crc32(doc_id as text) mod 5 <> 0``, and at most
-``max_labelled`` rows of them (lowest hash of the id) are brought to the driver
-with their texts; they fit the lexicon and the logistic model.  Scores see the
+``max_labelled`` of them (lowest hash of the id) fit the lexicon, of
+``max_terms`` terms at most, and the logistic model.  The executors read their
+texts; the driver gets counts and features.  Scores see the
 text alone.
 
 Defined cases: a null or empty text is scored like a text without hits; rows
@@ -33,12 +34,13 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from impulsar.llm.common import cut
 from impulsar.llm.words import Words
 
 MAX_LABELLED, MAX_TERMS, WINDOW, BATCH_BYTES = 6000, 400, 6, 1 << 21
 #: General terms known before any label is read.
 SEED_TERMS = ("idiot", "moron", "stupid", "loser", "scum", "trash", "worthless", "pathetic", "disgusting", "clown", "imbecile", "dumbass", "asshole", "bastard", "bitch", "retard", "vermin", "dickhead", "shithead", "subhuman")
-MIN_DOCUMENTS = 4
+MIN_DOCUMENTS, LEAST_ODDS = 4, 2.5
 _QUOTES = "\"“”„«»‹›‘’'`"
 _REPORT = frozenset("said says wrote writes called quote quoted quotes term word reported reports quoting".split())
 _SECOND = frozenset("you your yours you're youre u ur yourself".split())
@@ -208,38 +210,36 @@ class Model:
 PRIOR = np.array([-2.5, 2.0, -0.5, 1.5, 1.0, 0.5, 0.5, 1.5])
 
 
-def fit(rows: list[tuple[str, int]], max_terms: int = MAX_TERMS) -> Model:
-    """Lexicon and coefficients from (text, label) rows."""
-    def marks(text: str) -> set[str]:
-        seen = {w for w in map(plain, text.split()) if 3 < len(w) < 40}
-        return seen | {w[:n] + "*" for w in seen for n in (5, 6, 7) if len(w) > n}
-
-    totals = [sum(y == label for _, y in rows) for label in (0, 1)]
-    toxic: Counter = Counter()
-    for text, label in rows:
-        if label:
-            toxic.update(marks(text))
-    toxic = Counter({w: n for w, n in toxic.items() if n >= MIN_DOCUMENTS})
-    clean: Counter = Counter()
-    for text, label in rows:
-        if not label:
-            clean.update(w for w in marks(text) if w in toxic)
+def marks(text: str) -> set[str]:
+    """A text's words, and their stems of 5 to 7 letters with a star."""
+    seen = {w for w in map(plain, text.split()) if 3 < len(w) < 40}
+    return seen | {w[:n] + "*" for w in seen for n in (5, 6, 7) if len(w) > n}
+
+
+def lexicon(counts: list[tuple[str, int, int]], totals: tuple[int, int], max_terms: int = MAX_TERMS) -> Model:
+    """Terms from (mark, clean, toxic documents) of ``totals`` clean and toxic ones; coefficients are the prior."""
     terms, odds = dict.fromkeys(SEED_TERMS, False), dict.fromkeys(SEED_TERMS, 3.0)
     if min(totals) >= 5:
         # A term that only chance explains is no term: demand odds far above the prior.
         ranked = []
-        for word, hits in toxic.items():
-            weight = math.log((hits + 0.5) / (totals[1] + 1) / ((clean[word] + 0.5) / (totals[0] + 1)))
-            if weight > 2.5:
-                ranked.append((-weight * math.log1p(hits), word, weight))
+        for word, clean, toxic in counts:
+            weight = math.log((toxic + 0.5) / (totals[1] + 1) / ((clean + 0.5) / (totals[0] + 1)))
+            if toxic >= MIN_DOCUMENTS and weight > LEAST_ODDS:
+                ranked.append((-weight * math.log1p(toxic), word, weight))
         for _, word, weight in sorted(ranked)[:max_terms]:
             terms.setdefault(word.rstrip("*"), word.endswith("*"))
             odds[word.rstrip("*")] = weight
-    model = Model(terms, odds, PRIOR)
+    return Model(terms, odds, PRIOR)
+
+
+def fit(rows: list[tuple[str, int]], max_terms: int = MAX_TERMS) -> Model:
+    """Lexicon and coefficients from (text, label) rows in memory."""
+    counts = [Counter(m for text, y in rows if y == label for m in marks(text)) for label in (0, 1)]
+    totals = tuple(sum(y == label for _, y in rows) for label in (0, 1))
+    model = lexicon([(m, counts[0][m], n) for m, n in counts[1].items()], totals, max_terms)
     if min(totals) >= 5:
-        texts = pa.array([t for t, _ in rows], pa.large_string())
-        features = [model.features(part) for part in _slices(texts)]
-        model.coefficients = _logistic(np.concatenate(features), np.array([y for _, y in rows], dtype=float))
+        features = np.concatenate([model.features(part) for part in _slices(pa.array([t for t, _ in rows], pa.large_string()))])
+        model.coefficients = _logistic(features, np.array([y for _, y in rows], dtype=float))
     return model
 
 
@@ -273,13 +273,54 @@ def fold(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
 
 
-def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", max_labelled: int = MAX_LABELLED) -> Model:
-    """Fit on at most ``max_labelled`` labelled documents outside the held-out fold."""
-    usable = labels.select(F.col(id_column).alias("doc_id"), F.col(label_column).alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
-    chosen = usable.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
-    texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).cast("string").alias("text")).where("text IS NOT NULL")
-    rows = sorted((r["doc_id"], r["text"], int(r["label"])) for r in texts.join(F.broadcast(chosen), "doc_id").toLocalIterator())
-    return fit([(text, label) for _, text, label in rows])
+_COUNTS = pa.schema([("mark", pa.string()), ("clean", pa.int64()), ("toxic", pa.int64())])
+
+
+def _count_marks(batches):
+    """Documents of each label that have a mark, by slices of text."""
+    for batch in batches:
+        low = 0
+        for texts in _slices(batch.column("text")):
+            labels, low = batch.column("label").slice(low, len(texts)).to_pylist(), low + len(texts)
+            counts = Counter(), Counter()
+            for text, label in zip(texts.to_pylist(), labels, strict=True):
+                counts[label].update(marks(text))
+            every = list(counts[0] | counts[1])
+            yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *[pa.array([c[m] for m in every], pa.int64()) for c in counts]], schema=_COUNTS)
+
+
+def _features_of(model: Model):
+    def run(batches):
+        for batch in batches:
+            found = [model.features(part) for part in _slices(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(list(np.concatenate(found)) if found else [], pa.list_(pa.float64()))], names=["doc_id", "label", "features"])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", label_column: str = "toxic", max_labelled: int = MAX_LABELLED, max_terms: int = MAX_TERMS) -> Model:
+    """Fit on at most ``max_labelled`` labelled documents outside the held-out fold.
+
+    Texts stay with the executors: they count marks and give features.  The
+    driver gets the marks that the odds and support tests pass, and one row of
+    features a document.  Of rows with one id the text with the lowest hash is
+    read.
+    """
+    usable = labels.select(F.col(id_column).cast("long").alias("doc_id"), F.col(label_column).alias("label")).where(F.col("label").isin(0, 1) & F.col("doc_id").isNotNull() & (fold(F.col("doc_id")) != 0))
+    chosen = usable.groupBy("doc_id").agg(F.max("label").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_labelled)
+    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text")).where("text IS NOT NULL")
+    one = texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "label").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("first"))
+    rows = cut(one.select("doc_id", "label", F.col("first.text").alias("text")))
+    totals = rows.agg(F.count_if(F.col("label") == 0), F.count_if(F.col("label") == 1)).first()
+    if min(totals) < 5:
+        return lexicon([], tuple(totals))
+    counted = rows.mapInArrow(_count_marks, "mark string, clean long, toxic long").groupBy("mark").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
+    odds = F.log((F.col("toxic") + 0.5) / (totals[1] + 1) / ((F.col("clean") + 0.5) / (totals[0] + 1)))
+    passing = counted.where((F.col("toxic") >= MIN_DOCUMENTS) & (odds > LEAST_ODDS - 1e-9))
+    model = lexicon([tuple(r) for r in passing.toLocalIterator()], tuple(totals), max_terms)
+    found = sorted(tuple(r) for r in rows.mapInArrow(_features_of(model), "doc_id long, label int, features array<double>").collect())
+    model.coefficients = _logistic(np.array([r[2] for r in found]), np.array([r[1] for r in found], dtype=float))
+    return model
 
 
 def score_toxicity(docs: DataFrame, model: Model, *, text_column: str = "text", score_column: str = "score", keep_text: bool = False) -> DataFrame:

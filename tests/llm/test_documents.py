@@ -390,3 +390,22 @@ def test_secret_hits_are_linear(spark):
     head = base64.urlsafe_b64encode(b'{"alg":"none"}').decode().rstrip("=")
     token = f"{head}.{head}.sig"
     assert [(s, e) for s, _, e in secret_scan.keyword_spans(f"eyJeyJx {token}", secret_scan._automaton())] == [(8, 8 + len(token))]
+
+
+def test_toxicity_training_matches_memory(spark):
+    rng = np.random.default_rng(3)
+    words = ["plain", "house", "river", "stone", "grubnik", "walks", "zorkwit", "under"]
+    rows = [(i, " ".join(rng.choice(words[:4] + words[5:6] + (words[4:5] + words[6:7] if i % 3 == 0 else []), 40)), None) for i in range(150)]
+    rows[7] = (7, " ".join(["river stone"] * 60_000) + " grubnik", None)
+    repeated = [rows[3], rows[4], (None, "grubnik zorkwit", None)]
+    docs, labels = frame(spark, rows + repeated), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(150)], "doc_id long, toxic int")
+    found = train(docs, labels)
+    expected = fit([(t, int(i % 3 == 0)) for i, t, _ in rows if zlib.crc32(str(i).encode()) % 5])
+    assert found.terms == expected.terms and "grubnik" in found.terms
+    assert found.odds == pytest.approx(expected.odds)
+    np.testing.assert_allclose(found.coefficients, expected.coefficients, rtol=1e-8)
+    texts = [t for _, t, _ in rows]
+    import pyarrow as pa
+
+    scores = {r["doc_id"]: r["score"] for r in score_toxicity(docs, found).where("doc_id is not null").collect()}
+    np.testing.assert_allclose([scores[i] for i in range(150)], expected.score(pa.array(texts)), rtol=1e-6)
