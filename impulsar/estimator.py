@@ -224,11 +224,13 @@ class LocalProjection:
                 now = np.r_[0:k_all, k_all + at : k_all + at + len(some)]
                 reporter.update("absorb regressors", message=f"{k_all} columns")
                 laid, how, schur = make_plan(rows, [zs[i] for i in now], list(order.values()), counts, unit="__u", center=mean[now], scale=scale[now], tol=o.demean_tol, max_iter=o.max_iter, acceleration=o.demean_acceleration, block_rows=block_rows(k_all, len(some)))
+                if laid is not rows:
+                    held.append(laid)
                 rank = rank or self._rank(rows, list(order.values()), counts, schur)
                 _, _, r = factor(laid, how)
                 norms = np.sqrt((r[:, :k_all] ** 2).sum(axis=0))
                 largest = max((sizes_of[e][2] for e in order.values()), default=n)
-                floor = signal_floor(n, len(effects), largest, how.method == "map", o.demean_tol)
+                floor = signal_floor(n, len(effects), largest, how.iterative, o.demean_tol)
                 weak = ~np.isfinite(norms) | (norms == 0) | (norms <= floor)
                 if bad := [features[i] for i in np.flatnonzero(weak) if features[i] not in plan.nuisance]:
                     raise ValueError(f"residualized design has zero or negligible within variation at horizon {horizons[0]} for columns {bad}")

@@ -8,8 +8,11 @@ The strategies, chosen from the numbers of levels:
   most ``MAX_LEVELS`` together) through the Schur complement that is left of
   their dummies; no iteration.  Effects of few levels in all are taken out
   this way together, without a group and so without a shuffle;
-* ``map``: alternating group-mean projections over windows, for several large
-  effects, until changes and group means are below the tolerance.
+* ``schur_cg``: the same complement without forming it, for levels in the
+  millions: conjugate gradients on one value a level and column.  A step reads
+  the keys in place and sends sums by level; rows never move;
+* ``map``: alternating group-mean projections over windows, beyond the bound on
+  level values, until changes and group means are below the tolerance.
 
 A partition holds whole groups of the absorbed effect.  Rows stream through
 ``blocks`` as float matrices; what returns to the driver is small: sums over
@@ -32,6 +35,8 @@ from pyspark.sql import functions as F
 from impulsar.operators.components import cut, forget
 
 MAX_LEVELS = 1000
+#: Level values (levels x columns) that the driver holds and a task receives at most.
+MAX_VALUES = 1 << 22
 BLOCK_VALUES = 1 << 21
 #: Bytes of payloads that the driver may receive in one job.
 DIRECT_BYTES = 1 << 25
@@ -54,6 +59,10 @@ class Plan:
     accepted: int = 0
     block_rows: int | None = None  # rows a task holds at once, beyond whole groups
 
+    @property
+    def iterative(self) -> bool:
+        return self.method in ("schur_cg", "map")
+
     @property
     def starts(self) -> np.ndarray:
         return np.cumsum([0] + [len(x) for x in self.levels])
@@ -109,10 +118,13 @@ def residual_rows(batch: pa.RecordBatch, starts: np.ndarray, plan: Plan) -> np.n
     if plan.gamma is not None:
         for dim, levels, start in zip(plan.dims, plan.levels, plan.starts[:-1], strict=True):
             z = z - plan.gamma[start + _codes(batch.column(dim), levels)]
-    if plan.group is not None:
-        sizes = np.diff(np.append(starts, len(z)))
-        for _ in range(2):  # the second pass removes the rounding of the first
-            z = z - np.repeat(np.add.reduceat(z, starts, axis=0) / sizes[:, None], sizes, axis=0)
+    return z if plan.group is None else _demeaned(z, starts)
+
+
+def _demeaned(z: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    sizes = np.diff(np.append(starts, len(z)))
+    for _ in range(2):  # the second pass removes the rounding of the first
+        z = z - np.repeat(np.add.reduceat(z, starts, axis=0) / sizes[:, None], sizes, axis=0)
     return z
 
 
@@ -235,6 +247,14 @@ def strategy(effects: list[str], counts: list[int], unit: str) -> tuple[int | No
     return (main, rest) if sum(counts[i] for i in rest) <= MAX_LEVELS else None
 
 
+def vector_group(effects: list[str], counts: list[int], unit: str, columns: int) -> int | None:
+    """The effect to take out by groups, best the unit, so that the levels of the others fit ``MAX_VALUES``; None if they never do."""
+    for main in sorted(range(len(effects)), key=lambda i: (effects[i] != unit, -counts[i])):
+        if (sum(counts) - counts[main]) * columns <= MAX_VALUES:
+            return main
+    return None
+
+
 def make_plan(df: DataFrame, columns: list[str], effects: list[str], counts: list[int], *, unit: str, center, scale, tol: float, max_iter: int, acceleration: str = "none", block_rows: int | None = None) -> tuple[DataFrame, Plan, tuple | None]:
     """Rows laid out for a strategy, the plan, and (groups, rank of S) where a Schur complement was formed."""
     plan = Plan(columns, center=center, scale=scale, block_rows=block_rows)
@@ -242,7 +262,9 @@ def make_plan(df: DataFrame, columns: list[str], effects: list[str], counts: lis
         plan.center, plan.method = np.zeros(len(columns)), "none"
         return df, plan, None
     if (chosen := strategy(effects, counts, unit)) is None:
-        return _alternate(df, plan, effects, tol, max_iter, acceleration)
+        if (main := vector_group(effects, counts, unit, len(columns))) is None:
+            return _alternate(df, plan, effects, tol, max_iter, acceleration)
+        return _conjugate(df, plan, effects, main, unit, tol, max_iter)
     main, rest = chosen
     plan.method, plan.iterations = "exact_schur" if rest else "exact_group", 1
     if main is not None:
@@ -262,6 +284,71 @@ def make_plan(df: DataFrame, columns: list[str], effects: list[str], counts: lis
     return df, plan, (groups, int(good.sum()))
 
 
+def _level_sums(df: DataFrame, plan: Plan, known, vector: np.ndarray | None = None) -> np.ndarray:
+    """Sums by level of the residual rows, or of level values ``vector`` spread over the rows, group means taken out; one pass over the keys."""
+    spark, size = df.sparkSession, int(plan.starts[-1])
+    sent = spark.sparkContext.broadcast(plan.gamma if vector is None else vector)
+    bare = Plan(plan.columns, plan.group, list(plan.dims), center=plan.center, scale=plan.scale, block_rows=plan.block_rows)
+    spread, starts = vector is not None, plan.starts[:-1]
+
+    def run(batches):
+        levels, values, total, n = [pa.array(x) for x in known.value], sent.value, None, 0
+        for batch, first in blocks(batches, bare):
+            codes = [at + pc.index_in(batch.column(d), x.cast(batch.column(d).type)).to_numpy(zero_copy_only=False).astype(np.int64) for d, x, at in zip(bare.dims, levels, starts, strict=True)]
+            z = sum(values[c] for c in codes)
+            if not spread:
+                z = matrix(batch, bare) - z
+            z = _demeaned(z, first)
+            if total is None:
+                total = np.zeros((size, z.shape[1]))
+            for c in codes:
+                total += _sums(c, z, size)
+            n += len(z)
+        if n:
+            yield _pack((total,))
+
+    try:
+        needed = [plan.group, *plan.dims, *([] if spread else plan.columns)]
+        return _total(df.select(*dict.fromkeys(needed)).mapInArrow(run, "payload binary"), _add, 8 * size * len(plan.columns))[0]
+    finally:
+        sent.destroy()
+
+
+def _conjugate(df: DataFrame, plan: Plan, effects: list[str], main: int, unit: str, tol: float, max_iter: int) -> tuple[DataFrame, Plan, None]:
+    """Level values by conjugate gradients, scaled by the levels' rows, restarted from the rows until every group mean is below ``tol``."""
+    plan.method, plan.group = "schur_cg", effects[main]
+    if plan.group != unit:
+        df = df.repartition(plan.group).sortWithinPartitions(plan.group).persist()
+    plan.dims = [e for i, e in enumerate(effects) if i != main]
+    sizes = [sorted(df.groupBy(d).count().collect(), key=lambda r: r[0]) for d in plan.dims]
+    plan.levels = [[r[0] for r in rows] for rows in sizes]
+    n = np.array([r[1] for rows in sizes for r in rows], dtype=np.float64)[:, None]
+    plan.gamma = np.zeros((len(n), len(plan.columns)))
+    known, before = df.sparkSession.sparkContext.broadcast(plan.levels), np.inf
+    try:
+        while True:
+            r = _level_sums(df, plan, known)
+            if (largest := np.abs(r / n).max()) < tol:
+                return df, plan, None
+            if plan.iterations >= max_iter or not largest < before / 2:
+                raise RuntimeError(f"fixed-effect absorption did not converge in {plan.iterations} iterations")
+            before, aim = largest, tol / 10
+            x, along = np.zeros_like(r), r / n
+            length = (r * along).sum(axis=0)
+            while np.abs(r / n).max() >= aim and plan.iterations < max_iter:
+                spread = _level_sums(df, plan, known, along)
+                curve = (along * spread).sum(axis=0)
+                step = np.divide(length, curve, out=np.zeros_like(length), where=curve > 0)
+                x, r = x + step * along, r - step * spread
+                now = (r * r / n).sum(axis=0)
+                along = r / n + np.divide(now, length, out=np.zeros_like(now), where=length > 0) * along
+                length = now
+                plan.iterations += 1
+            plan.gamma = plan.gamma + x
+    finally:
+        known.destroy()
+
+
 def _largest_means(df: DataFrame, effects: list[str], values: dict) -> dict[str, float]:
     """Largest absolute group mean of each value over all effects, by one job."""
     parts = [df.groupBy(e).agg(*[F.avg(v).alias(n) for n, v in values.items()]).agg(*[F.max(F.abs(n)).alias(n) for n in values]) for e in effects]

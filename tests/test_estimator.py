@@ -78,6 +78,7 @@ def test_cumulative_and_joint_effect(spark):
 def test_alternating_projections_agree(spark, monkeypatch, acceleration):
     direct = fit(GAPPED, 1, fixed_effects=["unit", "time"])
     monkeypatch.setattr(absorb, "MAX_LEVELS", 3)
+    monkeypatch.setattr(absorb, "MAX_VALUES", 0)
     swept = fit(GAPPED, 1, options={"demean_acceleration": acceleration}, fixed_effects=["unit", "time"])
     assert (direct.demeaning_diagnostics_["method"], swept.demeaning_diagnostics_["method"]) == ("exact_schur", "map")
     assert list(swept.model_rank_by_horizon_) == list(direct.model_rank_by_horizon_)
@@ -85,6 +86,33 @@ def test_alternating_projections_agree(spark, monkeypatch, acceleration):
     np.testing.assert_allclose(swept.stderr_, direct.stderr_, rtol=1e-7)
 
 
+@pytest.mark.parametrize(("effects", "kind"), [(("unit", "time"), "hc1"), (("time", "wave"), "hc1"), (("unit", "time", "wave"), "cluster")])
+def test_level_values_agree(spark, monkeypatch, effects, kind):
+    data = GAPPED.assign(wave=(GAPPED.unit * 7 + GAPPED.time * 3) % 5)
+    options = {"covariance": kind, "fe_dof": "exact"}
+    more = {"cluster": "unit"} if kind == "cluster" else {}
+    direct = fit(data, 1, options=options, fixed_effects=effects, **more)
+    monkeypatch.setattr(absorb, "MAX_LEVELS", 3)
+    solved = fit(data, 1, options=options, fixed_effects=effects, **more)
+    assert (direct.demeaning_diagnostics_["method"], solved.demeaning_diagnostics_["method"]) == ("exact_schur", "schur_cg")
+    assert list(solved.model_rank_by_horizon_) == list(direct.model_rank_by_horizon_)
+    np.testing.assert_allclose(solved.coef_, direct.coef_, rtol=1e-8)
+    np.testing.assert_allclose(solved.stderr_, direct.stderr_, rtol=1e-8)
+    frames = [m.residuals_frame(1).toPandas().sort_values(["unit", "time"]).select_dtypes("number").to_numpy() for m in (solved, direct)]
+    np.testing.assert_allclose(*frames, atol=1e-8)
+
+
+def test_level_values_give_up(spark, monkeypatch):
+    monkeypatch.setattr(absorb, "MAX_LEVELS", 3)
+    with pytest.raises(RuntimeError, match="did not converge in 1 iterations"):
+        fit(GAPPED, 1, options={"max_iter": 1}, fixed_effects=["unit", "time"])
+
+
+@pytest.mark.parametrize(("counts", "columns", "main"), [([50, 10**6], 4, 0), ([10**7, 1000], 4, 0), ([50, 10**7], 4, 1), ([10**7, 10**7], 4, None)])
+def test_group_of_level_values(counts, columns, main):
+    assert absorb.vector_group(["__u", "other"], counts, "__u", columns) == main
+
+
 def test_shift_and_scale(spark):
     base = fit(GAPPED, 1, fixed_effects=["unit", "time"])
     moved = GAPPED.assign(x=GAPPED.x + 1e8, y=GAPPED.y * 1e6)
