@@ -37,19 +37,24 @@ def _dense(df: DataFrame, keys: list[str], counts: list[int]) -> int:
     """Rank of the dummies from their cross counts."""
     if sum(counts) > MAX_DENSE:
         raise ValueError(f"exact rank of {len(keys)} fixed effects with {sum(counts)} levels exceeds the budget of {MAX_DENSE} levels; use fe_dof='conservative'")
-    start, codes = 0, []
-    for k in keys:
-        levels = [r[0] for r in df.select(k).distinct().collect()]
-        codes.append({level: start + i for i, level in enumerate(levels)})
-        start += len(levels)
+    pairs = list(combinations(range(len(keys)), 2))
+    # One job: a grouping set a pair, told apart by the bits of the keys that are not in it.
+    sets = df.groupingSets([[F.col(keys[i]), F.col(keys[j])] for i, j in pairs], *[F.col(k) for k in keys])
+    cells = {pair: [] for pair in pairs}
+    for *values, mask, n in sets.agg(F.grouping_id().alias("mask"), F.count(F.lit(1)).alias("n")).collect():
+        pair = tuple(i for i in range(len(keys)) if not mask >> (len(keys) - 1 - i) & 1)
+        cells[pair].append((values[pair[0]], values[pair[1]], n))
+    at: dict = {}
+    start = sum(counts)
     gram = np.zeros((start, start))
-    for i, j in combinations(range(len(keys)), 2):
-        for r in df.groupBy(keys[i], keys[j]).count().collect():
-            p, q = codes[i][r[0]], codes[j][r[1]]
-            gram[p, q] = gram[q, p] = r[2]
-    for k, code in zip(keys, codes, strict=True):
-        for r in df.groupBy(k).count().collect():
-            gram[code[r[0]], code[r[0]]] = r[1]
+    for (i, j), found in cells.items():
+        for a, b, n in found:
+            p, q = at.setdefault((i, a), len(at)), at.setdefault((j, b), len(at))
+            gram[p, q] = gram[q, p] = n
+            if j == i + 1:  # each level's rows are counted in one pair
+                gram[q, q] += n
+                if i == 0:
+                    gram[p, p] += n
     scale = np.sqrt(np.diag(gram))
     values = np.linalg.eigvalsh(gram / np.outer(scale, scale))
     return int((values > values[-1] * start * np.finfo(float).eps * 16).sum())

@@ -160,13 +160,15 @@ def singleton_prune(spark, sf):
 # Absorption and ranks
 
 
-def _absorbed(spark, sf, name: str, effects: list[str], where: str = "TRUE") -> DataFrame:
+def _absorbed(spark, sf, name: str, effects: list[str], divisor: int = 1) -> DataFrame:
     import pyarrow as pa
 
     p = checked(panel(spark, sf, name))
-    rows = p.frame.select(F.col("unit"), F.col("__t"), (F.col("__t") + p.first_time).alias("time"), *[F.col(c) for c in p.frame.columns if c in ("season", "nation", "region")], F.col("__v_y").alias("y"), F.col("__v_x1").alias("x1"))
+    rows = p.frame.select(F.col("unit"), F.col("__t"), (F.col("__t") + p.first_time).alias("time"), *[F.col(c) for c in p.frame.columns if c in ("season", "nation", "region")], (F.col("__v_y") / divisor).alias("y"), F.col("__v_x1").alias("x1"))
     if "joint" in effects:
         rows = rows.withColumn("joint", F.to_json(F.struct("region", "time")))
+    if "group" in effects:
+        rows = rows.withColumn("group", F.to_json(F.struct(F.expr("unit % 20").alias("g"), "time")))
     rows = rows.repartition("unit").sortWithinPartitions("unit", "__t").persist()
     stats = rows.agg(*[F.count_distinct(e).alias(e) for e in effects], *[f(c).alias(f"{n}{c}") for c in ("y", "x1") for n, f in (("a", F.avg), ("l", F.min), ("h", F.max))]).first()
     center = np.array([stats["ay"], stats["ax1"]])
@@ -182,8 +184,8 @@ def _absorbed(spark, sf, name: str, effects: list[str], where: str = "TRUE") ->
     return laid.mapInArrow(run, f"unit {kind}, time long, y double, x1 double").select(F.col("unit").cast("string").alias("unit"), "time", (F.round("y", 4) + 0.0).alias("y"), (F.round("x1", 4) + 0.0).alias("x1"))
 
 
-def _absorbed_sql(name: str, keys: list[str], sweeps: int) -> str:
-    sql, last, n = [f"p AS ({panel_sql(name)})", "d0 AS (SELECT * FROM p)"], "d0", 0
+def _absorbed_sql(name: str, keys: list[str], sweeps: int, divisor: int = 1) -> str:
+    sql, last, n = [f"p AS ({panel_sql(name)})", f"d0 AS (SELECT * REPLACE (CAST(y AS DOUBLE) / {divisor} AS y) FROM p)"], "d0", 0
     extra = ", nation, region" if name == "sup" else ""
     for _ in range(sweeps):
         for k in keys:
@@ -193,17 +195,19 @@ def _absorbed_sql(name: str, keys: list[str], sweeps: int) -> str:
     return f"WITH {', '.join(sql)} SELECT CAST(unit AS VARCHAR) AS unit, time, round(y, 4) + 0.0 AS y, round(x1, 4) + 0.0 AS x1 FROM {last}"
 
 
-for _name, _panel, _effects, _keys, _sweeps in (
-    ("fe_oneway_demean", "sup", ["unit"], ["unit"], 1),
-    ("fe_oneway_other", "sup", ["nation"], ["nation"], 1),
-    ("fe_balanced_twoway", "evt", ["unit", "time"], ["unit", "time"], 1),
-    ("fe_twoway_unbalanced", "sup", ["unit", "time"], ["unit", "time"], 12),
-    ("fe_joint_key", "sup", ["unit", "joint"], ["unit", "region, time"], 12),
-    ("fe_threeway", "sup", ["unit", "time", "season"], ["unit", "time", "season"], 12),
-    ("fe_sparse_twoway", "usr", ["unit", "time"], ["unit", "time"], 40),
+for _name, _panel, _effects, _keys, _sweeps, _divisor in (
+    ("fe_oneway_demean", "sup", ["unit"], ["unit"], 1, 1),
+    ("fe_oneway_other", "sup", ["nation"], ["nation"], 1, 1),
+    ("fe_balanced_twoway", "evt", ["unit", "time"], ["unit", "time"], 1, 1),
+    ("fe_twoway_unbalanced", "sup", ["unit", "time"], ["unit", "time"], 12, 1),
+    ("fe_joint_key", "sup", ["unit", "joint"], ["unit", "region, time"], 12, 1),
+    ("fe_threeway", "sup", ["unit", "time", "season"], ["unit", "time", "season"], 12, 1),
+    ("fe_sparse_twoway", "usr", ["unit", "time"], ["unit", "time"], 40, 1),
+    # From SF 0.01 on both effects have over a thousand levels.
+    ("fe_two_large", "cus", ["unit", "group"], ["unit", "unit % 20, time"], 45, 100_000),
 ):
-    QUERIES[_name] = lambda spark, sf, _p=_panel, _e=_effects: _absorbed(spark, sf, _p, _e)
-    ORACLE_SQL[_name] = _absorbed_sql(_panel, _keys, _sweeps)
+    QUERIES[_name] = lambda spark, sf, _p=_panel, _e=_effects, _d=_divisor: _absorbed(spark, sf, _p, _e, _d)
+    ORACLE_SQL[_name] = _absorbed_sql(_panel, _keys, _sweeps, _divisor)
 
 
 # The supplier panel's graph of units and periods is connected.
@@ -214,6 +218,30 @@ def fe_rank_twoway(spark, sf):
     return one_row(spark, fe_rank=effect_rank(p.frame, ["unit", "__t"], list(counts), "exact").rank)
 
 
+def _rank_of(spark, sf, effects: list[str], mode: str) -> DataFrame:
+    rows = checked(panel(spark, sf, "sup")).frame.withColumn("cell", F.to_json(F.struct("nation", "season"))).persist()
+    counts = rows.agg(*[F.count_distinct(e) for e in effects]).first()
+    found = effect_rank(rows, effects, list(counts), mode)
+    return spark.createDataFrame([(found.rank, found.exact, found.method)], "fe_rank long, exact boolean, method string")
+
+
+# A season holds whole periods, a nation whole suppliers, and all nations meet all seasons.
+@query(f"WITH p AS ({panel_sql('sup')}) SELECT CAST(count(DISTINCT unit) + count(DISTINCT time) - 1 + count(DISTINCT (nation, season)) - count(DISTINCT nation) - count(DISTINCT season) + 1 AS BIGINT) AS fe_rank, TRUE AS exact, 'dense' AS method FROM p")
+def fe_rank_threeway(spark, sf):
+    return _rank_of(spark, sf, ["unit", "__t", "cell"], "exact")
+
+
+@query(f"WITH p AS ({panel_sql('sup')}) SELECT CAST(count(DISTINCT unit) + count(DISTINCT time) - 1 AS BIGINT) AS fe_rank, TRUE AS exact, 'reduced' AS method FROM p")
+def fe_rank_reduced(spark, sf):
+    return _rank_of(spark, sf, ["unit", "__t", "season"], "exact")
+
+
+# The most components of a pair: a season each of periods and seasons.
+@query(f"WITH p AS ({panel_sql('sup')}) SELECT CAST(count(DISTINCT unit) + count(DISTINCT time) + count(DISTINCT season) - count(DISTINCT season) AS BIGINT) AS fe_rank, FALSE AS exact, 'conservative' AS method FROM p")
+def fe_rank_conservative(spark, sf):
+    return _rank_of(spark, sf, ["unit", "__t", "season"], "conservative")
+
+
 @query(f"WITH p AS ({panel_sql('sup')}) SELECT (SELECT max(c) = 1 FROM (SELECT count(DISTINCT nation) AS c FROM p GROUP BY unit)) AS unit_in_nation, (SELECT max(c) = 1 FROM (SELECT count(DISTINCT region) AS c FROM p GROUP BY nation)) AS nation_in_region, (SELECT max(c) = 1 FROM (SELECT count(DISTINCT nation) AS c FROM p GROUP BY time)) AS time_in_nation")
 def fe_nested_in_cluster(spark, sf):
     rows = panel(spark, sf, "sup")

@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
-NAMES = ["panel_validate_counts", "lead_lag_gapped", "anchor_common", "singleton_prune", "fe_twoway_unbalanced", "lp_fit_tidy", "vcov_cluster_threeway", "vcov_hac_qs", "vcov_dk_parzen", "vcov_hac_seconds_qs", "mask_groups_sparse", "term_categorical_irf", "term_shock_hierarchy", "term_absorbed"]
+NAMES = ["panel_validate_counts", "lead_lag_gapped", "anchor_common", "singleton_prune", "fe_twoway_unbalanced", "fe_two_large", "fe_rank_threeway", "fe_rank_reduced", "fe_rank_conservative", "lp_fit_tidy", "vcov_cluster_threeway", "vcov_hac_qs", "vcov_dk_parzen", "vcov_hac_seconds_qs", "mask_groups_sparse", "term_categorical_irf", "term_shock_hierarchy", "term_absorbed"]
 
 
 def canonical(frame):
