@@ -12,7 +12,8 @@
    document of each, from one row per window and document block.  Words that an
    earlier document's window covers are removed.
 
-Words and windows are compared by 64-bit hashes.
+Words and phrases are compared by 64-bit hashes, windows by two independent
+ones: among the windows of a large corpus 64 bits alone would equate some.
 
 Defined cases: a null or wordless text has no words and stays the empty text;
 a text shorter than a window loses nothing; rows with the same id are no
@@ -36,7 +37,7 @@ from impulsar.llm.words import Words, mix64, powers
 WINDOW, PHRASE = 50, 5
 CHUNK_WORDS, BATCH_BYTES = 4_000_000, 1 << 21
 _RADIX = np.uint64(0x9E3779B97F4A7C15)
-_INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
+_SECOND = np.uint64(0xD6E8FEB86659FD93)
 
 
 def phrase_hashes(words: np.ndarray, size: int) -> np.ndarray:
@@ -59,11 +60,26 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def window_hashes(hashes: np.ndarray, width: int) -> np.ndarray:
+def _window_hash(hashes: np.ndarray, width: int, radix: np.uint64) -> np.ndarray:
     """Hash of each run of ``width`` word hashes, from prefix sums."""
     n = len(hashes)
-    sums = np.concatenate(([np.uint64(0)], np.cumsum(hashes * powers(_RADIX, n), dtype=np.uint64)))
-    return mix64((sums[width:] - sums[:-width]) * powers(_INVERSE, n - width + 1))
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(hashes * powers(radix, n), dtype=np.uint64)))
+    return mix64((sums[width:] - sums[:-width]) * powers(np.uint64(pow(int(radix), -1, 1 << 64)), n - width + 1))
+
+
+def window_hashes(hashes: np.ndarray, width: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two hashes of the runs of ``width`` word hashes that start ``at``."""
+    return _window_hash(hashes, width, _RADIX)[at], _window_hash(mix64(hashes ^ _SECOND), width, _SECOND)[at]
+
+
+def by_window(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(an order that puts equal windows together, by ``first``; whether a place of it starts a new window)."""
+    order = np.argsort(first, kind="stable")
+    a, b = first[order], second[order]
+    if ((a[1:] == a[:-1]) & (b[1:] != b[:-1])).any():  # windows that differ in the second hash only
+        order = np.lexsort((second, first))
+        a, b = first[order], second[order]
+    return order, np.concatenate((np.ones(min(len(a), 1), dtype=bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1])))
 
 
 def _documents(batches, names: tuple[str, ...]):
@@ -175,7 +191,7 @@ def _locate(window: int, phrase: int, bits: int):
         for row in np.concatenate(phrases).tolist():
             automaton.add_word(tuple(row), 1)
         automaton.make_automaton()
-        names, tags, counts, starts, keys = [], [], [], [], []
+        names, tags, counts, starts, keys, others = [], [], [], [], [], []
         for doc, tag, hashes in _documents(docs_table.to_batches(), ("doc_id", "tag")):
             if doc is None or len(hashes) < window:
                 continue
@@ -191,14 +207,18 @@ def _locate(window: int, phrase: int, bits: int):
                 tags.append(tag)
                 counts.append(len(at))
                 starts.append(at)
-                keys.append(window_hashes(hashes, window)[at])
+                key_of, other = window_hashes(hashes, window, at)
+                keys.append(key_of)
+                others.append(other)
         if not names:
             return _WINDOWS.empty_table()
         shard = key[0].as_py()
-        keys, docs = np.concatenate(keys), np.repeat(np.array(names, dtype=np.int64), counts)
-        unique, inverse = np.unique(keys, return_inverse=True)
-        low = np.full(len(unique), np.iinfo(np.int64).max)
-        np.minimum.at(low, inverse, docs)
+        keys, others, docs = np.concatenate(keys), np.concatenate(others), np.repeat(np.array(names, dtype=np.int64), counts)
+        order, new = by_window(keys, others)
+        inverse = np.empty(len(keys), dtype=np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        low = np.minimum.reduceat(docs[order], np.flatnonzero(new))
+        unique, other = keys[order[new]], others[order[new]]
         head = np.array([len(names), len(keys), len(unique)], dtype="<i8").tobytes()
         per_doc = np.column_stack([names, tags, counts]).astype("<i8").tobytes()
         state = head + per_doc + _planes(np.concatenate(starts), 4) + _planes(inverse, 4) + low.astype("<i8").tobytes()
@@ -206,7 +226,7 @@ def _locate(window: int, phrase: int, bits: int):
         edges = np.searchsorted(unique >> np.uint64(64 - bits), np.arange((1 << bits) + 1, dtype=np.uint64))
         for b in np.flatnonzero(np.diff(edges)):
             part = slice(edges[b], edges[b + 1])
-            rows.append(_window_row(int(b), shard, unique[part].astype("<u8").tobytes(), _planes(low[part], 8), np.int64(edges[b]).tobytes()))
+            rows.append(_window_row(int(b), shard, np.column_stack([unique[part], other[part]]).astype("<u8").tobytes(), _planes(low[part], 8), np.int64(edges[b]).tobytes()))
         return pa.Table.from_pylist(rows, _WINDOWS)
 
     return run
@@ -218,15 +238,15 @@ def _earliest(key, table):
         return table.select(_WINDOWS.names)
     shards, keys, docs, index = [], [], [], []
     for row in table.to_pylist():
-        keys.append(np.frombuffer(row["keys"], dtype="<u8"))
+        keys.append(np.frombuffer(row["keys"], dtype="<u8").reshape(-1, 2))
         docs.append(_unplanes(row["docs"], 8).view(np.int64))
         index.append(np.frombuffer(row["index"], dtype=np.int64)[0] + np.arange(len(keys[-1])))
         shards.append(np.full(len(keys[-1]), row["shard"]))
     shards, keys, docs, index = map(np.concatenate, (shards, keys, docs, index))
-    order = np.argsort(keys, kind="stable")
-    shards, keys, docs, index = shards[order], keys[order], docs[order], index[order]
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
-    low = np.repeat(np.minimum.reduceat(docs, first), np.diff(np.append(first, len(keys))))
+    order, new = by_window(np.ascontiguousarray(keys[:, 0]), keys[:, 1])
+    shards, docs, index = shards[order], docs[order], index[order]
+    first = np.flatnonzero(new)
+    low = np.repeat(np.minimum.reduceat(docs, first), np.diff(np.append(first, len(docs))))
     told = low < docs
     shards, low, index = shards[told], low[told], index[told]
     order = np.argsort(shards, kind="stable")
