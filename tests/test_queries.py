@@ -9,7 +9,7 @@ import __spark_entry__ as entry
 SF = "/root/testdata/sf0.001"
 duckdb = pytest.importorskip("duckdb")
 pytestmark = pytest.mark.skipif(not Path(SF).exists(), reason="no test tables")
-NAMES = ["panel_validate_counts", "lead_lag_gapped", "anchor_common", "singleton_prune", "fe_twoway_unbalanced", "fe_two_large", "fe_rank_threeway", "fe_rank_reduced", "fe_rank_conservative", "lp_fit_tidy", "vcov_cluster_threeway", "vcov_hac_qs", "vcov_dk_parzen", "vcov_hac_seconds_qs", "mask_groups_sparse", "term_categorical_irf", "term_shock_hierarchy", "term_absorbed"]
+NAMES = ["panel_validate_counts", "lead_lag_gapped", "anchor_common", "singleton_prune", "fe_twoway_unbalanced", "fe_rank_threeway", "fe_rank_reduced", "fe_rank_conservative", "lp_fit_tidy", "vcov_cluster_threeway", "vcov_hac_qs", "vcov_dk_parzen", "vcov_hac_seconds_qs", "mask_groups_sparse", "term_categorical_irf", "term_shock_hierarchy", "term_absorbed"]
 
 
 def canonical(frame):
@@ -17,12 +17,16 @@ def canonical(frame):
     return sorted(tuple(repr(round(float(v), 4) + 0.0) if isinstance(v, float) else str(v) for v in row) for row in frame.itertuples(index=False, name=None))
 
 
-@pytest.mark.parametrize("name", NAMES)
-def test_matches_sql(spark, name):
+# Here both effects are large; on the smallest tables the SQL's fixed number of sweeps has not converged.
+LARGER = [("fe_two_large", "/root/testdata/sf0.01")]
+
+
+@pytest.mark.parametrize(("name", "sf"), [(n, SF) for n in NAMES] + LARGER)
+def test_matches_sql(spark, name, sf):
     con = duckdb.connect()
-    for path in Path(SF).glob("*.parquet"):
+    for path in Path(sf).glob("*.parquet"):
         con.execute(f"CREATE VIEW {path.stem} AS SELECT * FROM read_parquet('{path}')")
-    assert canonical(entry.queries()[name](spark, SF).toPandas()) == canonical(con.execute(entry.oracle_sql()[name]).df())
+    assert canonical(entry.queries()[name](spark, sf).toPandas()) == canonical(con.execute(entry.oracle_sql()[name]).df())
 
 
 def test_every_sql_has_a_query():
