@@ -19,9 +19,13 @@ Rows of the incidence matrix are documents, columns are hashed word shingles.
 5. *Verification.*  Whole sets are fetched for the pairs left only; a task emits
    a spanning forest of the links it finds, never all pairs of a group.
 
-A large class has row blocks of its own, which never meet each other; the rest
-share blocks of about ``block_rows``.  Joins on a column or class that a large
-part of the rows may hold are dealt over several tasks.
+A large class has row blocks of its own, which never meet each other there; the
+rest share blocks of about ``block_rows``.  Joins on a column or class that a
+large part of the rows may hold are dealt over several tasks.
+
+With ``count_links`` every link is counted.  Step 5 then gives all links between
+classes.  Within a class, pairs of its row blocks are multiplied whole: a task
+has the counts of its two blocks as one matrix and returns sums by row, no pairs.
 
 Columns that ``hot`` or more documents of one chunk share are pre-aggregated
 before the shuffle: the chunk sends one posting for the column.
@@ -32,8 +36,9 @@ and size) are one row of the matrix, linked by their smallest document.
 Defined cases: a null or wordless text has an empty set and links with nothing
 (its component is itself); a text of fewer than ``width`` words is one shingle;
 rows with the same id are one node; a row with a null id is returned with a
-null component; other columns of the input are ignored; an empty table gives
-an empty result.
+null component and no number of links; links are to rows, so that a row's equal
+ones count, with their ids equal or not; other columns of the input are ignored;
+an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -51,6 +56,8 @@ WIDTH, THRESHOLD = 5, 75
 CHUNK_SHINGLES, HOT, BLOCK_ROWS, BATCH_BYTES = 2_000_000, 64, 512, 1 << 21
 _KEY_BITS = 40
 _HOT_DF = 65535
+#: Shingles of a class's row block, and columns of a dense part of a product.
+BLOCK_SHINGLES, DENSE_COLUMNS = 1 << 20, 1024
 #: Columns of this many documents or more are marked, so that joins on them can be dealt over tasks.
 MANY, _MARK = 512, 1 << 62
 
@@ -66,6 +73,11 @@ def document_sets(batches, id_column: str, text_column: str, width: int):
                 yield batch, start + row, ids[start + row].as_py(), shingle_set(words.row_hashes(row), width)
 
 
+def checksums(shingles: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit checksums of a set, whatever its order."""
+    return tuple(np.array([shingles.sum(dtype=np.uint64), mix64(shingles).sum(dtype=np.uint64)], dtype=np.uint64).view(np.int64).tolist())
+
+
 def _planes(values: np.ndarray, width: int) -> bytes:
     """Little-endian byte planes, so that zero high bytes compress away."""
     return np.ascontiguousarray(values.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
@@ -89,9 +101,9 @@ def _row(block, chunk, docs=b"", keys=b"", dfs=b"", meta=b""):
 def _post_chunk(chunk: int, ids: list, sets: list[np.ndarray], bits: int, hot: int):
     """Postings of one chunk by column block, its documents' sizes and checksums, its own hot columns."""
     sizes = np.array([len(s) for s in sets], dtype=np.int64)
-    sums = np.array([[s.sum(dtype=np.uint64), mix64(s).sum(dtype=np.uint64)] for s in sets], dtype=np.uint64).reshape(-1, 2)
+    sums = np.array([checksums(s) for s in sets], dtype=np.int64).reshape(-1, 2)
     known = np.array([x is not None for x in ids], dtype=np.int64)
-    meta = np.column_stack([np.array([x or 0 for x in ids], dtype=np.int64), known, sizes, sums.view(np.int64)])
+    meta = np.column_stack([np.array([x or 0 for x in ids], dtype=np.int64), known, sizes, sums])
     yield _row(-1 - chunk, chunk, meta=meta.astype("<i8").tobytes())
     every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     if not len(every):
@@ -263,7 +275,73 @@ def spanning(sets: dict, classes: dict, pairs, threshold: int) -> list[tuple[int
     return found
 
 
-_LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
+def linked_sets(sets: dict, pairs, threshold: int) -> list[tuple]:
+    """All links among the pairs, as (u, v, key of u's set, key of v's set); sets are by node and key."""
+    return [(u, v, a, b) for u, v in pairs for a, x in sets[u].items() for b, y in sets[v].items() if _reaches(len(np.intersect1d(x, y, assume_unique=True)), len(x), len(y), threshold)]
+
+
+def overlaps(left: list[np.ndarray], right: list[np.ndarray]) -> np.ndarray:
+    """Overlap counts of two blocks of sets: the product of their incidence matrices, column by column.
+
+    Columns that few rows hold add one to each pair that shares them; the others
+    are multiplied as dense matrices, some at a time.
+    """
+    shape = len(left), len(right)
+    out = np.zeros(shape)
+    columns, inverse = np.unique(np.concatenate([*left, *right]), return_inverse=True)
+    split = sum(map(len, left))
+    sides = []
+    for entries, block in ((inverse[:split], left), (inverse[split:], right)):
+        order = np.argsort(entries, kind="stable")
+        sides.append((np.repeat(np.arange(len(block)), [len(x) for x in block])[order], np.searchsorted(entries[order], np.arange(len(columns) + 1))))
+    (rows, at), (others, other_at) = sides
+    n, m = np.diff(at), np.diff(other_at)
+    dense = n * m > shape[0] * shape[1] // 100 + 1
+    few = np.repeat(np.where(dense, 0, m), n)  # partners of each entry on the left
+    starts, edges = np.repeat(other_at[:-1], n), np.concatenate(([0], np.cumsum(few)))
+    low = 0
+    while low < len(few) and edges[-1] > edges[low]:
+        high = max(low + 1, int(np.searchsorted(edges, edges[low] + (1 << 22), side="right")) - 1)
+        k = few[low:high]
+        partner = np.arange(k.sum()) + np.repeat(starts[low:high] - (edges[low:high] - edges[low]), k)
+        out += np.bincount(np.repeat(rows[low:high], k) * shape[1] + others[partner], minlength=out.size).reshape(shape)
+        low = high
+    kept = np.flatnonzero(dense)
+    for part in (kept[c : c + DENSE_COLUMNS] for c in range(0, len(kept), DENSE_COLUMNS)):
+        a, b = np.zeros((shape[0], len(part)), np.float32), np.zeros((shape[1], len(part)), np.float32)
+        for c, column in enumerate(part.tolist()):
+            a[rows[at[column] : at[column + 1]], c] = 1
+            b[others[other_at[column] : other_at[column + 1]], c] = 1
+        out += a @ b.T
+    return out
+
+
+_COUNTED = "f1 long, f2 long, n_shingles long, n long"
+
+
+def _class_links(threshold: int):
+    """Links of each set within a pair of row blocks of one class, weighted by the rows that have the sets."""
+
+    def run(key, table):
+        i, j = key[1].as_py(), key[2].as_py()
+        names = zip(*(table[c].to_pylist() for c in ("f1", "f2", "n_shingles")), strict=True)
+        found = {name: (block, weight, np.frombuffer(packed, dtype="<u8")) for name, block, weight, packed in zip(names, table["block"].to_pylist(), table["weight"].to_pylist(), table["shingles"].to_pylist(), strict=True)}
+        left = [name for name in found if found[name][0] == i]
+        right = left if i == j else [name for name in found if found[name][0] == j]
+        counts = np.zeros(0, np.int64)
+        if left and right:
+            a, b = (np.array([len(found[x][2]) for x in side]) for side in (left, right))
+            links = _reaches(overlaps([found[x][2] for x in left], [found[x][2] for x in right]), a[:, None], b[None, :], threshold)
+            if i == j:
+                np.fill_diagonal(links, False)
+            counts = links @ np.array([found[x][1] for x in right])
+            if i != j:
+                counts = np.concatenate([counts, links.T @ np.array([found[x][1] for x in left])])
+        every = left if i == j else left + right
+        every = [(*name, n) for name, n in zip(every, counts.tolist(), strict=False) if n]
+        return pa.Table.from_arrays([pa.array([x[c] for x in every], pa.int64()) for c in range(4)], names=["f1", "f2", "n_shingles", "n"])
+
+    return run
 
 
 def _bounded(threshold: int):
@@ -285,28 +363,38 @@ def _bounded(threshold: int):
     return run
 
 
-def _block_links(threshold: int):
-    """Verified links of a task's pairs."""
+_KEYS = ("f1", "f2", "n_shingles")
+_LINKS = pa.schema([(c, pa.int64()) for c in ("u", "v", *[f"{side}_{c}" for side in "uv" for c in _KEYS])])
+_LINKS_SQL = ", ".join(f"{c} long" for c in _LINKS.names)
+
+
+def _block_links(threshold: int, whole: bool):
+    """Verified links of a task's pairs: a spanning forest, or the whole with the keys of their sets."""
 
     def run(key, pairs, rows):
         sets: dict = {}
-        for doc, packed in zip(rows["doc"].to_pylist(), rows["shingles"].to_pylist(), strict=True):
-            sets.setdefault(doc, []).append(np.frombuffer(packed, dtype="<u8"))
+        for doc, packed, *name in zip(*(rows[c].to_pylist() for c in ("doc", "shingles", *_KEYS)), strict=True):
+            sets.setdefault(doc, {})[tuple(name)] = np.frombuffer(packed, dtype="<u8")
         u, v = pairs["u"].to_pylist(), pairs["v"].to_pylist()
-        classes = dict(zip(u, pairs["u_class"].to_pylist(), strict=True)) | dict(zip(v, pairs["v_class"].to_pylist(), strict=True))
-        found = spanning(sets, classes, sorted(zip(u, v, strict=True)), threshold)
-        return pa.Table.from_pydict({"u": [x for x, _ in found], "v": [y for _, y in found]}, schema=_LINKS)
+        every = sorted(zip(u, v, strict=True))
+        if whole:
+            found = [(x, y, *a, *b) for x, y, a, b in linked_sets(sets, every, threshold)]
+        else:
+            classes = dict(zip(u, pairs["u_class"].to_pylist(), strict=True)) | dict(zip(v, pairs["v_class"].to_pylist(), strict=True))
+            none = (None,) * 2 * len(_KEYS)
+            found = [(x, y, *none) for x, y in spanning({d: list(of.values()) for d, of in sets.items()}, classes, every, threshold)]
+        return pa.Table.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in range(len(_LINKS))], schema=_LINKS)
 
     return run
 
 
 def _sets(width: int):
-    schema = pa.schema([("doc", pa.int64()), ("shingles", pa.binary())])
+    schema = pa.schema([("doc", pa.int64()), *[(c, pa.int64()) for c in _KEYS], ("shingles", pa.binary())])
 
     def run(batches):
         rows, held = [], 0
         for _, _, doc, found in document_sets(batches, "doc", "text", width):
-            rows.append({"doc": doc, "shingles": found.astype("<u8").tobytes()})
+            rows.append({"doc": doc, **dict(zip(_KEYS, (*checksums(found), len(found)), strict=True)), "shingles": found.astype("<u8").tobytes()})
             held += len(found) * 8
             if held > 1 << 22:
                 yield pa.RecordBatch.from_pylist(rows, schema)
@@ -323,11 +411,11 @@ def _by_column(postings: DataFrame, columns: DataFrame) -> DataFrame:
     return postings.where(~marked).join(columns.where(~marked), "col").unionByName(salted_join(postings.where(marked), columns.where(marked), ["col"], "doc"))
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, place: list[str], threshold: int) -> DataFrame:
-    """Spanning links of ``pairs`` (place, u, v, u_class, v_class); one task a place."""
+def _verified(pairs: DataFrame, sets: DataFrame, place: list[str], threshold: int, whole: bool = False) -> DataFrame:
+    """Spanning links of ``pairs`` (place, u, v, u_class, v_class), or the ``whole`` of their links; one task a place."""
     there = [f"at_{p}" for p in place]
     rows = pairs.select(*[F.col(p).alias(a) for p, a in zip(place, there, strict=True)], F.explode(F.array("u", "v")).alias("doc")).distinct().join(sets, "doc")
-    return cut(pairs.groupBy(*place).cogroup(rows.groupBy(*there)).applyInArrow(_block_links(threshold), "u long, v long"))
+    return cut(pairs.groupBy(*place).cogroup(rows.groupBy(*there)).applyInArrow(_block_links(threshold, whole), _LINKS_SQL))
 
 
 def _stars(postings: DataFrame, leads: DataFrame, sets: DataFrame, threshold: int, block_rows: int) -> DataFrame:
@@ -339,13 +427,13 @@ def _stars(postings: DataFrame, leads: DataFrame, sets: DataFrame, threshold: in
     return _verified(dealt.select("lead", "part", F.col("lead").alias("u"), F.col("doc").alias("v"), F.col("lead").alias("u_class"), F.col("doc").alias("v_class")), sets, ["lead", "part"], threshold)
 
 
-def _crossed(postings: DataFrame, classes: DataFrame, prefixes: DataFrame, sets: DataFrame, threshold: int, block_rows: int) -> DataFrame:
-    """Links between documents of different classes that share a bounded column."""
+def _crossed(postings: DataFrame, classes: DataFrame, prefixes: DataFrame, sets: DataFrame, threshold: int, block_rows: int, whole: bool) -> DataFrame:
+    """Links between documents of different classes that share a bounded column; spanning ones if not the ``whole``."""
     live = postings.join(classes.select(F.col("node").alias("doc"), F.col("component").alias("class")), "doc", "left").withColumn("class", F.coalesce("class", "doc"))
     several = live.groupBy("col").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("col")
     live = cut(_by_column(live, several))
     if live.isEmpty():
-        return live.select(F.col("doc").alias("u"), F.col("doc").alias("v")).limit(0)
+        return live.sparkSession.createDataFrame([], _LINKS_SQL)
     members = live.select("doc", "class").distinct()
     large = cut(members.groupBy("class").count().where(F.col("count") > block_rows).select("class", F.ceil(F.col("count") / F.lit(block_rows)).alias("n_blocks")))
     n_shared = max(1, -(-members.count() // block_rows))
@@ -356,14 +444,35 @@ def _crossed(postings: DataFrame, classes: DataFrame, prefixes: DataFrame, sets:
     met = _by_column(live, of_column).where("low <> class OR high <> class").select("doc", "class", "n_shingles", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")).distinct()
     rows = met.join(prefixes, ["doc", "n_shingles"]).select("i", "j", "doc", "class", "n_shingles", "block", "prefix")
     pairs = cut(rows.groupBy("i", "j").applyInArrow(_bounded(threshold), "i long, j long, u long, v long, u_class long, v_class long").distinct())
-    return _verified(pairs, sets, ["i", "j"], threshold)
+    return _verified(pairs, sets, ["i", "j"], threshold, whole)
+
 
+def _link_counts(groups: DataFrame, live: DataFrame, classes: DataFrame, sets: DataFrame, crossed: DataFrame, threshold: int, block_rows: int) -> DataFrame:
+    """Rows that each set links with, but for those that have the set itself.
 
-def ngram_jaccard_components(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH, threshold: int = THRESHOLD, chunk_shingles: int = CHUNK_SHINGLES, hot: int = HOT, block_rows: int = BLOCK_ROWS, many: int = MANY) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id.
+    ``groups`` are the sets with their document and number of rows, ``live`` the
+    documents that share a bounded column, ``crossed`` all links between classes.
+    """
+    members = groups.join(live, ["doc", "n_shingles"]).join(classes.select(F.col("node").alias("doc"), F.col("component").alias("class")), "doc", "left")
+    members = cut(members.withColumn("class", F.coalesce("class", "doc")))
+    held = F.ceil(F.greatest(F.count(F.lit(1)) / F.lit(block_rows), F.sum("n_shingles") / F.lit(BLOCK_SHINGLES)))
+    several = cut(members.groupBy("class").agg(F.count(F.lit(1)).alias("n"), held.alias("n_blocks")).where("n > 1").drop("n"))
+    placed = salted_join(members, several, ["class"], "doc").withColumn("block", F.pmod(F.xxhash64(*_KEYS), F.col("n_blocks")))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_blocks") - 1)))
+    placed = placed.select("doc", *_KEYS, "weight", "class", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    within = placed.join(sets, ["doc", *_KEYS]).groupBy("class", "i", "j").applyInArrow(_class_links(threshold), _COUNTED)
+    ends = [crossed.select(F.col(a).alias("doc"), *[F.col(f"{a}_{c}").alias(c) for c in _KEYS], F.col(b).alias("to"), *[F.col(f"{b}_{c}").alias(f"to_{c}") for c in _KEYS]) for a, b in ("uv", "vu")]
+    weights = groups.select(F.col("doc").alias("to"), *[F.col(c).alias(f"to_{c}") for c in _KEYS], F.col("weight").alias("n"))
+    between = ends[0].unionByName(ends[1]).join(groups.select("doc", *_KEYS), ["doc", *_KEYS]).join(weights, weights.columns[:-1])
+    return within.unionByName(between.select(*_KEYS, "n")).groupBy(*_KEYS).agg(F.sum("n").alias("n"))
+
+
+def ngram_jaccard_components(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", width: int = WIDTH, threshold: int = THRESHOLD, chunk_shingles: int = CHUNK_SHINGLES, hot: int = HOT, block_rows: int = BLOCK_ROWS, many: int = MANY, count_links: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id and, with ``count_links``, n_links.
 
     Two documents link when ``100 * intersection >= threshold * union`` of their
-    distinct ``width``-word shingles; ``component_id`` is the smallest id reachable.
+    distinct ``width``-word shingles; ``component_id`` is the smallest id reachable,
+    ``n_links`` the number of other rows that a row links with.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).cast("string").alias("text"))
@@ -373,28 +482,34 @@ def ngram_jaccard_components(docs: DataFrame, *, id_column: str = "doc_id", text
     rows = cut(counted.groupBy("chunk").applyInArrow(_bound(threshold, many), "doc_id long, n_shingles long, f1 long, f2 long, prefix array<long>"))
 
     # One document stands for all of the same set.
-    same = ["f1", "f2", "n_shingles"]
+    same = list(_KEYS)
     filled = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
-    groups = cut(filled.groupBy(*same).agg(F.min("doc_id").alias("doc")))
-    prefixes = filled.where("size(prefix) > 0").withColumnRenamed("doc_id", "doc").join(groups, [*same, "doc"]).select("doc", "n_shingles", "prefix")
+    groups = cut(filled.groupBy(*same).agg(F.min("doc_id").alias("doc"), F.count(F.lit(1)).alias("weight")))
+    prefixes = filled.where("size(prefix) > 0").withColumnRenamed("doc_id", "doc").join(groups.drop("weight"), [*same, "doc"]).select("doc", "n_shingles", "prefix")
     postings = cut(prefixes.select("doc", "n_shingles", F.explode("prefix").alias("col")))
     columns = postings.groupBy("col").agg(F.min(F.struct("doc", "n_shingles")).alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1")
     columns = cut(columns.select("col", F.col("first.doc").alias("lead"), F.col("first.n_shingles").alias("lead_size")))
     postings = cut(_by_column(postings, columns.select("col")))
     texts = docs.withColumnRenamed("doc_id", "doc").join(postings.select("doc").distinct(), "doc")
-    sets = cut(texts.mapInArrow(_sets(width), "doc long, shingles binary"))
+    sets = cut(texts.mapInArrow(_sets(width), "doc long, f1 long, f2 long, n_shingles long, shingles binary"))
     # Rows that share an id are one node, wordless ones too.
     repeated = rows.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("doc_id")
     shared = cut(filled.select("doc_id", *same).join(repeated, "doc_id").join(groups, same).select("doc_id", "doc").distinct())
     of_id = shared.groupBy("doc_id").agg(F.min("doc").alias("v"))
-    links = _stars(postings, columns, sets, threshold, block_rows).unionByName(shared.join(of_id, "doc_id").select(F.col("doc").alias("u"), "v"))
-    links = links.unionByName(_crossed(postings, cut(components(links)), prefixes, sets, threshold, block_rows))
+    links = _stars(postings, columns, sets, threshold, block_rows).select("u", "v").unionByName(shared.join(of_id, "doc_id").select(F.col("doc").alias("u"), "v"))
+    near = cut(components(links))
+    crossed = _crossed(postings, near, prefixes, sets, threshold, block_rows, count_links)
+    links = links.unionByName(crossed.select("u", "v"))
     classes = cut(components(links).select(F.col("node").alias("doc"), "component"))
 
-    of_set = groups.join(classes, "doc", "left").select(*same, F.coalesce("component", "doc").alias("component"))
-    out = salted_join(rows.select("doc_id", *same), of_set, same, "doc_id", "left")
+    of_set = groups.join(classes, "doc", "left").select(*same, F.coalesce("component", "doc").alias("component"), "weight")
+    if count_links:
+        counts = _link_counts(groups, postings.select("doc", "n_shingles").distinct(), near, sets, crossed, threshold, block_rows)
+        of_set = of_set.join(cut(counts), same, "left").withColumn("n_links", F.col("weight") - 1 + F.coalesce("n", F.lit(0))).drop("n")
+    out = salted_join(rows.select("doc_id", *same), of_set.drop("weight"), same, "doc_id", "left")
     if not shared.isEmpty():
         of_id = of_id.join(classes, F.col("v") == F.col("doc"), "left").select("doc_id", F.coalesce("component", "v").alias("of_id"))
         out = out.join(of_id, "doc_id", "left").withColumn("component", F.coalesce("of_id", "component"))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"))
+    known = lambda c: F.when(F.col("doc_id").isNotNull(), c)
+    n_links = [known(F.coalesce("n_links", F.lit(0))).cast("long").alias("n_links")] if count_links else []
+    return out.select("doc_id", "n_shingles", known(F.coalesce("component", "doc_id")).alias("component_id"), *n_links)

@@ -22,7 +22,7 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_jaccard_components(_table(spark, sf_dir, "documents"))
+    return ngram_jaccard_components(_table(spark, sf_dir, "documents"), count_links=True)
 
 
 def op2_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -107,8 +107,9 @@ reach AS (
   UNION
   SELECT r.node, l.v FROM reach r JOIN links l ON l.u = r.seen),
 comp AS (SELECT node, min(seen) AS component_id FROM reach GROUP BY node)
-SELECT d.doc_id, CAST(coalesce(n, 0) AS BIGINT) AS n_shingles, component_id
-FROM documents d JOIN comp ON node = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id""",
+SELECT d.doc_id, CAST(coalesce(s.n, 0) AS BIGINT) AS n_shingles, component_id, CAST(coalesce(l.n, 0) AS BIGINT) AS n_links
+FROM documents d JOIN comp ON node = d.doc_id LEFT JOIN sizes s ON s.doc_id = d.doc_id
+LEFT JOIN (SELECT u, count(*) AS n FROM links GROUP BY u) l ON l.u = d.doc_id""",
     # All pairs of a label by exact cosine; components by repeated minimum over the links.
     "op2_embedding_dedup": """
 WITH RECURSIVE sound AS (

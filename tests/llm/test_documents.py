@@ -31,21 +31,21 @@ def shingles(text):
 @pytest.mark.parametrize(("block_rows", "many"), [(512, 512), (3, 2)])
 def test_jaccard_components(spark, block_rows, many):
     rows = documents()
-    union, sizes = Union(), {}
+    # Rows of one id: equal, linked, and unlike.
+    first = rows[0][1].split()
+    rows += [(300, " ".join(first), None), (300, " ".join([*first, "more"]), None), (300, "nothing like the others at all", None), (301, "nothing like the others at all", None)]
+    union = Union()
     named = [(d, shingles(t)) for d, t, _ in rows if d is not None]
     for i, (a, x) in enumerate(named):
         union.find(a)
-        sizes[a] = len(x)
         for b, y in named[:i]:
             if x and y and 100 * len(x & y) >= 75 * len(x | y):
                 union.join(a, b)
-    found = ngram_jaccard_components(frame(spark, rows), block_rows=block_rows, many=many, hot=4, chunk_shingles=600).collect()
+    found = ngram_jaccard_components(frame(spark, rows), block_rows=block_rows, many=many, hot=4, chunk_shingles=600, count_links=True).collect()
     assert len(found) == len(rows)
-    for r in found:
-        if r["doc_id"] is None:
-            assert r["component_id"] is None
-        else:
-            assert (r["n_shingles"], r["component_id"]) == (sizes[r["doc_id"]], union.find(r["doc_id"]))
+    links = lambda x: sum(bool(x and y) and 100 * len(x & y) >= 75 * len(x | y) for _, y in named) - bool(x)
+    expected = [(d, len(shingles(t)), None if d is None else union.find(d), None if d is None else links(shingles(t))) for d, t, _ in rows]
+    assert sorted(map(tuple, found), key=repr) == sorted(expected, key=repr)
     assert any(r["component_id"] not in (None, r["doc_id"]) for r in found)
 
 
@@ -71,15 +71,25 @@ def test_jaccard_templated_documents(spark, block_rows, many):
         words = rows[int(rng.integers(0, i))][1].split()
         words[int(rng.integers(0, len(words)))] = f"x{i}"
         rows.append((i, " ".join(words), None))
-    union = Union()
+    union, links = Union(), [0] * len(rows)
     sets = [shingles(t) for _, t, _ in rows]
     for i, x in enumerate(sets):
         union.find(i)
         for j, y in enumerate(sets[:i]):
             if 100 * len(x & y) >= 75 * len(x | y):
                 union.join(i, j)
-    found = ngram_jaccard_components(frame(spark, rows), block_rows=block_rows, many=many, hot=8).collect()
-    assert {r["doc_id"]: r["component_id"] for r in found} == {i: union.find(i) for i in range(260)}
+                links[i], links[j] = links[i] + 1, links[j] + 1
+    found = ngram_jaccard_components(frame(spark, rows), block_rows=block_rows, many=many, hot=8, count_links=True).collect()
+    assert {r["doc_id"]: (r["component_id"], r["n_links"]) for r in found} == {i: (union.find(i), links[i]) for i in range(260)}
+
+
+@pytest.mark.parametrize(("rows", "vocabulary"), [(70, 40), (30, 4000), (1, 5)])
+def test_overlaps_are_a_product(monkeypatch, rows, vocabulary):
+    monkeypatch.setattr(ngram_jaccard, "DENSE_COLUMNS", 7)
+    rng = np.random.default_rng(3)
+    sets = [np.unique(rng.integers(0, rng.integers(1, vocabulary), 60)).astype(np.uint64) for _ in range(rows + 9)]
+    found = ngram_jaccard.overlaps(sets[:rows], sets[rows:])
+    assert found.tolist() == [[len(set(x.tolist()) & set(y.tolist())) for y in sets[rows:]] for x in sets[:rows]]
 
 
 def test_bounded_pairs_drop_what_cannot_reach():
