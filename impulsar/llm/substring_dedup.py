@@ -6,7 +6,8 @@
    phrase and document block; a block confirms those of two documents or more.
 2. *Sharded automata.*  A document block (a hash of the id) gets the confirmed
    phrases of its own documents, compiles them into an Aho-Corasick automaton
-   over word numbers, and streams its whole documents through it.  A window
+   over word numbers, and streams its whole documents through it.  A word is
+   two letters there, since a state's children are searched one by one.  A window
    whose lowest phrase was located may recur; every other window cannot.
 3. *Passages.*  Windows left are hashed whole; hash blocks find the smallest
    document of each, from one row per window and document block.  Words that an
@@ -24,6 +25,9 @@ are ignored; an empty table gives an empty result.
 
 from __future__ import annotations
 
+import functools
+import math
+
 import ahocorasick
 import numpy as np
 import pyarrow as pa
@@ -60,16 +64,54 @@ def sliding_min(values: np.ndarray, width: int) -> np.ndarray:
     return out
 
 
-def _window_hash(hashes: np.ndarray, width: int, radix: np.uint64) -> np.ndarray:
-    """Hash of each run of ``width`` word hashes, from prefix sums."""
-    n = len(hashes)
-    sums = np.concatenate(([np.uint64(0)], np.cumsum(hashes * powers(radix, n), dtype=np.uint64)))
-    return mix64((sums[width:] - sums[:-width]) * powers(np.uint64(pow(int(radix), -1, 1 << 64)), n - width + 1))
+@functools.lru_cache(maxsize=64)
+def _kept_powers(radix: int, size: int) -> np.ndarray:
+    return powers(np.uint64(radix), size)
+
+
+def _powers(radix: int, n: int) -> np.ndarray:
+    """``powers``, those of short texts kept."""
+    return _kept_powers(radix, 1 << n.bit_length())[:n] if n < 1 << 16 else powers(np.uint64(radix), n)
+
+
+def _window_hash(hashes: np.ndarray, width: int, at: np.ndarray, radix: np.uint64) -> np.ndarray:
+    """Hash of the runs of ``width`` word hashes that start ``at``, from prefix sums."""
+    sums = np.concatenate(([np.uint64(0)], np.cumsum(hashes * _powers(int(radix), len(hashes)), dtype=np.uint64)))
+    return mix64((sums[at + width] - sums[at]) * _powers(pow(int(radix), -1, 1 << 64), len(hashes))[at])
 
 
 def window_hashes(hashes: np.ndarray, width: int, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of the runs of ``width`` word hashes that start ``at``."""
-    return _window_hash(hashes, width, _RADIX)[at], _window_hash(mix64(hashes ^ _SECOND), width, _SECOND)[at]
+    return _window_hash(hashes, width, at, _RADIX), _window_hash(mix64(hashes ^ _SECOND), width, at, _SECOND)
+
+
+class Automaton:
+    """Aho-Corasick automaton of phrases of word numbers (one a row).
+
+    A word is two letters of disjoint alphabets of about the square root of the
+    phrases' vocabulary, so that no state has more children than that; a word of
+    no phrase is a letter that no phrase has.
+    """
+
+    def __init__(self, phrases: np.ndarray):
+        self.vocabulary = np.unique(phrases)
+        self.base = math.isqrt(len(self.vocabulary)) + 1
+        self.found = ahocorasick.Automaton(ahocorasick.STORE_INTS)
+        text, length = self.spell(phrases.ravel()), 2 * phrases.shape[1]
+        for start in range(0, len(text), length):
+            self.found.add_word(text[start : start + length], 1)
+        self.found.make_automaton()
+
+    def spell(self, numbers: np.ndarray) -> str:
+        at = np.minimum(np.searchsorted(self.vocabulary, numbers), len(self.vocabulary) - 1)
+        letters = np.column_stack([1 + at // self.base, 1 + self.base + at % self.base])
+        letters[self.vocabulary[at] != numbers] = 0
+        letters += (letters >= 0xD800) * 0x800  # no surrogates
+        return letters.astype("<u4").tobytes().decode("utf-32-le")
+
+    def ends(self, numbers: np.ndarray) -> np.ndarray:
+        """Last words of the phrases in a text."""
+        return np.fromiter((end for end, _ in self.found.iter(self.spell(numbers))), dtype=np.int64) // 2
 
 
 def by_window(first: np.ndarray, second: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,20 +229,17 @@ def _locate(window: int, phrase: int, bits: int):
         phrases = [np.frombuffer(w, dtype="<u4").reshape(-1, phrase) for w in phrases_table["words"].to_pylist()]
         if not phrases or not docs_table.num_rows:
             return _WINDOWS.empty_table()
-        automaton = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
-        for row in np.concatenate(phrases).tolist():
-            automaton.add_word(tuple(row), 1)
-        automaton.make_automaton()
+        automaton = Automaton(np.concatenate(phrases))
         names, tags, counts, starts, keys, others = [], [], [], [], [], []
         for doc, tag, hashes in _documents(docs_table.to_batches(), ("doc_id", "tag")):
             if doc is None or len(hashes) < window:
                 continue
             numbers = hashes.astype(np.uint32)
-            ends = [end for end, _ in automaton.iter(tuple(numbers.tolist()))]
-            if not ends:
+            ends = automaton.ends(numbers)
+            if not len(ends):
                 continue
             every = phrase_hashes(numbers, phrase)
-            every[np.array(ends) - phrase + 1] |= np.uint64(1)
+            every[ends - phrase + 1] |= np.uint64(1)
             at = np.flatnonzero(sliding_min(every, window - phrase + 1) & np.uint64(1))
             if len(at):
                 names.append(doc)

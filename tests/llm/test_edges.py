@@ -14,7 +14,7 @@ from impulsar.llm.fingerprints import fingerprints as packed
 from impulsar.llm.license_scan import scan_licenses
 from impulsar.llm.mixing import mix
 from impulsar.llm.secret_scan import scan_secrets
-from impulsar.llm.substring_dedup import by_window, window_hashes
+from impulsar.llm.substring_dedup import Automaton, by_window, window_hashes
 from impulsar.llm.toxicity import fit, score_toxicity
 from impulsar.llm.words import mix64
 
@@ -41,6 +41,17 @@ def test_window_hashes_are_of_the_words_alone():
     assert a[0] == a[1] != a[2] == a[3] and b[0] == b[1] != b[2] == b[3] and a[0] != b[0]
 
 
+@pytest.mark.parametrize("vocabulary", [1, 3, 60])
+def test_automaton_finds_every_phrase(vocabulary):
+    rng = np.random.default_rng(vocabulary)
+    words = rng.choice(2**32 - 1, vocabulary, replace=False).astype(np.uint32)
+    phrases = np.unique(rng.choice(words, (40, 3)), axis=0)
+    text = np.concatenate([rng.choice(words, 300), rng.integers(0, 2**32, 20).astype(np.uint32), phrases[0], [0, 2**32 - 1]]).astype(np.uint32)
+    known = {tuple(x) for x in phrases.tolist()}
+    expected = [i for i in range(2, len(text)) if tuple(text[i - 2 : i + 1].tolist()) in known]
+    assert Automaton(phrases).ends(text).tolist() == expected
+
+
 def brute_bins(text):
     """Bins of one text, one shingle at a time; the bins' order for empty ones is the operator's rule."""
     import pyarrow as pa
