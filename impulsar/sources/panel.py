@@ -1,4 +1,4 @@
-"""Panel input: Spark, pandas or NumPy tables, checked by one aggregate."""
+"""Panel input: Spark, pandas, Arrow (polars too) or NumPy tables, checked by one aggregate."""
 
 from __future__ import annotations
 
@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -15,7 +16,7 @@ _EXACT = float(2**53 - 1)
 
 
 def to_spark(data, column_names=None) -> DataFrame:
-    """A Spark DataFrame from a Spark or pandas table, or a named two-dimensional array."""
+    """A Spark DataFrame from a Spark or pandas table, one that exports Arrow data, or a named two-dimensional array."""
     if isinstance(data, np.ndarray):
         if data.ndim != 2:
             raise ValueError("NumPy input must be two-dimensional")
@@ -35,7 +36,10 @@ def to_spark(data, column_names=None) -> DataFrame:
         return spark.createDataFrame(data)
     if isinstance(data, DataFrame):
         return data
-    raise TypeError("data must be a Spark DataFrame, a pandas DataFrame or a NumPy array")
+    if hasattr(data, "__arrow_c_stream__"):
+        spark = SparkSession.getActiveSession() or SparkSession.builder.getOrCreate()
+        return spark.createDataFrame(pa.table(data))
+    raise TypeError("data must be a Spark DataFrame, a pandas or Arrow table or a NumPy array")
 
 
 def read_panel(spark: SparkSession, path: str, format: str = "parquet", **options) -> DataFrame:

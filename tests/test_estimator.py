@@ -1,11 +1,16 @@
+import sys
+import types
 import warnings
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from impulsar import C, FewClustersWarning, LocalProjection, fe, interact
 from impulsar.operators import absorb
+from impulsar.plotting import plot_irf
+from impulsar.sources.panel import read_panel
 
 from .oracle import estimates
 
@@ -191,6 +196,8 @@ def test_inputs_and_results(spark):
     array = GAPPED[["unit", "time", "x", "z", "y"]].to_numpy()
     named = fit(array, 1, column_names=["unit", "time", "x", "z", "y"], fixed_effects=["unit"])
     np.testing.assert_allclose(named.coef_, model.coef_, rtol=1e-12)
+    table = fit(pa.Table.from_pandas(GAPPED), 1, fixed_effects=["unit"])
+    np.testing.assert_allclose(table.coef_, model.coef_, rtol=1e-12)
     assert list(model.to_frame().columns) == ["horizon", "sample", "response", "n_obs", "coefficient", "estimate", "std_error", "ci_low", "ci_high"]
     assert model.to_spark().count() == 4
     rest = model.residuals_frame(1).toPandas()
@@ -200,6 +207,50 @@ def test_inputs_and_results(spark):
     assert "n_obs" in model.summary()
 
 
+class Axes:
+    """Records what is drawn."""
+
+    def __init__(self):
+        self.calls = []
+
+    def plot(self, x, y, **style):
+        self.calls.append(("plot", list(x), list(y), style))
+        return [self]
+
+    def get_color(self):
+        return "own"
+
+    def __getattr__(self, name):
+        return lambda *args, **style: self.calls.append((name, *args, style))
+
+
+def test_plots(spark, monkeypatch):
+    pyplot = types.ModuleType("matplotlib.pyplot")
+    package = types.ModuleType("matplotlib")
+    package.pyplot = pyplot
+    monkeypatch.setitem(sys.modules, "matplotlib", package)
+    monkeypatch.setitem(sys.modules, "matplotlib.pyplot", pyplot)
+    model, ax = fit(GAPPED, 2, fixed_effects=["unit"]), Axes()
+    assert plot_irf(model, ax=ax) is ax
+    path = model.irf_frame("x")
+    assert ("plot", [0, 1, 2], list(path.estimate)) in [c[:3] for c in ax.calls]
+    band = next(c for c in ax.calls if c[0] == "fill_between")
+    assert list(band[2]) == list(path.ci_low) and list(band[3]) == list(path.ci_high)
+    assert band[-1]["color"] == "own" and band[-1]["label"] == "95% confidence"
+    with pytest.raises(ValueError, match="shock"):
+        plot_irf(model, "z", ax=ax)
+    with pytest.raises(ValueError, match="band_alpha"):
+        plot_irf(model, ax=ax, band_alpha=2)
+
+
+def test_panels_from_files(spark, tmp_path):
+    GAPPED.to_csv(tmp_path / "panel.csv", index=False)
+    GAPPED.to_parquet(tmp_path / "panel.parquet")
+    read = [fit(read_panel(spark, str(tmp_path / f"panel.{kind}"), kind), 1, fixed_effects=["unit"]).coef_ for kind in ("csv", "parquet")]
+    for coef in read:
+        np.testing.assert_allclose(coef, fit(GAPPED, 1, fixed_effects=["unit"]).coef_, rtol=1e-12)
+
+
 def test_progress_and_warning(spark):
     seen = []
     with pytest.warns(FewClustersWarning):

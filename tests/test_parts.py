@@ -1,8 +1,10 @@
+import json
 import math
 
 import numpy as np
 import pytest
 
+import bench
 from impulsar import C, LocalProjection, fe, interact
 from impulsar.functions.dist import normal_isf, student_isf, student_log_sf
 from impulsar.functions.lag_weights import default_bandwidth, quadratic_spectral, weights
@@ -30,6 +32,15 @@ def test_small_parsers():
             cluster_terms(bad)
 
 
+def test_benchmark_report(tmp_path):
+    assert bench.median_interval([2.0]) == (2.0, 2.0, 2.0)
+    median, low, high = bench.median_interval([1.0, 2.0, 3.0, 4.0, 100.0])
+    assert (median, low, high) == (3.0, 1.0, 100.0)
+    bench.write_artifacts(str(tmp_path / "out"), {"value": 1}, {"a": [1.0, 2.0]})
+    assert json.loads((tmp_path / "out/report.json").read_text()) == {"value": 1}
+    assert (tmp_path / "out/times.csv").read_text().split() == ["query,run,seconds", "a,0,1.0", "a,1,2.0"]
+
+
 def test_quantiles():
     assert normal_isf(0.025) == pytest.approx(1.959963984540054, rel=1e-14)
     for df, t in ((1, 12.706204736174696), (4, 2.7764451051977987), (30, 2.0422724563012373)):
