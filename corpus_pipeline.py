@@ -27,14 +27,22 @@ MASK = "[SECRET]"
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below ``TOXIC_FROM``."""
+    """Documents that score below ``TOXIC_FROM``.
+
+    A null or empty text scores like one without hits; repeated rows and rows
+    with a null id are judged by their text alone; an empty table gives none.
+    """
     model = train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
     scored = score_toxicity(docs, model, score_column="__toxicity", keep_text=True)
     return scored.where(F.col("__toxicity") < TOXIC_FROM).select(*docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest document of each component, by id and then text; rows with one id are one document only if their texts are equal."""
+    """The smallest document of each component, by id and then text; rows with one id are one document only if their texts are equal.
+
+    Null, empty and wordless texts link with nothing and stay, once an id; rows
+    with a null id stay, repeated ones too; an empty table gives none.
+    """
     repeated = cut(docs.where("doc_id IS NOT NULL").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("__doc")))
     if repeated.isEmpty():
         gone = ngram_jaccard_components(docs).where("doc_id <> component_id").select(F.col("doc_id").alias("__gone"))
@@ -53,7 +61,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, every secret replaced by ``MASK``."""
+    """All documents, every secret replaced by ``MASK``.
+
+    Null and empty texts have no secrets and stay as they are; each row is
+    masked by itself, whatever its id, and a long text whole.
+    """
     found = scan_secrets(docs, spans_column="__spans", redact=MASK)
     if "n_chars" in docs.columns:
         changed = F.size("__spans") > 0
@@ -62,7 +74,11 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them; the last pass may take a document's first words only."""
+    """Documents as often as the mix takes them; the last pass may take a document's first words only.
+
+    Null and wordless texts have no words to take and leave here; a null source
+    is a source; rows of one id, null or not, are taken each by itself.
+    """
     taken = taken_rows(mix(docs, carry=True))
     if "n_chars" in docs.columns:
         taken = taken.withColumn("n_chars", F.coalesce(F.length("text"), F.lit(0)).cast(docs.schema["n_chars"].dataType))
@@ -70,7 +86,11 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def sentencepiece(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Ids in place of texts, with their number."""
+    """Ids in place of texts, with their number.
+
+    A null or empty text has no ids; rows are independent, so repeated rows and
+    null ids change nothing; a long text is encoded whole.
+    """
     return encode(docs, ids_column="ids").withColumn("n_ids", F.size("ids").cast("long"))
 
 
