@@ -47,6 +47,19 @@ def test_unrelated_texts_of_one_id_stay(spark):
     assert sorted(((r["doc_id"], (r["text"] or "-")[0]) for r in kept.collect()), key=repr) == [(1, "a"), (5, "-"), (5, "b"), (5, "c"), (8, "d"), (None, "b")]
 
 
+def test_null_empty_and_repeated_rows(spark):
+    rows = [(1, None, None), (1, None, None), (2, "", "a"), (2, "", "a"), (None, None, None), (None, "p q", None), (None, "p q", None), (3, "  ", "a"), (4, "w x", "b"), (4, "w x", "b")]
+    docs, stages = frame(spark, rows), dict(corpus_pipeline.STAGES)
+    found = {name: sorted(((r["doc_id"], r["text"]) for r in stages[name](spark, docs, SF).collect()), key=repr) for name in ("toxicity", "ngram_jaccard", "secrets", "mixing")}
+    every = sorted(((d, t) for d, t, _ in rows), key=repr)
+    assert found["toxicity"] == found["secrets"] == every
+    # One row stays of equal ones that share an id, every row without one.
+    assert found["ngram_jaccard"] == sorted([*{x for x in every if x[0] is not None}, *[x for x in every if x[0] is None]], key=repr)
+    assert {d for d, _ in found["mixing"]} == {4, None} and all(t.split() for _, t in found["mixing"])
+    ids = sorted(((r["doc_id"], r["n_ids"]) for r in stages["sentencepiece"](spark, docs, SF).collect()), key=repr)
+    assert len(ids) == len(rows) and ids.count((1, 0)) == ids.count((2, 0)) == 2 and ids.count((None, 0)) == 1
+
+
 def test_empty_table(spark):
     docs = empty(spark)
     for _, stage in corpus_pipeline.STAGES:
