@@ -24,7 +24,8 @@ from __future__ import annotations
 
 import heapq
 
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -80,6 +81,15 @@ def sainte_lague(votes: list[float], seats: int, caps: list[int]) -> list[int]:
     return given
 
 
+def _frame(spark: SparkSession, rows: list[tuple], schema: pa.Schema) -> DataFrame:
+    """Rows as a table from Arrow, for which the executors start no Python."""
+    return spark.createDataFrame(pa.Table.from_arrays([pa.array([r[c] for r in rows], kind) for c, kind in enumerate(schema.types)], schema=schema))
+
+
+_SOURCES = pa.schema([("s", pa.string()), ("source_size", pa.int64()), ("target", pa.float64()), ("shards", pa.int64())])
+_SHARDS = pa.schema([("s", pa.string()), ("k", pa.int64()), ("shard_size", pa.int64()), ("quota", pa.int64())])
+
+
 def mix(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", source_column: str = "source", weights: tuple[int, ...] = WEIGHTS, max_repeats: int = MAX_REPEATS, seed: int = SEED, max_shards: int = MAX_SHARDS, shard_words: int = SHARD_WORDS, carry: bool = False) -> DataFrame:
     """One row per document: doc_id, size, source_size, target, taken, source.
 
@@ -94,7 +104,7 @@ def mix(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text"
     wanted = targets(held, [weights[i % len(weights)] for i in range(len(held))], max_repeats)
     per_shard = max(shard_words, -(-total // max_shards))
     source_rows = [(r["source"], n, t, max(1, -(-n // per_shard))) for r, n, t in zip(by_source, held, wanted, strict=True)]
-    of_source = spark.createDataFrame(source_rows, "s string, source_size long, target double, shards long")
+    of_source = _frame(spark, source_rows, _SOURCES)
     small = F.broadcast if len(source_rows) <= max_shards else lambda df: df
 
     def placed(rows: DataFrame) -> DataFrame:
@@ -109,7 +119,7 @@ def mix(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text"
         shards = shard_rows.get(source, [])
         given = sainte_lague([float(n) for _, n in shards], quota, [max_repeats * n for _, n in shards])
         dealt += [(source, k, n, g) for (k, n), g in zip(shards, given, strict=True)]
-    of_shard = spark.createDataFrame(dealt, "s string, k long, shard_size long, quota long")
+    of_shard = _frame(spark, dealt, _SHARDS)
     every = placed(measured if carry else sizes)
     few = F.broadcast if len(dealt) <= 2 * max_shards else lambda df: df
     joined = every.join(few(of_shard), every["source"].eqNullSafe(of_shard["s"]) & (every["shard"] == of_shard["k"])).drop("s", "k")

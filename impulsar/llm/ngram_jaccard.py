@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from impulsar.llm.common import components, cut, partitions, salted_join
-from impulsar.llm.words import Words, mix64, shingle_set
+from impulsar.llm.words import Words, mix64, release, shingle_set
 
 WIDTH, THRESHOLD = 5, 75
 CHUNK_SHINGLES, HOT, BLOCK_ROWS, BATCH_BYTES = 2_000_000, 64, 512, 1 << 21
@@ -71,6 +71,8 @@ def document_sets(batches, id_column: str, text_column: str, width: int):
             words = Words(texts.slice(start, step), lower=True)
             for row in range(words.rows):
                 yield batch, start + row, ids[start + row].as_py(), shingle_set(words.row_hashes(row), width)
+            words = None
+            release(texts.slice(start, step).nbytes)
 
 
 def checksums(shingles: np.ndarray) -> tuple[int, int]:
@@ -108,11 +110,14 @@ def _post_chunk(chunk: int, ids: list, sets: list[np.ndarray], bits: int, hot: i
     every = np.concatenate(sets) if sets else np.zeros(0, np.uint64)
     if not len(every):
         return
-    docs = np.repeat(np.arange(len(sets)), sizes)
-    keep = known[docs] > 0
-    every, docs = every[keep], docs[keep]
+    sets.clear()  # they are in ``every`` now
+    docs = np.repeat(np.arange(len(sizes), dtype=np.uint32), sizes)
+    if not known.all():
+        keep = known[docs] > 0
+        every, docs = every[keep], docs[keep]
     order = np.argsort(every, kind="stable")
     every, docs = every[order], docs[order]
+    del order
     first = np.flatnonzero(np.concatenate(([True], every[1:] != every[:-1]))) if len(every) else np.zeros(0, np.int64)
     runs = np.diff(np.append(first, len(every)))
     many = np.repeat(runs >= hot, runs)
@@ -123,9 +128,10 @@ def _post_chunk(chunk: int, ids: list, sets: list[np.ndarray], bits: int, hot: i
         yield _row(-1 - chunk, chunk, _planes(docs[many], 4), _planes(column, 8), _planes(np.full(int(many.sum()), _HOT_DF), 3))
         leads = np.zeros(len(every), dtype=bool)
         leads[first] = True
-        docs = np.where(many, 0xFFFFFFFF, docs)
+        docs = np.where(many, np.uint32(0xFFFFFFFF), docs)
         sent = ~many | leads
         block, key, docs = block[sent], key[sent], docs[sent]
+    del every, first, runs, many
     edges = np.searchsorted(block, np.arange((1 << bits) + 1))
     for b in np.flatnonzero(np.diff(edges)):
         part = slice(edges[b], edges[b + 1])
@@ -155,8 +161,11 @@ def _post(width: int, bits: int, hot: int, chunk_shingles: int, id_column: str,
             if held >= chunk_shingles:
                 yield from flush()
                 number, ids, sets, held = number + 1, [], [], 0
+                release()
         if ids:
             yield from flush()
+            ids, sets = [], []
+            release()
 
     return run
 
@@ -185,6 +194,8 @@ def _count_block(bits: int):
         keys, docs, chunks, df = keys[keep], docs[keep], chunks[keep], df[keep]
         order = np.argsort(chunks, kind="stable")
         keys, docs, chunks, df = keys[order] | (np.uint64(block) << np.uint64(_KEY_BITS)), docs[order], chunks[order], df[order]
+        del order, first, runs, is_hot, keep
+        release(table.nbytes)
         edges = np.append(np.flatnonzero(np.concatenate(([True], chunks[1:] != chunks[:-1]))), len(chunks)) if len(chunks) else []
         rows = [_row(-1, int(chunks[a]), _planes(docs[a:b], 4), _planes(keys[a:b], 8), _planes(df[a:b], 3)) for a, b in zip(edges[:-1], edges[1:], strict=True)]
         return pa.Table.from_pylist(rows, _STAGE1)
@@ -220,6 +231,7 @@ def _bound(threshold: int, many: int):
             docs, keys = docs[order], keys[order].astype(np.int64) | np.where(dfs[order] >= many, _MARK, 0)
             edges = np.searchsorted(docs, np.arange(len(meta) + 1))
             prefix = [keys[a : min(b, a + max(n, 0))] for a, b, n in zip(edges[:-1], edges[1:], left, strict=True)]
+        release(table.nbytes)
         ids = pa.array(meta[:, 0], mask=meta[:, 1] == 0)
         return pa.Table.from_arrays([ids, pa.array(sizes), pa.array(meta[:, 3]), pa.array(meta[:, 4]), pa.array(prefix, pa.list_(pa.int64()))], schema=_DOCS)
 
@@ -337,6 +349,7 @@ def _class_links(threshold: int):
             counts = links @ np.array([found[x][1] for x in right])
             if i != j:
                 counts = np.concatenate([counts, links.T @ np.array([found[x][1] for x in left])])
+        release(table.nbytes)
         every = left if i == j else left + right
         every = [(*name, n) for name, n in zip(every, counts.tolist(), strict=False) if n]
         return pa.Table.from_arrays([pa.array([x[c] for x in every], pa.int64()) for c in range(4)], names=["f1", "f2", "n_shingles", "n"])
@@ -356,6 +369,7 @@ def _bounded(threshold: int):
         if not len(left) or not len(right):
             return schema.empty_table()
         u, v = bounded_pairs(prefixes, sizes, classes, left, right, threshold)
+        release(table.nbytes)
         if i == j:
             u, v = u[docs[u] < docs[v]], v[docs[u] < docs[v]]
         return pa.Table.from_arrays([pa.array(x, pa.int64()) for x in (np.full(len(u), i), np.full(len(u), j), docs[u], docs[v], classes[u], classes[v])], schema=schema)
@@ -383,6 +397,8 @@ def _block_links(threshold: int, whole: bool):
             classes = dict(zip(u, pairs["u_class"].to_pylist(), strict=True)) | dict(zip(v, pairs["v_class"].to_pylist(), strict=True))
             none = (None,) * 2 * len(_KEYS)
             found = [(x, y, *none) for x, y in spanning({d: list(of.values()) for d, of in sets.items()}, classes, every, threshold)]
+        sets.clear()
+        release(rows.nbytes)
         return pa.Table.from_arrays([pa.array([x[c] for x in found], pa.int64()) for c in range(len(_LINKS))], schema=_LINKS)
 
     return run
@@ -433,7 +449,7 @@ def _crossed(postings: DataFrame, classes: DataFrame, prefixes: DataFrame, sets:
     several = live.groupBy("col").agg(F.min("class").alias("low"), F.max("class").alias("high")).where("low < high").select("col")
     live = cut(_by_column(live, several))
     if live.isEmpty():
-        return live.sparkSession.createDataFrame([], _LINKS_SQL)
+        return live.sparkSession.createDataFrame(_LINKS.empty_table())
     members = live.select("doc", "class").distinct()
     large = cut(members.groupBy("class").count().where(F.col("count") > block_rows).select("class", F.ceil(F.col("count") / F.lit(block_rows)).alias("n_blocks")))
     n_shared = max(1, -(-members.count() // block_rows))

@@ -23,6 +23,8 @@ from functools import cached_property
 import ahocorasick
 import numpy as np
 
+from impulsar.llm.words import KEPT
+
 DEFAULT_MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MAX_MODEL_BYTES = 64 << 20
 UNIGRAM, BPE = 1, 2
@@ -382,12 +384,9 @@ class Chunks(dict):
         return value
 
 
-_SHARED: dict[tuple, object] = {}
-
-
 def shared(data: bytes, make, name: str):
-    """One object for each model and worker process, kept from task to task."""
+    """One object for each model and worker process, kept from task to task until the worker does other work."""
     key = name, hashlib.blake2b(data, digest_size=16).digest()
-    if key not in _SHARED:
-        _SHARED[key] = make(PieceModel(data))
-    return _SHARED[key]
+    if key not in KEPT:
+        KEPT[key] = make(PieceModel(data))
+    return KEPT[key]

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from impulsar.llm.words import text_bytes
+from impulsar.llm.words import release, text_bytes
 
 BASE_KINDS = ("assign", "access", "hex")
 KINDS = (*BASE_KINDS, "github", "jwt", "pem")
@@ -167,7 +167,10 @@ def _scan(redact: str | None):
                 if redact is not None:
                     out.append(pa.array([_masked(t, found, redact) for t, found in zip(texts.to_pylist(), spans, strict=True)], pa.string()))
                 names = [name for name in part.schema.names if name != "__text"] + ["__spans"] + (["__masked"] if redact is not None else [])
+                size = texts.nbytes
                 yield pa.RecordBatch.from_arrays(out, names=names)
+                part = texts = spans = data = found = out = None
+                release(size)
 
     return run
 

@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from impulsar.llm.pieces import BYTE, CONTROL, DEFAULT_MODEL, SPACE, UNKNOWN, Chunks, PieceModel, encode_chunk, read_model, shared
+from impulsar.llm.words import release
 
 CACHE_CHUNKS, BATCH_BYTES = 150_000, 1 << 22
 
@@ -86,6 +87,8 @@ def encode(docs: DataFrame, *, text_column: str = "text", ids_column: str = "ids
         for part in _slices(batches, "__text"):
             ids = _lists([encoder.encode(t) for t in part.column("__text").to_pylist()])
             yield pa.RecordBatch.from_arrays([*part.columns[:-1], ids], names=[*part.schema.names[:-1], "__ids"])
+            ids = None
+            release(part.nbytes, keep=True)
 
     schema = ", ".join([f"{n} {t}" for n, t in given.dtypes if n != "__text"] + ["__ids array<int>"])
     return given.mapInArrow(run, schema).select(*[F.col(f"k{i}").alias(c) for i, c in enumerate(kept)], F.col("__ids").alias(ids_column))

@@ -35,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from impulsar.llm.common import cut
-from impulsar.llm.words import Words
+from impulsar.llm.words import Words, release
 
 MAX_LABELLED, MAX_TERMS, WINDOW, BATCH_BYTES = 6000, 400, 6, 1 << 21
 #: General terms known before any label is read.
@@ -287,12 +287,23 @@ def _count_marks(batches):
                 counts[label].update(marks(text))
             every = list(counts[0] | counts[1])
             yield pa.RecordBatch.from_arrays([pa.array(every, pa.string()), *[pa.array([c[m] for m in every], pa.int64()) for c in counts]], schema=_COUNTS)
+            counts = every = None
+            release(texts.nbytes)
+
+
+def _by_slices(make, texts: pa.Array) -> list[np.ndarray]:
+    """What ``make`` gives for each slice of the texts."""
+    out = []
+    for part in _slices(texts):
+        out.append(make(part))
+        release(part.nbytes)
+    return out
 
 
 def _features_of(model: Model):
     def run(batches):
         for batch in batches:
-            found = [model.features(part) for part in _slices(batch.column("text"))]
+            found = _by_slices(model.features, batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("label"), pa.array(list(np.concatenate(found)) if found else [], pa.list_(pa.float64()))], names=["doc_id", "label", "features"])
 
     return run
@@ -330,7 +341,7 @@ def score_toxicity(docs: DataFrame, model: Model, *, text_column: str = "text",
 
     def run(batches):
         for batch in batches:
-            scores = [model.score(part) for part in _slices(batch.column("__text"))]
+            scores = _by_slices(model.score, batch.column("__text"))
             yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(np.concatenate(scores) if scores else [], pa.float64())], names=[*batch.schema.names[:-1], "__score"])
 
     schema = ", ".join([f"{n} {t}" for n, t in given.dtypes if n != "__text"] + ["__score double"])

@@ -9,6 +9,8 @@ the bytes of a batch.
 
 from __future__ import annotations
 
+import ctypes
+
 import numpy as np
 import pyarrow as pa
 
@@ -22,6 +24,30 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[0x41:0x5B] += 32
 
 
+_RELEASE_BYTES = 1 << 21
+_held = 0
+#: What a worker keeps from task to task, as long as it does the work that needs it.
+KEPT: dict[tuple, object] = {}
+
+
+def release(done: int | None = None, keep: bool = False) -> None:
+    """Give the memory that allocators keep back to the system, once ``done`` bytes of input add up to some, or now.
+
+    Workers live from stage to stage, and what they keep counts against the
+    executor; without ``keep``, that ends what other work left in ``KEPT``.
+    """
+    global _held
+    if not keep:
+        KEPT.clear()
+    _held += _RELEASE_BYTES if done is None else done
+    if _held < _RELEASE_BYTES:
+        return
+    _held = 0
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):  # glibc only
+        libc.malloc_trim(0)
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """Bijective 64-bit finaliser."""
     x = (x ^ (x >> np.uint64(30))) * _M1
