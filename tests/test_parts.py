@@ -2,12 +2,15 @@ import json
 import math
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 import bench
 from impulsar import C, LocalProjection, fe, interact
 from impulsar.functions.dist import normal_isf, student_isf, student_log_sf
 from impulsar.functions.lag_weights import default_bandwidth, quadratic_spectral, weights
+from impulsar.operators import ranks
 from impulsar.operators.covariance import _lagged
 from impulsar.plans.options import Options, cluster_terms, lag_numbers, memory_bytes
 from impulsar.plans.terms import plan_terms
@@ -92,3 +95,48 @@ def test_serial_sums_match_pairs(kernel, units, rows, span, bandwidths):
                 g = np.einsum("n,ni,nj->ij", weights(kernel, b, lag), s[now, h], s[now - apart, h])
                 expected[h] += g + g.T
     np.testing.assert_allclose(_lagged(unit, time, s, kernel, bandwidths), expected, rtol=1e-9, atol=1e-8)
+
+
+def _dummies(frame, keys):
+    return np.concatenate([(frame[k].to_numpy()[:, None] == np.unique(frame[k])).astype(float) for k in keys], axis=1)
+
+
+@pytest.mark.parametrize("dense", [2000, 0])
+@pytest.mark.parametrize("kind", ["crossed", "sparse", "apart", "latin"])
+def test_rank_of_three_and_more_effects(spark, monkeypatch, kind, dense):
+    """Against the dummies themselves, by a dense matrix at the end and by single levels only."""
+    rng = np.random.default_rng(len(kind))
+    n = {"crossed": 300, "sparse": 60, "apart": 120, "latin": 144}[kind]
+    frame = pd.DataFrame({"a": rng.integers(0, 30, n), "b": rng.integers(0, 17, n), "c": rng.integers(0, 12, n), "d": rng.integers(0, 5, n)})
+    if kind == "apart":  # two graphs without a common level, and levels that only meet in one row
+        frame = frame.assign(**{k: frame[k] * 2 + np.arange(n) % 2 for k in frame})
+    if kind == "latin":  # pairs of all effects are complete, the third is a function of the others
+        i, j = np.divmod(np.arange(n), 12)
+        frame = pd.DataFrame({"a": i, "b": j, "c": (i + j) % 12, "d": (i + 2 * j) % 12})
+    monkeypatch.setattr(ranks, "MAX_DENSE", dense)
+    rows = spark.createDataFrame(frame).withColumn("c", F.concat(F.lit("c"), "c"))
+    for keys in (["a", "b", "c"], ["d", "c", "b", "a"]):
+        found = ranks.effect_rank(rows, keys, [frame[k].nunique() for k in keys], "exact")
+        assert (found.rank, found.exact) == (np.linalg.matrix_rank(_dummies(frame, keys)), True)
+
+
+def test_rank_with_many_levels(spark):
+    """The query's shape with more units than a dense matrix of all levels may have: seasons hold whole periods, cells are nations by seasons."""
+    units, periods = 2500, 24
+    rows = spark.range(units * periods).selectExpr("id % 2500 AS unit", "id div 2500 AS time", "concat_ws('-', id % 2500 % 25, id div 2500 % 12) AS cell").where("(unit * 7 + time) % 5 <> 0")
+    found = ranks.effect_rank(rows, ["unit", "time", "cell"], [units, periods, 300], "exact")
+    assert (found.rank, found.exact) == (units + periods - 1 + 300 - 25 - 12 + 1, True)
+
+
+def test_rank_of_two_large_effects(spark):
+    """More levels beside the largest effect than a dense matrix may have: one ring through all levels of two, around which the third does not add up to nothing."""
+    rows = spark.range(6000).selectExpr("id div 2 AS a", "(id + 1) div 2 % 3000 AS b", "id div 3 % 4 AS c")
+    found = ranks.effect_rank(rows, ["a", "b", "c"], [3000, 3000, 4], "exact")
+    assert (found.rank, found.exact) == (3000 + 3000 - 1 + 1, True)
+
+
+def test_rank_refuses_beyond_its_budget(spark, monkeypatch):
+    rows = spark.range(400).selectExpr("id % 19 AS a", "id * 7 % 13 AS b", "id * id % 11 AS c")
+    monkeypatch.setattr(ranks, "MAX_CELLS", 10)
+    with pytest.raises(ValueError, match="budget of 10 pairs"):
+        ranks.effect_rank(rows, ["a", "b", "c"], [19, 13, 6], "exact")
